@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from helixplan.llm import chat, exact_dedup, mixing, pieces, simhash, toxicity, url_filter
+from helixplan.llm import chat, exact_dedup, html_text, language, mixing, pieces, quality, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op1_html_text": html_text.op1_html_text,
     "op2_chat_format": chat.op2_chat_format,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op7_language": language.op7_language,
     "op8_pieces": pieces.op8_pieces,
+    "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
 }
 

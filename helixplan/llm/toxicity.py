@@ -198,8 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(texts, toxic, share, (n0 / toxic.count(0), n1 / toxic.count(1)))
 
 
-def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, below: float | None = None) -> DataFrame:
-    """``carry`` columns (the id by default) with ``score``; with ``below`` only rows that score less."""
+def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, below: float | None = None, score: str = "score") -> DataFrame:
+    """``carry`` columns (the id by default) with the score, in column ``score``; with ``below`` only rows that score less."""
     spark, carry = docs.sparkSession, carry or [id_col]
     shared = spark.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in carry]
@@ -208,17 +208,17 @@ def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
         own = shared.value.prepare()
         for part in slices(batches, "__text"):
             got = own.score(part.column(len(carry)).to_pylist())
-            out = pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(carry))), pa.array(got)], names=[*carry, "score"])
+            out = pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(carry))), pa.array(got)], names=[*carry, score])
             yield out if below is None else out.filter(pa.array(got < below))
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{score}` double"])
     return docs.select(*[F.col(c) for c in carry], F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more."""
     model = train(docs, labels, id_col, text_col)
-    return score_documents(docs, model, id_col, text_col, carry=docs.columns, below=threshold).select(*docs.columns)
+    return score_documents(docs, model, id_col, text_col, carry=docs.columns, below=threshold, score="__score").select(*docs.columns)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
