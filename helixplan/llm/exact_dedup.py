@@ -21,6 +21,8 @@ from helixplan.llm.common import ascii_lower
 from helixplan.plans.runtime import Scratch
 
 KEY = ["__digest", "__witness", "__bytes"]
+#: Keys of 50 bytes that may be broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def digests(docs: DataFrame, id_col: str, text: Column, runs: int) -> DataFrame:
@@ -59,12 +61,28 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", runs: int = 64, fan_in: int = 8) -> DataFrame:
-    """``docs`` with one row of each text: the one with the largest id, and of rows that share id and text one."""
+    """``docs`` with one row of each text: the one with the largest id, and of rows that share id and text one.
+
+    Only keys of rows that go meet the documents again. Up to ``BROADCAST_ROWS`` of them (counted) are
+    broadcast and the texts stay where they are; more take one shuffled join.
+    """
     scratch = Scratch(docs.sparkSession, "exact-drop")
-    stay = exact_duplicates(docs, id_col, text_col, "largest", runs, fan_in, scratch).where("kept").select(F.col(id_col).alias("__k"), "text_sha256").distinct()
-    sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256)
-    marked = docs.withColumn("__sha", sha).join(stay, F.col(id_col).eqNullSafe(F.col("__k")) & (F.col("__sha") == F.col("text_sha256")), "left_semi")
-    return marked.dropDuplicates([id_col, "__sha"]).drop("__sha")
+    text = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
+    rows = exact_duplicates(docs, id_col, text_col, "largest", runs, fan_in, scratch)
+    # One entry for each id and text: whether it goes, and how often a row that stays is there.
+    keys = scratch.keep(rows.groupBy(F.col(id_col).alias("__k"), F.unhex("text_sha256").alias("__sha")).agg(F.max("kept").alias("__stays"), F.count("*").alias("__n")).where("not __stays or __n > 1"))
+    marked = docs.withColumn("__digest", F.unhex(F.sha2(text.cast("binary"), 256)))
+    same = F.col(id_col).eqNullSafe(F.col("__k")) & (F.col("__digest") == F.col("__sha"))
+
+    def listed(stays: bool) -> DataFrame:
+        some = keys.where(F.col("__stays") == stays).select("__k", "__sha")
+        return F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+
+    left = marked.join(listed(False), same, "left_anti")
+    twice = listed(True)
+    if not twice.isEmpty():
+        left = left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates([id_col, "__digest"]))
+    return left.drop("__digest")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
