@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from helixplan.plans.runtime import Scratch
 
+#: Sources, one row each, that may be broadcast.
+BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -44,20 +46,15 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float, scratch: Sc
         state = grown
 
 
-def mix(
-    docs: DataFrame, weights: Column, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix-1", bucket_bits: int = 12, keep_columns: bool = False
-) -> DataFrame:
-    """One row per document: its ``size``, its source's ``source_size`` and ``target``, and ``taken``.
+def _order(id_col: str, seed: str) -> Column:
+    """Place of a document in its source, as hex digits."""
+    return F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"), 256)
 
-    ``weights`` is a positive Column over ``source`` and ``place``, the source's place (from 0) in the order
-    of the sources' UTF-8 bytes, null last. With ``keep_columns`` the documents' own columns are kept and
-    ``copies`` is added.
-    """
-    scratch = Scratch(docs.sparkSession, "mixing")
-    at = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"), 256)
-    own = docs.columns if keep_columns else []
+
+def _placed(docs: DataFrame, weights: Column, id_col: str, text_col: str, source_col: str, share: float, max_epochs: float, seed: str, bucket_bits: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows without their texts, and for each (source, range) in use what is decided; ``__side`` 0 marks the range in which a source's fraction ends."""
     rows = scratch.keep(
-        docs.select(*[F.col(c).alias(f"__own_{c}") for c in own], F.col(id_col).alias("__id"), F.col(source_col).alias("__s"), word_count(F.col(text_col)).alias("size"), at.alias("__at")).withColumn(
+        docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__s"), word_count(F.col(text_col)).alias("size"), _order(id_col, seed).alias("__at")).withColumn(
             "__b", F.shiftright(F.conv(F.substring("__at", 1, 6), 16, 10).cast("int"), 24 - bucket_bits)
         )
     )
@@ -72,26 +69,53 @@ def mix(
     plan = filled.withColumn("__whole", whole).withColumn("__rest", F.col("target") - F.col("__whole") * F.col("source_size")).drop("weight")
     upto = F.sum("__cell").over(Window.partitionBy("__s").orderBy("__b"))
     cut = cells.withColumn("__upto", upto).withColumnRenamed("__s", "__c").join(plan, F.col("__c").eqNullSafe(F.col("__s"))).drop("__c")
-    cut = scratch.keep(
-        cut.withColumn("__before", F.col("__upto") - F.col("__cell")).select(
-            F.col("__s").alias("__c"), F.col("__b").alias("__k"), "source_size", "target", "__whole", "__rest", "__before", F.when(F.col("__upto") <= F.col("__rest"), 1).when(F.col("__before") >= F.col("__rest"), -1).otherwise(0).alias("__side")
-        )
+    cut = cut.withColumn("__before", F.col("__upto") - F.col("__cell")).select(
+        F.col("__s").alias("__c"), F.col("__b").alias("__k"), "source_size", "target", "__whole", "__rest", "__before", F.when(F.col("__upto") <= F.col("__rest"), 1).when(F.col("__before") >= F.col("__rest"), -1).otherwise(0).alias("__side")
     )
-    met = rows.join(cut, F.col("__s").eqNullSafe(F.col("__c")) & (F.col("__b") == F.col("__k")))
+    return rows, scratch.keep(cut)
+
+
+def _edge(rows: DataFrame, cut: DataFrame) -> DataFrame:
+    """Rows of the ranges in which fractions end, with ``__more``: 1 up to the point nearest to what is left."""
     run = F.sum("size").over(Window.partitionBy("__s", "__b").orderBy("__at", "__id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    edge = met.where("__side = 0").withColumn("__more", (2 * (F.col("__before") + run) - F.col("size") <= 2 * F.col("__rest")).cast("long"))
-    sure = met.where("__side <> 0").withColumn("__more", (F.col("__side") > 0).cast("long"))
-    copies = F.col("__whole") + F.col("__more")
-    out = sure.unionByName(edge)
-    if keep_columns:
-        return out.select(*[F.col(f"__own_{c}").alias(c) for c in own], copies.alias("copies"))
-    return out.select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
-
-
-def mixed_documents(docs: DataFrame, weights: Column, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
-    rows = mix(docs, weights, keep_columns=True, **options)
-    return rows.where("copies > 0").withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).drop("__n", "copies")
+    met = rows.join(cut.where("__side = 0"), F.col("__s").eqNullSafe(F.col("__c")) & (F.col("__b") == F.col("__k")))
+    return met.withColumn("__more", (2 * (F.col("__before") + run) - F.col("size") <= 2 * F.col("__rest")).cast("long"))
+
+
+def mix(docs: DataFrame, weights: Column, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix-1", bucket_bits: int = 12) -> DataFrame:
+    """One row per document: its ``size``, its source's ``source_size`` and ``target``, and ``taken``.
+
+    ``weights`` is a positive Column over ``place``, the source's place (from 0) in the order of the sources'
+    UTF-8 bytes, null last.
+    """
+    rows, cut = _placed(docs, weights, id_col, text_col, source_col, share, max_epochs, seed, bucket_bits, Scratch(docs.sparkSession, "mixing"))
+    sure = rows.join(cut.where("__side <> 0"), F.col("__s").eqNullSafe(F.col("__c")) & (F.col("__b") == F.col("__k"))).withColumn("__more", (F.col("__side") > 0).cast("long"))
+    out = sure.unionByName(_edge(rows, cut))
+    return out.select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("size") * (F.col("__whole") + F.col("__more"))).alias("taken"))
+
+
+def mixed_documents(
+    docs: DataFrame, weights: Column, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, max_epochs: float = 2.0, seed: str = "mix-1", bucket_bits: int = 12
+) -> DataFrame:
+    """The mix itself: each document as often as it is taken.
+
+    A source's decision is one place in its hash order, so the texts stay where they are if the sources, one
+    row each, are at most ``BROADCAST_SOURCES`` (counted); more take one shuffled join. Rows alike in id at a
+    source's last place are taken together.
+    """
+    scratch = Scratch(docs.sparkSession, "mixed")
+    rows, cut = _placed(docs, weights, id_col, text_col, source_col, share, max_epochs, seed, bucket_bits, scratch)
+    last = _edge(rows, cut).where("__more = 1").groupBy("__s").agg(F.max("__at").alias("__end")).select(F.col("__s").alias("__e"), "__end")
+    # Where no document of the range is taken, the range before it is the last.
+    full = cut.where("__side > 0").groupBy("__c").agg(F.max("__k").alias("__full"))
+    first = cut.groupBy("__c").agg(F.first("__whole").alias("__whole"))
+    named = first.join(full.withColumnRenamed("__c", "__f"), F.col("__c").eqNullSafe(F.col("__f")), "left").join(last, F.col("__c").eqNullSafe(F.col("__e")), "left")
+    decided = scratch.keep(named.select("__c", "__whole", F.coalesce("__full", F.lit(-1)).alias("__full"), F.coalesce("__end", F.lit("")).alias("__end")))
+    few = decided.count() <= BROADCAST_SOURCES
+    at = docs.withColumn("__at", _order(id_col, seed)).withColumn("__b", F.shiftright(F.conv(F.substring("__at", 1, 6), 16, 10).cast("int"), 24 - bucket_bits))
+    met = at.join(F.broadcast(decided) if few else decided, F.col(source_col).eqNullSafe(F.col("__c")))
+    copies = F.col("__whole") + F.when((F.col("__b") <= F.col("__full")) | (F.col("__at") <= F.col("__end")), 1).otherwise(0)
+    return met.withColumn("__n", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[F.col(c) for c in docs.columns])
 
 
 def cycle_weights(values: tuple[float, ...] = (3.0, 1.0, 2.0)) -> Column:
