@@ -105,17 +105,18 @@ def _models(counted: list, sizes: tuple[int, int], n: int, strict: float) -> tup
         total = max(kind.sum(), 1)
         word.append(more / total + (1 - more.sum() / total) * shared)
     single = np.log(word[1]) - np.log(word[0])
-    every = np.unique(np.concatenate([k for _, (k, _) in counted]))
+    # Only counts that can exceed their discount are looked at further.
+    every = np.unique(np.concatenate([k[c > strict * np.sqrt(c + 1)] for _, (k, c) in counted]))
     have = []
     for _, (keys, count) in counted:
-        x = np.zeros(len(every))
-        x[np.searchsorted(every, keys)] = count
-        have.append(x)
+        at = np.minimum(np.searchsorted(keys, every), max(len(keys) - 1, 0))
+        have.append(np.where(keys[at] == every, count[at], 0).astype(float) if len(keys) else np.zeros(len(every)))
     over = excess(have)
     left, right = every >> 32, every & 0xFFFFFFFF
     leave, full = [], []
     for c in (0, 1):
-        mass = np.bincount(left, weights=have[c], minlength=n)
+        keys, count = counted[c][1]
+        mass = np.bincount(keys >> 32, weights=count, minlength=n)
         lam = 1 - np.bincount(left, weights=over[c], minlength=n) / np.maximum(mass, 1)
         leave.append(lam)
         full.append(over[c] / np.maximum(mass[left], 1) + lam[left] * word[c][right])
