@@ -4,8 +4,294 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from helixplan import oracles
+from helixplan.functions import seq as S
+from helixplan.operators import graph as G, kmers as K, resolve as R, sinks, stats, walk as W
+from helixplan.params import AssemblyParams
+from helixplan.plans.runtime import Scratch
+from helixplan.sources.adapters import document_pairs
+
+#: Long edges and many components at 21; many repeated k-mers at 11. The cutoff suits the test tables' low coverage.
+PARAMS = AssemblyParams(k=21, cutoff=5)
+SHORT_K, CONTIG_ABOVE, REACH = 11, 20, 60
 FLAGSHIP = "graph_nodes"
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES = oracles.build(PARAMS.k, SHORT_K, PARAMS.cutoff, CONTIG_ABOVE)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sequences(_table(spark, sf_dir, "documents"))
+
+
+def _solid(spark: SparkSession, sf_dir: str, k: int = PARAMS.k) -> DataFrame:
+    return K.solid_kmers(K.count_kmers(_seqs(spark, sf_dir), k), PARAMS.min_count)
+
+
+def _graph(spark: SparkSession, sf_dir: str, scratch: Scratch) -> G.Graph:
+    return G.build_graph(_solid(spark, sf_dir), PARAMS.k, scratch)
+
+
+def _register(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _on_graph(f: Callable[[G.Graph, Scratch], DataFrame]) -> Callable[[G.Graph, Scratch], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scratch = Scratch(spark, f.__name__)
+        return f(_graph(spark, sf_dir, scratch), scratch)
+
+    QUERIES[f.__name__] = query
+    return f
+
+
+def _on_pairs(f: Callable[[G.Graph, DataFrame, Scratch], DataFrame]) -> Callable[[G.Graph, DataFrame, Scratch], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scratch = Scratch(spark, f.__name__)
+        return f(_graph(spark, sf_dir, scratch), document_pairs(_table(spark, sf_dir, "documents")), scratch)
+
+    QUERIES[f.__name__] = query
+    return f
+
+
+@_register
+def seq_revcomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("seq")
+    return _seqs(spark, sf_dir).select("seq_id", S.complement(s).alias("complement"), F.reverse(s).alias("reversed"), S.revcomp(s).alias("revcomp"))
+
+
+@_register
+def seq_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seqs(spark, sf_dir).select("seq_id", S.canonical(F.col("seq")).alias("canonical"))
+
+
+@_register
+def seq_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("seq")
+    return _seqs(spark, sf_dir).select(
+        "seq_id", S.take(s, 10).alias("taken"), S.drop(s, 10).alias("dropped"), S.subseq(s, 5, 15).alias("part"), S.base_at(s, 0).alias("head"), F.length(s).cast("long").alias("len"), S.append(S.prepend(F.lit("A"), s), F.lit("T")).alias("grown")
+    )
+
+
+@_register
+def valid_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", ""))
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq_id"), S.valid_prefix(letters).alias("prefix"))
+
+
+@_register
+def mate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_pairs(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def kmer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.kmer_windows(_seqs(spark, sf_dir), PARAMS.k, keep=("seq_id",), with_pos=True)
+
+
+@_register
+def seq_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _solid(spark, sf_dir).select("kmer", S.pack(F.col("kmer")).alias("packed")).withColumn("unpacked", S.unpack(F.col("packed"), PARAMS.k))
+
+
+@_register
+def kmer_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.count_kmers(_seqs(spark, sf_dir), SHORT_K)
+
+
+@_register
+def kmer_solid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _solid(spark, sf_dir)
+
+
+@_register
+def kmer_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.spectrum(K.count_kmers(_seqs(spark, sf_dir), SHORT_K))
+
+
+@_register
+def kmer_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.distinct_kmers(_seqs(spark, sf_dir), PARAMS.k)
+
+
+@_register
+def conversion_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.conversion_counters(document_pairs(_table(spark, sf_dir, "documents")), PARAMS.k)
+
+
+@_register
+def kmer_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.degrees(K.oriented(_solid(spark, sf_dir)), PARAMS.k)
+
+
+@_register
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.degrees(K.oriented(_solid(spark, sf_dir)), PARAMS.k).where("terminal").select("kmer")
+
+
+@_on_graph
+def graph_edges(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return g.edges
+
+
+@_on_graph
+def graph_counts(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return stats.graph_counts(g)
+
+
+@_on_graph
+def graph_adjacency(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return G.adjacency(g).select("node_id", F.array_join("in_edges", ",").alias("in_edges"), F.array_join(F.array_sort(F.map_values("out_edges")), ",").alias("out_edges"))
+
+
+@_on_graph
+def edge_len_hist(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return stats.length_histogram(stats.edge_lengths(g))
+
+
+@_on_graph
+def n50(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return stats.n50(stats.length_histogram(stats.edge_lengths(g)))
+
+
+@_on_graph
+def median_length(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return stats.median_length(stats.length_histogram(stats.edge_lengths(g)))
+
+
+@_on_graph
+def long_edge_count(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return stats.count_at_least(stats.length_histogram(stats.edge_lengths(g)), 100)
+
+
+@_on_graph
+def contig_stats(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return stats.contig_stats(stats.edge_lengths(g), CONTIG_ABOVE)
+
+
+@_on_graph
+def graph_components(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return G.components(g, scratch)
+
+
+def _sizes(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return stats.component_sizes(g, G.components(g, scratch))
+
+
+@_on_graph
+def component_hist(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return stats.component_histogram(_sizes(g, scratch))
+
+
+@_on_graph
+def component_len_hist(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return stats.component_histogram(_sizes(g, scratch), ("total_len",))
+
+
+@_on_graph
+def component_size_len_hist(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return stats.component_histogram(_sizes(g, scratch), ("nodes", "total_len"))
+
+
+@_on_graph
+def largest_component(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return stats.largest_component(_sizes(g, scratch))
+
+
+@_on_graph
+def retained_edges(g: G.Graph, scratch: Scratch) -> DataFrame:
+    parts = scratch.keep(G.components(g, scratch))
+    return G.retain(g, parts.join(stats.largest_component(stats.component_sizes(g, parts)), "component", "left_semi")).edges
+
+
+@_on_graph
+def kmer_positions(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return G.positions(g)
+
+
+@_on_pairs
+def pair_positions(g: G.Graph, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    flat = [F.col(f"pos{i}.{c}").alias(f"{c}{i}") for i in (1, 2) for c in ("kind", "id", "dist")]
+    return W.pair_positions(pairs, g, PARAMS).select("pair_id", "orient", *flat)
+
+
+@_on_pairs
+def explained_pairs(g: G.Graph, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    return W.explained(W.pair_positions(pairs, g, PARAMS), PARAMS)
+
+
+@_on_graph
+def reach_min_dist(g: G.Graph, scratch: Scratch) -> DataFrame:
+    branches = g.edges.groupBy(F.col("src").alias("target")).count().where("count > 1").select("target")
+    return W.reach(g, branches, REACH, scratch)
+
+
+@_on_pairs
+def pair_support(g: G.Graph, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    return W.pair_evidence(pairs, g, PARAMS, scratch).support
+
+
+@_on_pairs
+def bad_pairs(g: G.Graph, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    return W.bad_pairs(W.pair_evidence(pairs, g, PARAMS, scratch))
+
+
+@_on_pairs
+def node_matrix(g: G.Graph, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    return sinks.matrix_lines(R.node_matrix(g, W.pair_evidence(pairs, g, PARAMS, scratch).support))
+
+
+@_on_pairs
+def node_split(g: G.Graph, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    return R.split_ports(g, W.pair_evidence(pairs, g, PARAMS, scratch).support, PARAMS.cutoff, scratch)
+
+
+@_on_pairs
+def split_edges(g: G.Graph, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    return R.split_nodes(g, W.pair_evidence(pairs, g, PARAMS, scratch).support, PARAMS.cutoff, scratch).edges
+
+
+@_on_pairs
+def resolved_edges(g: G.Graph, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    return R.resolve(pairs, g, PARAMS, scratch).edges
+
+
+@_on_graph
+def bubbles(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return G.parallel_bubbles(g)
+
+
+@_register
+def genome_missing_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    genome = S.sequences(_table(spark, sf_dir, "benchmark"), "item_id").select(F.col("seq").alias("value"))
+    return G.missing_kmers(_graph(spark, sf_dir, Scratch(spark, "missing")), genome)
+
+
+@_on_graph
+def dot_lines(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return sinks.dot_lines(g)
+
+
+@_on_graph
+def fasta_lines(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return sinks.fasta(sinks.contigs(g, scratch))
+
+
+@_on_graph
+def graph_neighbours(g: G.Graph, scratch: Scratch) -> DataFrame:
+    """The 20 nodes nearest to the node with most out-edges."""
+    root = g.edges.groupBy("src").count().orderBy(F.desc("count"), "src").first()
+    return G.neighbours(g, root["src"] if root else "", 20, scratch)
+
+
+@_on_graph
+def invariants(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return G.broken_edges(g)
