@@ -30,6 +30,8 @@ from helixplan.plans.components import connected_components
 from helixplan.plans.runtime import Scratch
 
 BITS, SEGMENTS = 64, 2
+BROADCAST_BUCKETS = 200_000
+BROADCAST_IDS = 500_000
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -89,9 +91,11 @@ def links(prints: DataFrame, scratch: Scratch, distance: int = 2, bucket: int =
     counted = scratch.keep(found)
     twos = counted.where("n = 2").select("a", "b").where(_differ(F.col("a"), F.col("b")) <= distance).distinct()
     many = counted.where("n > 2").select("place", "rest", "n")
-    if many.isEmpty():
+    n = many.count()
+    if not n:
         return twos
-    met = variants(prints).join(many, ["place", "rest"])
+    # 20 bytes a bucket: a counted few MB spare the second shuffle of all variants, more buckets pay for it once.
+    met = scratch.keep(variants(prints).join(F.broadcast(many) if n <= BROADCAST_BUCKETS else many, ["place", "rest"]))
     gathered = met.where(F.col("n") <= bucket).groupBy("place", "rest").agg(F.array_sort(F.collect_list("fp")).alias("all"))
     pair = F.flatten(
         F.transform(
@@ -138,10 +142,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
-    """``docs`` with one document of each class: the one whose id names it (rows that share that id stay together)."""
+    """``docs`` with one document of each class: the one whose id names it (rows that share that id stay together).
+
+    Only ids that go meet the documents again: up to ``BROADCAST_IDS`` of them (counted) are broadcast and the
+    texts stay where they are; more take one shuffled join.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash-drop")
     classes = near_duplicates(docs, id_col, text_col, words, distance)
-    stay = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__k")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("__k")), "left_semi")
+    gone = scratch.keep(classes.groupBy(F.col(id_col).alias("__k")).agg(F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("__stays")).where("not __stays").select("__k"))
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(id_col).eqNullSafe(F.col("__k")), "left_anti")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
