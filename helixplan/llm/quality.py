@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from helixplan.llm.common import slices
+from helixplan.plans.runtime import Scratch
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -168,10 +169,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top:
 
     # A class is named by a line feed and its number; no word has a line feed.
     parts = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).mapInArrow(run, "l string, w binary, n bigint")
-    sums = parts.groupBy("l", "w").agg(F.sum("n").alias("n"))
+    sums = Scratch(docs.sparkSession, "quality").keep(parts.groupBy("l", "w").agg(F.sum("n").alias("n")))
     is_class = F.substring("w", 1, 1) == F.lit(b"\n")
-    ranked = sums.withColumn("c", is_class).withColumn("k", F.row_number().over(Window.partitionBy("l", "c").orderBy(F.desc("n"), "w"))).where((F.col("k") <= top) | F.col("c"))
-    rows = ranked.limit(MAX_LANGS * (top + CLASSES) + 1).collect()
+    # The limit on the rank reaches the tasks before the shuffle: each hands on its own best words only.
+    common = sums.where(~is_class).withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("k") <= top).drop("k")
+    rows = sums.where(is_class).withColumn("c", F.lit(True)).unionByName(common.withColumn("c", F.lit(False))).orderBy("l", F.desc("n"), "w").limit(MAX_LANGS * (top + CLASSES) + 1).collect()
     langs = sorted({r["l"] for r in rows})
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
