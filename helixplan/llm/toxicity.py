@@ -127,6 +127,19 @@ def _models(counted: list, sizes: tuple[int, int], n: int, strict: float) -> tup
     return single, step, (every[use], more.astype(np.float32))
 
 
+def _compact(words: list[str], single: np.ndarray, step: np.ndarray, every: np.ndarray, more: np.ndarray, share: float) -> ToxicModel:
+    """Keeps words that differ from a new word (place 0) or stand in a kept bigram; all others score as it does."""
+    use = (np.abs(single - single[0]) > 1e-12) | (step != 0)
+    use[every >> 32] = use[every & 0xFFFFFFFF] = True
+    use[0] = True
+    old = np.flatnonzero(use)
+    new = np.zeros(len(use), dtype=np.int64)
+    new[old] = np.arange(len(old))
+    key = (new[every >> 32] << 32) | new[every & 0xFFFFFFFF]
+    order = np.argsort(key)
+    return ToxicModel([words[i - 1] for i in old[1:].tolist()], (single + step)[old].astype(np.float32), key[order], more[order], 1.0, 0.0, share)
+
+
 def fit(texts: list[str], toxic: list[int], share: float, weights: tuple[float, float], grid: tuple[float, ...] = (2.5, 4.0, 5.0)) -> ToxicModel:
     """Fits models and curve; every fourth text of a class is kept for the curve and to choose the discount."""
     pairs = sorted(set(zip(texts, toxic)), key=lambda x: hashlib.blake2b(x[0].encode("utf-8", "surrogatepass"), digest_size=8).digest())  # copies count once
@@ -147,8 +160,7 @@ def fit(texts: list[str], toxic: list[int], share: float, weights: tuple[float,
     best, least = None, math.inf
     for strict in grid:
         single, step, (every, more) = _models(counted, sizes, len(place) + 1, strict)
-        worth = (single + step).astype(np.float32)
-        model = ToxicModel(list(place), worth, every, more, 1.0, 0.0, share).prepare()
+        model = _compact(list(place), single, step, every, more, share).prepare()
         mean, size = model.evidence([t for t, _ in rest])
         use = size > 0
         w = np.where(y[use] > 0, weights[1], weights[0])
