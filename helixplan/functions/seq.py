@@ -109,7 +109,15 @@ def register_sql(spark: SparkSession) -> None:
 
 
 def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(seq_id, seq)``: the letters A, C, G and T of each text, upper-cased."""
+    """``(seq_id, seq)``: the letters A, C, G and T of each text, upper-cased.
+
+    An input of fewer partitions than cores (a single small file) is dealt out first, because windows multiply
+    its bytes; a large input stays where it is.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    docs = docs.select(id_col, text_col)
+    if docs.rdd.getNumPartitions() < cores:
+        docs = docs.repartition(cores)
     return docs.select(F.col(id_col).alias("seq_id"), F.upper(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[^ACGTacgt]", "")).alias("seq"))
 
 
