@@ -35,12 +35,8 @@ def slices(batches: Iterator[pa.RecordBatch], size_of: str) -> Iterator[pa.Recor
         at, n = 0, batch.num_rows
         while at < n:
             step = min(SLICE_ROWS, n - at)
-            while step > 1 and column.slice(at, step).get_total_buffer_size() and _bytes(column, at, step) > SLICE_BYTES:
+            while step > 1 and column.slice(at, step).nbytes > SLICE_BYTES:
                 step //= 2
             yield batch.slice(at, step)
             at += step
 
-
-def _bytes(column: pa.Array, at: int, step: int) -> int:
-    part = column.slice(at, step)
-    return part.nbytes

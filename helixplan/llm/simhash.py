@@ -29,7 +29,8 @@ from helixplan.llm.common import slices
 from helixplan.plans.components import connected_components
 from helixplan.plans.runtime import Scratch
 
-BITS, SEGMENTS = 64, 2
+BITS = 64
+#: Crowded buckets and ids of rows that go, of under 20 bytes each, that may be broadcast.
 BROADCAST_BUCKETS = 200_000
 BROADCAST_IDS = 500_000
 
