@@ -1,13 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney word models.
 
 Two bigram models, one of toxic and one of ordinary texts, count in how many texts an expression occurs and
-are smoothed by discounting: a bigram backs off to its class's words, and these to a distribution made of
-the counts that both classes share. Of each count is discounted what the other class would lead to expect
+are smoothed by discounting: a bigram backs off to its class's words, a word to its class's stems (its first
+7, 6, 5 and 4 letters, so that unseen endings of a known stem are judged by it), and these to a distribution
+made of the counts that both classes share. Of each count is discounted what the other class would lead to expect
 and a number of standard deviations more; so a rare expression, which one class has by chance, is left to
 the shared counts, and a frequent one of a single class stands out. The number of deviations is the one of
 a short list that predicts held-back labels best. A text's
 evidence is the difference of its two log-likelihoods, divided by its number of words; a logistic curve,
-fitted on labelled texts that the models have not seen, turns it into a score.
+fitted on labelled texts that the models have not seen, turns it into a score. Where labels are so many that
+whole words tell enough, the same texts choose models without stems.
 
 The models are fitted on a bounded, documented sample: of each class up to ``per_class`` labelled documents,
 those with the least keyed hash of their id, of up to ``longest`` characters each. Scoring reads every whole
@@ -34,11 +36,36 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from helixplan.llm.common import fold, slices
 
 WORDS = re.compile(r"\w+")
+#: Letters of a stem, shortest first; a word has the stems that are shorter than itself.
+STEMS = (4, 5, 6, 7)
+#: Places of words that a task remembers beside the model's own.
+REMEMBERED = 200_000
+
+
+class _Places(dict):
+    """Place of a word: its own, else that of its longest stem, else 0."""
+
+    def __init__(self, words: list[str], stems: list[str]):
+        super().__init__((w, i + 1) for i, w in enumerate(words))
+        self.room = len(self) + REMEMBERED
+        self.stems = {t: len(words) + 1 + i for i, t in enumerate(stems)}
+        self.heads = {t[: STEMS[0]] for t in stems}
+
+    def __missing__(self, word: str) -> int:
+        at = 0
+        if word[: STEMS[0]] in self.heads:
+            for n in reversed(STEMS):
+                if len(word) > n and (at := self.stems.get(word[:n], 0)):
+                    break
+        if len(self) < self.room:
+            self[word] = at
+        return at
 
 
 @dataclass
 class ToxicModel:
     words: list[str]
+    stems: list[str]
     single: np.ndarray
     pair_key: np.ndarray
     pair_more: np.ndarray
@@ -47,13 +74,13 @@ class ToxicModel:
     share: float
 
     def prepare(self) -> ToxicModel:
-        self.place = {w: i + 1 for i, w in enumerate(self.words)}
+        self.place = _Places(self.words, self.stems)
         return self
 
     def evidence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Mean log ratio and number of words of each text."""
         place = self.place
-        found = [[place.get(w, 0) for w in WORDS.findall(t.lower())] if t else [] for t in texts]
+        found = [[place[w] for w in WORDS.findall(t.lower())] if t else [] for t in texts]
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         total = np.zeros(len(found))
         if size.sum():
@@ -85,8 +112,36 @@ def _counts(tokens: list[np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], tu
     return over([np.unique(t) for t in tokens if len(t)]), over([np.unique((t[:-1] << 32) | t[1:]) for t in tokens if len(t) > 1])
 
 
-def _models(counted: list, sizes: tuple[int, int], n: int, strict: float) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Log ratio of each word, what its place as left word costs, and bigrams with what each adds.
+def _stem_groups(words: list[str]) -> list[np.ndarray]:
+    """For each length of a stem the group of each place; group 0 has the words that aren't longer, and place 0."""
+    order = sorted(range(len(words)), key=words.__getitem__)
+    groups = []
+    for n in STEMS:
+        group, last, made = np.zeros(len(words) + 1, dtype=np.int32), None, 0
+        for i in order:
+            if len(words[i]) > n:
+                if words[i][:n] != last:
+                    last, made = words[i][:n], made + 1
+                group[i + 1] = made
+        groups.append(group)
+    return groups
+
+
+def _stem_levels(words: list[str], tokens: list[list[np.ndarray]]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """Groups of each length and, for each class, in how many texts each group occurs."""
+    levels = []
+    for group in _stem_groups(words):
+        size = int(group.max()) + 1
+        counts = [np.zeros(size), np.zeros(size)]
+        for c in (0, 1):
+            for t in tokens[c]:
+                counts[c][np.unique(group[t])] += 1
+        levels.append((group, counts))
+    return levels
+
+
+def _models(counted: list, sizes: tuple[int, int], n: int, strict: float, levels: list) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray, list]:
+    """Log ratio of each word, what its place as left word costs, bigrams with what each adds, which words stand out, and stems ``(level, place of a member, log ratio)``.
 
     Of a count stays what is more than the other class's share by ``strict`` standard deviations; what is
     discounted goes to the backoff.
@@ -100,11 +155,31 @@ def _models(counted: list, sizes: tuple[int, int], n: int, strict: float) -> tup
     kinds = [np.bincount(k, weights=c, minlength=n) for (k, c), _ in counted]
     shared = 2 * np.minimum(kinds[0] / scale, kinds[1]) + 1
     shared /= shared.sum()
-    word = []
-    for kind, more in zip(kinds, excess(kinds)):
+    # From level to level a group gets its own share and, of what is discounted, what the shorter stem gave it.
+    base, stems, rest = [shared, shared.copy()], [], []
+    for level, (group, counts) in enumerate(levels):
+        more = excess(counts)
+        more[0][0] = more[1][0] = 0
+        factor = []
+        for c in (0, 1):
+            total = max(counts[c].sum(), 1)
+            factor.append(1 - more[c].sum() / total + more[c] / total / np.bincount(group, weights=base[c]))
+            base[c] = base[c] * factor[c][group]
+        rest.append(math.log(factor[1][0] / factor[0][0]))
+        out = np.flatnonzero((more[0] > 0) | (more[1] > 0))
+        if len(out):
+            first = np.zeros(len(factor[0]), dtype=np.int64)
+            first[group[::-1]] = np.arange(n - 1, -1, -1)
+            stems += [(level, int(i), float(np.log(base[1][i] / base[0][i]))) for i in first[out]]
+    word, out, own = [], np.zeros(n, dtype=bool), []
+    for kind, more, below in zip(kinds, excess(kinds), base):
         total = max(kind.sum(), 1)
-        word.append(more / total + (1 - more.sum() / total) * shared)
+        own.append(1 - more.sum() / total)
+        word.append(more / total + own[-1] * below)
+        out |= more > 0
     single = np.log(word[1]) - np.log(word[0])
+    last = math.log(own[1] / own[0])
+    stems = [(level, i, ratio + sum(rest[level + 1 :]) + last) for level, i, ratio in stems]
     # Only counts that can exceed their discount are looked at further.
     every = np.unique(np.concatenate([k[c > strict * np.sqrt(c + 1)] for _, (k, c) in counted]))
     have = []
@@ -124,12 +199,12 @@ def _models(counted: list, sizes: tuple[int, int], n: int, strict: float) -> tup
     # A bigram without an excess is its backoff alone and needs no entry.
     use = (over[0] > 0) | (over[1] > 0)
     more = (np.log(full[1]) - np.log(full[0]) - step[left] - single[right])[use]
-    return single, step, (every[use], more.astype(np.float32))
+    return single, step, (every[use], more.astype(np.float32)), out, stems
 
 
-def _compact(words: list[str], single: np.ndarray, step: np.ndarray, every: np.ndarray, more: np.ndarray, share: float) -> ToxicModel:
-    """Keeps words that differ from a new word (place 0) or stand in a kept bigram; all others score as it does."""
-    use = (np.abs(single - single[0]) > 1e-12) | (step != 0)
+def _compact(words: list[str], single: np.ndarray, step: np.ndarray, every: np.ndarray, more: np.ndarray, out: np.ndarray, stems: list, share: float) -> ToxicModel:
+    """Keeps words that stand out or are in a kept bigram; all others score as their longest kept stem does, or as a new word (place 0)."""
+    use = out | (step != 0)
     use[every >> 32] = use[every & 0xFFFFFFFF] = True
     use[0] = True
     old = np.flatnonzero(use)
@@ -137,11 +212,12 @@ def _compact(words: list[str], single: np.ndarray, step: np.ndarray, every: np.n
     new[old] = np.arange(len(old))
     key = (new[every >> 32] << 32) | new[every & 0xFFFFFFFF]
     order = np.argsort(key)
-    return ToxicModel([words[i - 1] for i in old[1:].tolist()], (single + step)[old].astype(np.float32), key[order], more[order], 1.0, 0.0, share)
+    worth = np.concatenate([(single + step)[old], [ratio for _, _, ratio in stems]]).astype(np.float32)
+    return ToxicModel([words[i - 1] for i in old[1:].tolist()], [words[i - 1][: STEMS[level]] for level, i, _ in stems], worth, key[order], more[order], 1.0, 0.0, share)
 
 
 def fit(texts: list[str], toxic: list[int], share: float, weights: tuple[float, float], grid: tuple[float, ...] = (2.5, 4.0, 5.0)) -> ToxicModel:
-    """Fits models and curve; every fourth text of a class is kept for the curve and to choose the discount."""
+    """Fits models and curve; every fourth text of a class is kept for the curve and to choose discount and stems."""
     pairs = sorted(set(zip(texts, toxic)), key=lambda x: hashlib.blake2b(x[0].encode("utf-8", "surrogatepass"), digest_size=8).digest())  # copies count once
     texts, toxic = [t for t, _ in pairs], [y for _, y in pairs]
     turn, learn = [0, 0], []
@@ -154,13 +230,14 @@ def fit(texts: list[str], toxic: list[int], share: float, weights: tuple[float,
         if x:
             tokens[y].append(np.array([place.setdefault(w, len(place) + 1) for w in WORDS.findall(t.lower())], dtype=np.int64))
     counted = [_counts(t) for t in tokens]
+    levels = _stem_levels(list(place), tokens)
     sizes = (max(len(tokens[0]), 1), max(len(tokens[1]), 1))
     rest = [(t, y) for t, y, x in zip(texts, toxic, learn) if not x]
     y = np.array([y for _, y in rest], dtype=float)
     best, least = None, math.inf
-    for strict in grid:
-        single, step, (every, more) = _models(counted, sizes, len(place) + 1, strict)
-        model = _compact(list(place), single, step, every, more, share).prepare()
+    for strict, stemmed in ((s, x) for s in grid for x in (False, True)):
+        single, step, (every, more), out, stems = _models(counted, sizes, len(place) + 1, strict, levels if stemmed else [])
+        model = _compact(list(place), single, step, every, more, out, stems, share).prepare()
         mean, size = model.evidence([t for t, _ in rest])
         use = size > 0
         w = np.where(y[use] > 0, weights[1], weights[0])
@@ -196,7 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     share = n1 / (n0 + n1) if n0 + n1 else 0.0
-    flat = ToxicModel([], np.zeros(1, np.float32), np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, math.log(share / (1 - share)) if 0 < share < 1 else (60.0 if share else -60.0), share)
+    flat = ToxicModel([], [], np.zeros(1, np.float32), np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, math.log(share / (1 - share)) if 0 < share < 1 else (60.0 if share else -60.0), share)
     if min(n0, n1) == 0:
         return flat
     # Ids only: at most twice per_class rows come to the driver.

@@ -382,3 +382,28 @@ def test_pipeline_keeps_clean(spark, tmp_path):
     assert seen[1] == seen[0] - {1, 2, 3} and seen[2] == seen[1]
     assert docs.where("not lossless").isEmpty()
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_toxicity_judges_new_endings_by_their_stem():
+    import random
+
+    from helixplan.llm.toxicity import fit
+
+    draw = random.Random(5)
+    parts = ["ba", "lo", "mi", "ne", "ru", "sa", "to", "vi"]
+
+    def word(n=4):
+        return "".join(draw.choice(parts) for _ in range(n))
+
+    def text(toxic):
+        words = [word() for _ in range(40)]
+        for at in draw.sample(range(40), 6 if toxic else 0):
+            words[at] = "zukem" + word(3)
+        return " ".join(words)
+
+    marks = [int(i % 4 == 0) for i in range(400)]
+    model = fit([text(y) for y in marks], marks, 0.25, (1.0, 1.0))
+    fresh = model.score([text(y) for y in marks])
+    assert "zukem" in model.stems
+    assert all((p >= 0.5) == (y == 1) for p, y in zip(fresh, marks))
+    assert model.place["zuke"] == 0 and model.place["zukem"] == model.place["zuke1"] != model.place["zukembalo"]
