@@ -137,6 +137,28 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.degrees(K.oriented(_solid(spark, sf_dir)), PARAMS.k).where("terminal").select("kmer")
 
 
+@_register
+def kmer_oriented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.oriented(_solid(spark, sf_dir))
+
+
+@_register
+def kmer_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.successors(K.oriented(_solid(spark, sf_dir)), PARAMS.k)
+
+
+@_register
+def kmer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the benchmark's k-mers among the documents' solid ones."""
+    asked = K.kmer_windows(S.sequences(_table(spark, sf_dir, "benchmark"), "item_id"), PARAMS.k)
+    return K.lookup(asked, _solid(spark, sf_dir))
+
+
+@_register
+def pair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.packed_pairs(document_pairs(_table(spark, sf_dir, "documents"))).select("pair_id", F.hex("record").alias("record"))
+
+
 @_on_graph
 def graph_edges(g: G.Graph, scratch: Scratch) -> DataFrame:
     return g.edges
@@ -152,6 +174,22 @@ def graph_adjacency(g: G.Graph, scratch: Scratch) -> DataFrame:
     return G.adjacency(g).select("node_id", F.array_join("in_edges", ",").alias("in_edges"), F.array_join(F.array_sort(F.map_values("out_edges")), ",").alias("out_edges"))
 
 
+@_on_graph
+def edge_ends(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return G.edge_ends(g)
+
+
+@_on_graph
+def edge_labels(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return g.edges.select("edge_id", S.edge_label(F.col("seq")).alias("label"))
+
+
+@_on_graph
+def simplified_edges(g: G.Graph, scratch: Scratch) -> DataFrame:
+    """The graph without its edges of one base, compacted."""
+    return G.simplify(G.without_edges(g, g.edges.where(F.length("seq") < 2)), scratch).edges
+
+
 @_on_graph
 def edge_len_hist(g: G.Graph, scratch: Scratch) -> DataFrame:
     return stats.length_histogram(stats.edge_lengths(g))
@@ -228,6 +266,12 @@ def explained_pairs(g: G.Graph, pairs: DataFrame, scratch: Scratch) -> DataFrame
     return W.explained(W.pair_positions(pairs, g, PARAMS), PARAMS)
 
 
+@_on_pairs
+def unexplained_pairs(g: G.Graph, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    placed = scratch.keep(W.pair_positions(pairs, g, PARAMS))
+    return W.unexplained(placed, PARAMS).select("pair_id", "orient").distinct()
+
+
 @_on_graph
 def reach_min_dist(g: G.Graph, scratch: Scratch) -> DataFrame:
     branches = g.edges.groupBy(F.col("src").alias("target")).count().where("count > 1").select("target")

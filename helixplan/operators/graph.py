@@ -100,6 +100,14 @@ def node_degrees(g: Graph) -> DataFrame:
     return g.nodes.join(sums, "node_id", "left").select("node_id", "kmer", F.coalesce("in_deg", F.lit(0)).alias("in_deg"), F.coalesce("out_deg", F.lit(0)).alias("out_deg"))
 
 
+def edge_ends(g: Graph) -> DataFrame:
+    """Each edge with the k-mers of its nodes, the start's out-degree and the end's in-degree."""
+    d = node_degrees(g)
+    start = d.select(F.col("node_id").alias("src"), F.col("kmer").alias("src_kmer"), F.col("out_deg").alias("src_out"))
+    end = d.select(F.col("node_id").alias("dst"), F.col("kmer").alias("dst_kmer"), F.col("in_deg").alias("dst_in"))
+    return g.edges.join(start, "src").join(end, "dst").select("edge_id", "src_kmer", "src_out", "dst_kmer", "dst_in")
+
+
 def simplify(g: Graph, scratch: Scratch) -> Graph:
     """Drops isolated nodes and joins the two edges of every node with one in and one out; cycles of such nodes vanish.
 

@@ -51,6 +51,19 @@ def degrees(kmers: DataFrame, k: int) -> DataFrame:
     return found.withColumn("terminal", odd)
 
 
+def successors(kmers: DataFrame, k: int) -> DataFrame:
+    """``(kmer, next)``: pairs of distinct oriented k-mers that overlap in k-1 letters; at most four of each, so no key is hot."""
+    left = kmers.select("kmer", F.substring("kmer", 2, k - 1).alias("overlap"))
+    right = kmers.select(F.col("kmer").alias("next"), F.substring("kmer", 1, k - 1).alias("overlap"))
+    return left.join(right, "overlap").select("kmer", "next")
+
+
+def lookup(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(kmer, cnt)`` of distinct k-mers of either strand; ``cnt`` is null where the table has none."""
+    keys = asked.select("kmer").distinct().withColumn("__key", S.canonical(F.col("kmer")))
+    return keys.join(counts.select(F.col("kmer").alias("__key"), "cnt"), "__key", "left").select("kmer", "cnt")
+
+
 def conversion_counters(pairs: DataFrame, k: int) -> DataFrame:
     """Pairs, k-mer windows of both mates, and pairs with a mate shorter than ``k``."""
     n = lambda c: F.greatest(F.length(c) - (k - 1), F.lit(0)).cast("long")

@@ -95,6 +95,8 @@ def _sql(head: str, tail: str) -> str:
 
 def build(k: int, short_k: int, cutoff: int, contig_above: int) -> dict[str, str]:
     rc = RC.format
+    code = "(strpos('AGCT', substr({0}, i + {1}, 1)) - 1) * {2}".format
+    record = lambda m: f"printf('%02X', length({m})) || list_aggregate(list_transform(range(1, length({m}) + 1, 4), lambda i: printf('%02X', {' + '.join(f'CASE WHEN i + {j} <= length({m}) THEN {code(m, j, 4**j)} ELSE 0 END' for j in range(4))})), 'string_agg', '')"
     label = "CASE WHEN length(seq) <= 50 THEN seq ELSE length(seq)::VARCHAR END"
     hist = "hist AS (SELECT length(seq)::BIGINT AS len, count(*) AS cnt FROM edges GROUP BY 1), run AS (SELECT len, cnt, sum(len * cnt) OVER (ORDER BY len) AS upto, sum(cnt) OVER (ORDER BY len) AS n, sum(len * cnt) OVER () AS total, sum(cnt) OVER () AS rows FROM hist)"
     long = hist.replace("FROM edges", f"FROM edges WHERE length(seq) > {contig_above}")
@@ -114,6 +116,29 @@ def build(k: int, short_k: int, cutoff: int, contig_above: int) -> dict[str, str
         "conversion_counters": _sql(f"{_seqs()}, {_pairs()}", f"SELECT count(*) AS pairs, sum(greatest(length(mate1) - {k - 1}, 0) + greatest(length(mate2) - {k - 1}, 0))::BIGINT AS kmers, count(*) FILTER (length(mate1) < {k} OR length(mate2) < {k}) AS short_pairs FROM pairs"),
         "kmer_degrees": _sql(_degrees(k), "SELECT kmer, in_deg, out_deg, terminal FROM degrees"),
         "graph_nodes": _sql(_degrees(k), "SELECT kmer FROM nodes"),
+        "kmer_oriented": _sql(_solid(k), "SELECT kmer FROM oriented"),
+        "kmer_successors": _sql(_solid(k), f"SELECT a.kmer, b.kmer AS next FROM oriented a JOIN oriented b ON right(a.kmer, {k - 1}) = left(b.kmer, {k - 1})"),
+        "kmer_lookup": _sql(
+            f"{_solid(k)}, genome AS (SELECT upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS g FROM benchmark), asked AS (SELECT DISTINCT unnest(list_transform(range(1, length(g) - {k} + 2), lambda i: substr(g, i, {k}))) AS kmer FROM genome WHERE length(g) >= {k})",
+            f"SELECT a.kmer, s.cnt FROM asked a LEFT JOIN solid s ON s.kmer = least(a.kmer, {rc('a.kmer')})",
+        ),
+        "pair_records": _sql(
+            f"{_seqs()}, {_pairs()}, packed AS (SELECT pair_id, {record('mate1')} || {record('mate2')} AS record FROM pairs)",
+            "SELECT pair_id, record FROM packed",
+        ),
+        "edge_ends": _sql(
+            f"{_edges(k)}, outs2 AS (SELECT src, count(*) AS n FROM edges GROUP BY 1), ins2 AS (SELECT dst, count(*) AS n FROM edges GROUP BY 1)",
+            "SELECT edge_id, src AS src_kmer, o.n AS src_out, dst AS dst_kmer, i.n AS dst_in FROM edges JOIN outs2 o USING (src) JOIN ins2 i USING (dst)",
+        ),
+        "edge_labels": _sql(_edges(k), f"SELECT edge_id, {label} AS label FROM edges"),
+        "simplified_edges": _sql(
+            f"""{_edges(k)}, cut AS MATERIALIZED (SELECT * FROM edges WHERE length(seq) > 1),
+plain AS MATERIALIZED (SELECT n FROM (SELECT src AS n, 0 AS i, 1 AS o FROM cut UNION ALL SELECT dst, 1, 0 FROM cut) GROUP BY n HAVING sum(i) = 1 AND sum(o) = 1),
+chain(edge_id, src, dst, seq) AS (SELECT edge_id, src, dst, seq FROM cut WHERE src NOT IN (FROM plain)
+  UNION ALL SELECT c.edge_id, c.src, e.dst, c.seq || e.seq FROM chain c JOIN cut e ON e.src = c.dst WHERE c.dst IN (FROM plain))""",
+            "SELECT edge_id, src, dst, seq FROM chain WHERE dst NOT IN (FROM plain)",
+        ),
+        "unexplained_pairs": _sql(_placed(k), "SELECT DISTINCT pair_id, orient FROM placed WHERE (pair_id, orient) NOT IN (SELECT (pair_id, orient) FROM clear)"),
         "graph_edges": _sql(_edges(k), "SELECT edge_id, src, dst, seq FROM edges"),
         "graph_counts": _sql(_edges(k), "SELECT (SELECT count(*) FROM nodes) AS nodes, count(*) AS edges, coalesce(sum(length(seq)), 0)::BIGINT AS total_len FROM edges"),
         "graph_adjacency": _sql(_edges(k), "SELECT kmer AS node_id, (SELECT string_agg(edge_id, ',' ORDER BY edge_id) FROM edges WHERE dst = kmer) AS in_edges, (SELECT string_agg(edge_id, ',' ORDER BY edge_id) FROM edges WHERE src = kmer) AS out_edges FROM nodes"),
