@@ -80,7 +80,10 @@ class ToxicModel:
     def evidence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Mean log ratio and number of words of each text."""
         place = self.place
-        found = [[place[w] for w in WORDS.findall(t.lower())] if t else [] for t in texts]
+        if self.stems:
+            found = [[place[w] for w in WORDS.findall(t.lower())] if t else [] for t in texts]
+        else:
+            found = [[place.get(w, 0) for w in WORDS.findall(t.lower())] if t else [] for t in texts]
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         total = np.zeros(len(found))
         if size.sum():
