@@ -407,3 +407,57 @@ def test_toxicity_judges_new_endings_by_their_stem():
     assert "zukem" in model.stems
     assert all((p >= 0.5) == (y == 1) for p, y in zip(fresh, marks))
     assert model.place["zuke"] == 0 and model.place["zukem"] == model.place["zuke1"] != model.place["zukembalo"]
+
+
+def _similar(a, b, words=5):
+    """Exact Jaccard similarity of two texts' shingles."""
+    sets = []
+    for t in (a, b):
+        w = low(t).split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(len(w) - words + 1, 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_pipeline_drops_near_copies(spark, tmp_path):
+    from corpus_pipeline import drop_near_copies
+    from helixplan.llm.near_copies import near_copies
+
+    rng = random.Random(12)
+    texts = [None, "", " \n", "one two", "one two three"]
+    for base in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        texts.append(" ".join(words))
+        # One copy on either side of similarity 0.8, and a copy of a copy.
+        for changes in (2, 5, 9):
+            copy = list(words)
+            for at in rng.sample(range(200), changes):
+                copy[at] = f"new{base}"
+            texts.append(" ".join(copy))
+            if changes == 2:
+                copy[100] = "again"
+                texts.append(" ".join(copy))
+    # A crowd about one text, a text at its rim and one that only the rim is near to.
+    words = [f"c{i}" for i in range(200)]
+    for k in range(20):
+        texts.append(" ".join(words[:k] + ["x"] + words[k + 1 :]))
+    rim = words[:184] + [f"r{i}" for i in range(16)]
+    texts += [" ".join(rim), " ".join([f"s{i}" for i in range(16)] + rim[16:])]
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if _similar(texts[i], texts[j]) >= 0.8:
+                a, b = sorted((find(i), find(j)))
+                up[b] = a
+    want = {i for i in range(len(texts)) if find(i) == i}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert 60 < len(want) < len(texts) - 60
+    assert {r.doc_id for r in drop_near_copies(spark, docs, str(tmp_path)).collect()} == want
+    # Crowded groups are first compared with one of their sets.
+    got = {r.doc_id: r.component_id for r in near_copies(docs, crowd=2).collect()}
+    assert got == {i: find(i) for i in range(len(texts)) if sum(find(j) == find(i) for j in range(len(texts))) > 1}
