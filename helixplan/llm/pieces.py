@@ -4,26 +4,29 @@ The vocabulary is a public merge-type model read from a path that is a parameter
 stretches that no merge crosses: a run of space marks with the word after it, or a run of line feeds. In a
 stretch every adjacent pair that is a piece is a candidate on an agenda; the best score goes first and the
 leftmost among equals. With ``dropout > 0`` a candidate is skipped if a hash keyed by the seed, the
-variant, the stretch, the candidate's place and its piece falls below the dropout rate; a skipped candidate
-can return only as part of a wider one. The variant is drawn by a keyed hash from the document's id and
-steps with every stretch, so that one word is cut in up to ``variants`` ways; the cut of a (word, variant)
-is remembered in a table that is emptied when full.
+document's id, the stretch's place in the text, the candidate's span and its piece falls below the dropout
+rate; a skipped candidate can return only as part of a wider one. So every occurrence of a word is drawn by
+itself. Only the cut without dropout and its merges are remembered, in a table that is emptied when full: an
+occurrence that skips none of these merges is cut like that, every other is cut anew.
 
 Decoding is exact for every text: a space mark that stands in the text itself, and characters that the
 vocabulary lacks, are spelled in byte pieces. The one space that encoding puts before a text is taken off.
 
 Edge cases: a null text gives no ids and decodes to the empty text; the empty text gives no ids; repeated
-rows and ties of id are encoded each by itself, alike if id and text are alike; a null id has variant 0 of
-the hash of the empty key; further columns are not touched.
+rows and ties of id are encoded each by itself, alike if id and text are alike (with ``copies`` the rows of a
+task that are alike are numbered and the number joins the key); a null id counts as the empty text; further
+columns are not touched.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
-import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +41,24 @@ REMEMBERED = 250_000
 LONG = 48
 NONE = 1 << 60
 FAR = np.int32(2**31 - 1)
+#: Stretches whose merges are drawn at a time.
+BLOCK = 1 << 16
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    x = (x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)
+    return x ^ (x >> np.uint32(15))
 
 
 class Pieces:
     """Cuts texts by the merges of a SentencePiece model; see the module's text."""
 
-    def __init__(self, model: bytes, seed: int = 17, dropout: float = 0.1, variants: int = 2):
+    def __init__(self, model: bytes, seed: int = 17, dropout: float = 0.1):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.seed, self.variants = seed, variants if dropout > 0 else 1
+        self.seed = seed
         self.below = int(dropout * (1 << 32))
         plain = [i for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {sp.id_to_piece(i): i for i in plain}
@@ -62,14 +73,27 @@ class Pieces:
         if crossing:
             raise ValueError("pieces of this vocabulary run over word borders")
         self.stretch = re.compile(f"{MARK}+[^{MARK}\n\x00]*|\n+|\x00[\x01\x02]|[^{MARK}\n\x00]+")
-        self.tables: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.held = 0
+        self.tables: dict[int, dict[str, bytes]] = {}
+        self._forget()
         self.latin = np.array([self.ids.get(chr(c), -1) for c in range(0x500)] + [-1], dtype=np.int32)
         pairs = sorted((self.ids[p[:i]] << 20 | self.ids[p[i:]], self.rank[p], self.ids[p]) for p in self.rank for i in range(1, len(p)) if p[:i] in self.ids and p[i:] in self.ids)
         self.pair_key, self.pair_rank, self.pair_made = (np.array(x, dtype=t) for x, t in zip(zip(*pairs), (np.int64, np.int32, np.int32)))
 
-    def salt(self, key: str) -> int:
-        return zlib.crc32(key.encode("utf-8", "surrogatepass"), self.seed)
+    def _forget(self) -> None:
+        """Empties the table of words: their places, cuts without dropout, and where each one's merges begin."""
+        self.known: dict[str, int] = {}
+        self.cuts: list[bytes] = []
+        self.held = 0
+        self.begin = np.zeros(1, dtype=np.int64)
+        self.merge_rank = self.merge_place = np.zeros(0, dtype=np.uint32)
+
+    def _salts(self, key: str, n: int) -> np.ndarray:
+        """Salts of the stretches of one text."""
+        start = int.from_bytes(hashlib.blake2b(f"{self.seed}:{key}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        x = np.uint64(start) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return (x >> np.uint64(32)).astype(np.uint32)
 
     def _skips(self, salt: int, start: int, end: int, rank: int) -> bool:
         x = ((salt ^ (rank * 0x9E3779B1)) + start * 0x85EBCA6B + end * 0xC2B2AE35) & 0xFFFFFFFF
@@ -77,16 +101,15 @@ class Pieces:
         x = ((x ^ (x >> 12)) * 0x297A2D39) & 0xFFFFFFFF
         return (x ^ (x >> 15)) < self.below
 
-    def cut(self, word: str, variant: int) -> list[int]:
-        """Ids of one stretch."""
+    def cut(self, word: str, salt: int | None, merges: list | None = None) -> list[int]:
+        """Ids of one stretch, without dropout if ``salt`` is None; appends ``(start, end, rank)`` of what is merged."""
         if word[0] == "\x00":
             return [self.byte[b] for b in (b"\x00" if word[1] == "\x01" else MARK.encode())]
         if len(word) == 1:
             return self._spell([word])
-        salt = zlib.crc32(word.encode("utf-8", "surrogatepass"), self.seed * 1000003 + variant & 0xFFFFFFFF)
         if len(word) > LONG:
-            return self._spell(self._agenda(word, salt))
-        rank, below, skips = self.rank.get, self.below, self._skips
+            return self._spell(self._agenda(word, salt, merges))
+        rank, below, skips = self.rank.get, salt is not None and self.below, self._skips
         parts, at = list(word), list(range(len(word) + 1))
         best = [rank(a + b, NONE) for a, b in zip(parts, parts[1:])]
         if below:
@@ -100,6 +123,8 @@ class Pieces:
             i = best.index(r)
             merged = parts[i] = parts[i] + parts[i + 1]
             del parts[i + 1], at[i + 1], best[i]
+            if merges is not None:
+                merges.append((at[i], at[i + 1], r))
             if i:
                 r = rank(parts[i - 1] + merged, NONE)
                 best[i - 1] = NONE if below and r != NONE and skips(salt, at[i - 1], at[i + 1], r) else r
@@ -108,9 +133,9 @@ class Pieces:
                 best[i] = NONE if below and r != NONE and skips(salt, at[i], at[i + 2], r) else r
         return self._spell(parts)
 
-    def _agenda(self, word: str, salt: int) -> list[str]:
+    def _agenda(self, word: str, salt: int | None, merges: list | None) -> list[str]:
         """The same cut for long stretches: a heap and a linked list."""
-        n, rank, below = len(word), self.rank.get, self.below
+        n, rank, below = len(word), self.rank.get, salt is not None and self.below
         end, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
         def offer(i: int, j: int) -> None:
@@ -121,10 +146,12 @@ class Pieces:
             offer(i, i + 1)
         gone = bytearray(n)
         while heap:
-            _, i, j, stop = heapq.heappop(heap)
+            r, i, j, stop = heapq.heappop(heap)
             if gone[i] or gone[j] or end[i] != j or end[j] != stop:
                 continue
             gone[j], end[i] = 1, stop
+            if merges is not None:
+                merges.append((i, stop, r))
             if stop < n:
                 before[stop] = i
                 offer(i, stop)
@@ -146,53 +173,68 @@ class Pieces:
                 out += [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
         return out
 
-    def _fill(self, variant: int, words: list[str]) -> None:
-        """Cuts many stretches in step: in each round every word makes its best merge."""
-        table = self.tables[variant]
-        by_width: dict[int, list[str]] = {}
-        for w in words:
+    def _fill(self, salt: int, words: list[str]) -> None:
+        """Cuts of stretches under one salt."""
+        self.tables[salt] = dict(zip(words, self._cut_many(words, np.full(len(words), salt, dtype=np.uint32))[0]))
+
+    def _cut_many(self, words: list[str], salts: np.ndarray | None) -> tuple[list[bytes], list[np.ndarray]]:
+        """Cuts many stretches in step: in each round every word makes its best merge. Without salts also the merges, ``(word, start, end, rank)``."""
+        out, merges = [b""] * len(words), []
+        by_width: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
             n = len(w)
-            self.held += n
             if 1 < n <= LONG:
-                by_width.setdefault(8 if n <= 8 else 16 if n <= 16 else 32 if n <= 32 else LONG, []).append(w)
+                by_width.setdefault(8 if n <= 8 else 16 if n <= 16 else 32 if n <= 32 else LONG, []).append(k)
             else:
-                table[w] = array("i", self.cut(w, variant)).tobytes()
+                self._cut_alone(words, k, salts, out, merges)
         for width, group in by_width.items():
             for at in range(0, len(group), 16384):
-                self._fill_group(variant, group[at : at + 16384], width)
-
-    def _fill_group(self, variant: int, words: list[str], width: int) -> None:
-        table, n, seed = self.tables[variant], len(words), self.seed * 1000003 + variant & 0xFFFFFFFF
-        code = np.frombuffer("".join([w.ljust(width, "\x01") for w in words]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, width)
-        size = np.fromiter(map(len, words), dtype=np.int32, count=n)
+                self._cut_group(words, group[at : at + 16384], salts, width, out, merges)
+        return out, merges
+
+    def _cut_alone(self, words: list[str], k: int, salts: np.ndarray | None, out: list[bytes], merges: list[np.ndarray]) -> None:
+        made: list = []
+        out[k] = array("i", self.cut(words[k], None if salts is None else int(salts[k]), made)).tobytes()
+        if salts is None and made:
+            merges.append(np.array([(k, *m) for m in made], dtype=np.int64).T)
+
+    def _cut_group(self, words: list[str], group: list[int], salts: np.ndarray | None, width: int, out: list[bytes], merges: list[np.ndarray]) -> None:
+        n = len(group)
+        code = np.frombuffer("".join([words[k].ljust(width, "\x01") for k in group]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, width)
+        size = np.fromiter((len(words[k]) for k in group), dtype=np.int32, count=n)
         column = np.arange(width, dtype=np.int32)
         inside = column < size[:, None]
         ids = self._char_ids(code)
         odd = ((ids < 0) & inside).any(axis=1)
         if odd.any():
             for k in np.flatnonzero(odd).tolist():
-                table[words[k]] = array("i", self.cut(words[k], variant)).tobytes()
-            words = [w for w, x in zip(words, odd.tolist()) if not x]
-            n, ids, size, inside = len(words), ids[~odd], size[~odd], inside[~odd]
+                self._cut_alone(words, group[k], salts, out, merges)
+            group = [k for k, x in zip(group, odd.tolist()) if not x]
+            n, ids, size, inside = len(group), ids[~odd], size[~odd], inside[~odd]
             if not n:
                 return
-        salt = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass"), seed) for w in words), dtype=np.uint32, count=n)
+        places = np.array(group)
+        salt = None if salts is None else salts[places]
         ids = np.where(inside, ids, 0)
         step = np.broadcast_to(column + 1, (n, width)).copy()
         back = np.broadcast_to(np.append(column, width) - 1, (n, width + 1)).copy()
         best = np.full((n, width), FAR, dtype=np.int32)
         made = np.zeros((n, width), dtype=np.int32)
         row, col = np.nonzero(inside[:, 1:])
-        best[row, col], made[row, col] = self._pair(ids[row, col], ids[row, col + 1], salt[row], col, col + 2)
+        best[row, col], made[row, col] = self._pair(ids[row, col], ids[row, col + 1], salt, row, col, col + 2)
         every = np.arange(n)
         while True:
-            at = best.argmin(axis=1)
-            row = np.flatnonzero(best[every, at] < FAR)
+            # Words that are done leave the rounds.
+            at = best[every].argmin(axis=1) if len(every) < n else best.argmin(axis=1)
+            some = best[every, at] < FAR
+            row, a = every[some], at[some]
             if not len(row):
                 break
-            a = at[row]
+            every = row
             b = step[row, a]
             c = step[row, b]
+            if salt is None:
+                merges.append(np.stack([places[row], a, c, best[row, a]]))
             ids[row, a] = made[row, a]
             ids[row, b] = -1
             best[row, b] = FAR
@@ -202,19 +244,43 @@ class Pieces:
             k = np.flatnonzero(c < size[row])
             if len(k):
                 r, x, y = row[k], a[k], c[k]
-                best[r, x], made[r, x] = self._pair(ids[r, x], ids[r, y], salt[r], x, step[r, y])
+                best[r, x], made[r, x] = self._pair(ids[r, x], ids[r, y], salt, r, x, step[r, y])
             k = np.flatnonzero(a > 0)
             if len(k):
                 r, y = row[k], a[k]
                 x = back[r, y]
-                best[r, x], made[r, x] = self._pair(ids[r, x], ids[r, y], salt[r], x, c[k])
+                best[r, x], made[r, x] = self._pair(ids[r, x], ids[r, y], salt, r, x, c[k])
         kept = inside & (ids >= 0)
         flat, end = ids[kept].astype(np.int32).tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
         start = 0
-        for w, stop in zip(words, end):
-            table[w] = flat[start:stop]
+        for k, stop in zip(group, end):
+            out[k] = flat[start:stop]
             start = stop
 
+    def _learn(self, words: list[str]) -> None:
+        """Remembers words: their cut without dropout and what is merged on the way."""
+        cuts, merges = self._cut_many(words, None)
+        self.known.update(zip(words, range(len(self.cuts), len(self.cuts) + len(words))))
+        self.cuts += cuts
+        self.held += sum(map(len, words))
+        word, start, end, rank = np.concatenate(merges, axis=1) if merges else np.zeros((4, 0), dtype=np.int64)
+        order = np.argsort(word, kind="stable")
+        rank, start, end = (x[order].astype(np.uint32) for x in (rank, start, end))
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.bincount(word, minlength=len(words)))])
+        self.merge_rank = np.concatenate([self.merge_rank, rank * np.uint32(0x9E3779B1)])
+        self.merge_place = np.concatenate([self.merge_place, start * np.uint32(0x85EBCA6B) + end * np.uint32(0xC2B2AE35)])
+
+    def _changed(self, at: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """Which occurrences of known words skip a merge of the cut without dropout."""
+        start = self.begin[at]
+        many = self.begin[at + 1] - start
+        each = np.repeat(np.arange(len(at)), many)
+        merge = np.arange(len(each)) - np.repeat(np.cumsum(many) - many - start, many)
+        x = _mixed((salt[each] ^ self.merge_rank[merge]) + self.merge_place[merge])
+        out = np.zeros(len(at), dtype=bool)
+        out[each[x < self.below]] = True
+        return out
+
     def _char_ids(self, code: np.ndarray) -> np.ndarray:
         ids = self.latin[np.minimum(code, len(self.latin) - 1)]
         far = code >= len(self.latin) - 1
@@ -223,17 +289,15 @@ class Pieces:
             ids[far] = np.array([self.ids.get(chr(c), -1) for c in some.tolist()], dtype=np.int32)[place]
         return ids
 
-    def _pair(self, left: np.ndarray, right: np.ndarray, salt: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _pair(self, left: np.ndarray, right: np.ndarray, salt: np.ndarray | None, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of each candidate; ``FAR`` where there is none or it is skipped."""
         key = (left.astype(np.int64) << 20) | right
         at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
         hit = self.pair_key[at] == key
         rank = np.where(hit, self.pair_rank[at], FAR).astype(np.int32)
-        if self.below:
-            x = (salt ^ (rank.astype(np.uint32) * np.uint32(0x9E3779B1))) + start.astype(np.uint32) * np.uint32(0x85EBCA6B) + end.astype(np.uint32) * np.uint32(0xC2B2AE35)
-            x = (x ^ (x >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-            x = (x ^ (x >> np.uint32(12))) * np.uint32(0x297A2D39)
-            rank[(x ^ (x >> np.uint32(15))) < self.below] = FAR
+        if self.below and salt is not None:
+            x = (salt[row] ^ (rank.astype(np.uint32) * np.uint32(0x9E3779B1))) + start.astype(np.uint32) * np.uint32(0x85EBCA6B) + end.astype(np.uint32) * np.uint32(0xC2B2AE35)
+            rank[_mixed(x) < self.below] = FAR
         return rank, self.pair_made[at]
 
     def encode(self, text: str | None, key: str = "") -> list[int]:
@@ -241,29 +305,26 @@ class Pieces:
         return np.frombuffer(self.encode_many([text], [key])[0], dtype=np.int32).tolist()
 
     def encode_many(self, texts: list[str | None], keys: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit integers; words that are not remembered yet are cut together."""
-        k = self.variants
-        if sum(map(len, self.tables)) > REMEMBERED or self.held > 20 * REMEMBERED:
-            self.held = 0
-            for table in self.tables:
-                table.clear()
-        work: list[tuple[list[str], int]] = []
-        missing: list[set[str]] = [set() for _ in range(k)]
-        for text, key in zip(texts, keys):
-            words = self.stretch.findall(MARK + self._marked(text)) if text else []
-            v = self.salt(key) % k
-            work.append((words, v))
-            for j in range(k):
-                missing[(v + j) % k].update(words[j::k])
-        for v, words in enumerate(missing):
-            if fresh := words.difference(self.tables[v]):
-                self._fill(v, list(fresh))
-        out = []
-        for words, v in work:
-            got: list = [None] * len(words)
-            for j in range(k):
-                got[j::k] = map(self.tables[(v + j) % k].__getitem__, words[j::k])
-            out.append(b"".join(got))
+        """Ids of each text as 32-bit integers; words that are not remembered yet are cut together, and so are changed occurrences."""
+        if len(self.known) > REMEMBERED or self.held > 20 * REMEMBERED:
+            self._forget()
+        work = [self.stretch.findall(MARK + self._marked(t)) if t else [] for t in texts]
+        words = list(chain.from_iterable(work))
+        if fresh := set(words).difference(self.known):
+            self._learn(list(fresh))
+        at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        got = list(map(self.cuts.__getitem__, at.tolist()))
+        if self.below and len(words):
+            salts = np.concatenate([self._salts(k, len(w)) for w, k in zip(work, keys)])
+            for block in range(0, len(words), BLOCK):
+                changed = np.flatnonzero(self._changed(at[block : block + BLOCK], salts[block : block + BLOCK])) + block
+                places = changed.tolist()
+                for k, cut in zip(places, self._cut_many([words[k] for k in places], salts[changed])[0]):
+                    got[k] = cut
+        out, end = [], 0
+        for w in work:
+            start, end = end, end + len(w)
+            out.append(b"".join(got[start:end]))
         return out
 
     @staticmethod
@@ -297,23 +358,30 @@ class Pieces:
 
 
 def encode_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = VOCABULARY, seed: int = 17, dropout: float = 0.1, variants: int = 2, check: bool = True
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = VOCABULARY, seed: int = 17, dropout: float = 0.1, check: bool = True, copies: bool = False
 ) -> DataFrame:
     """One row per input row: ``id_col``, ``n_pieces``, ``ids`` and ``lossless``, whether the ids decode to the text.
 
     A map over the rows: no shuffle, memory of one slice of rows and the bounded table of cut words. The
-    model (under 1 MB) goes with the task; the path is read on the driver.
+    model (under 1 MB) goes with the task; the path is read on the driver. With ``copies`` rows alike in id and
+    text are numbered within a task, so that copies which lie together, as mixing leaves them, are cut apart.
     """
     with open(model_path, "rb") as f:
         model = f.read()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model, seed, dropout, variants)
+        pieces, seen = Pieces(model, seed, dropout), Counter()
         for part in slices(batches, "__text"):
             keys = part.column(0)
             texts = part.column(1).to_pylist()
-            cuts = pieces.encode_many(texts, ["" if x is None else str(x) for x in keys.to_pylist()])
+            names = ["" if x is None else str(x) for x in keys.to_pylist()]
+            if copies:
+                for k, row in enumerate([(n, hash(t)) for n, t in zip(names, texts)]):
+                    if seen[row]:
+                        names[k] += f"\x00{seen[row]}"
+                    seen[row] += 1
+            cuts = pieces.encode_many(texts, names)
             ok = [not check or pieces.decode(np.frombuffer(ids, dtype=np.int32).tolist()) == (text or "") for text, ids in zip(texts, cuts)]
             offsets = np.cumsum([0, *(len(x) // 4 for x in cuts)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(cuts), dtype=np.int32)))

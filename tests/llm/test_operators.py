@@ -461,3 +461,35 @@ def test_pipeline_drops_near_copies(spark, tmp_path):
     # Crowded groups are first compared with one of their sets.
     got = {r.doc_id: r.component_id for r in near_copies(docs, crowd=2).collect()}
     assert got == {i: find(i) for i in range(len(texts)) if sum(find(j) == find(i) for j in range(len(texts))) > 1}
+
+
+def test_pieces_draw_dropout_for_every_occurrence(spark, tmp_path):
+    import numpy as np
+
+    from corpus_pipeline import cut_pieces
+    from helixplan.llm.pieces import MARK, VOCABULARY, Pieces, encode_documents
+
+    model = open(VOCABULARY, "rb").read()
+    pieces = Pieces(model)
+    word = MARK + "understanding"
+    n = 4000
+    whole = pieces.encode(" ".join(["understanding"] * n), "5")
+    salts = pieces._salts("5", n)
+    each = [pieces.cut(word, int(x)) for x in salts]
+    # What is remembered gives each occurrence's own cut.
+    assert whole == [i for ids in each for i in ids]
+    assert len({tuple(x) for x in each}) > 10
+    merges: list = []
+    plain = pieces.cut(word, None, merges)
+    changed = pieces._changed(np.full(n, pieces.known[word]), salts)
+    assert abs(changed.mean() - (1 - 0.9 ** len(merges))) < 0.04
+    assert all(x == plain for x, c in zip(each, changed) if not c)
+    assert not np.array_equal(salts, pieces._salts("6", n))
+    texts = [LOREM, "odd 中中 éé " + "ab" * 60, "\x00 ▁ word"] * 3
+    got = [np.frombuffer(x, dtype=np.int32).tolist() for x in pieces.encode_many(texts, [str(k) for k in range(9)])]
+    for k, t in enumerate(texts):
+        words = pieces.stretch.findall(MARK + pieces._marked(t))
+        assert got[k] == [i for w, x in zip(words, pieces._salts(str(k), len(words))) for i in pieces.cut(w, int(x))]
+    docs = spark.createDataFrame([(1, LOREM * 5)] * 3 + [(2, LOREM * 5)], "doc_id bigint, text string").coalesce(1)
+    assert len({tuple(r.ids) for r in cut_pieces(spark, docs, str(tmp_path)).collect()}) == 4
+    assert len({tuple(r.ids) for r in encode_documents(docs).collect()}) == 2
