@@ -1,12 +1,12 @@
-"""Exact deduplication by a tree-merge of sorted digest runs.
+"""Exact deduplication by repeated hash aggregation of digest runs.
 
 Every row gets a digest (SHA-256 of the normalised text) with two independent witnesses, its byte length
-and a 64-bit hash of another family, and falls into one of ``runs`` runs by a hash of its id. A run is
-sorted by digest and holds one entry per text: smallest and largest id and row count. In each binomial
-round ``fan_in`` neighbouring runs meet, slice by slice of the digest range, and are merged again; entries
-merge only if digest and both witnesses agree, so every level keeps verified ids alone. After the last
-round one run is left, spread over the digest slices. The way down is one equi-join on (digest, run): a
-text that makes up a third of all rows has one entry per run, so its rows never meet in one task.
+and a 64-bit hash of another family, and falls into one of ``runs`` runs by a hash of its id. A run holds
+one entry per text: smallest and largest id and row count. In each round ``fan_in`` neighbouring runs are
+united by an aggregation over (run, digest, witnesses), which stands in for a merge of sorted runs: nothing
+is sorted. Entries unite only if digest and both witnesses agree, so every level keeps verified ids alone.
+After the last round one run is left. The way down is one equi-join on (digest, run): a text that makes up
+a third of all rows has one entry per run, so its rows never meet in one task.
 
 Edge cases: a null text counts as the empty text; an empty table gives no rows; repeated rows and ties of
 id are rows of their group each, and all rows that carry the kept id are marked as kept; a null id takes
