@@ -1,4 +1,4 @@
-"""Toxicity by class-conditional Kneser-Ney word models.
+"""Toxicity by class-conditional word models with discounted text counts (not Kneser-Ney: no continuation counts).
 
 Two bigram models, one of toxic and one of ordinary texts, count in how many texts an expression occurs and
 are smoothed by discounting: a bigram backs off to its class's words, a word to its class's stems (its first
