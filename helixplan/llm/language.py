@@ -10,7 +10,8 @@ sample texts; ``rejected`` marks texts whose cross-entropy lies above nearly all
 language they are given.
 
 Models are fitted on a bounded, documented sample: up to ``per_lang`` documents of each language with the
-least keyed hash of their id, of up to ``longest`` characters each. Predictions read every whole text.
+least keyed hash of their id (and of their text, between equals), of longer ones, which are taken last, the
+first ``longest`` characters. Predictions read every whole text.
 Texts are lower-cased; what is not a letter counts as one space.
 
 Edge cases: a null text and one without a letter give ``und`` with score 0 and are not rejected; null
@@ -201,13 +202,18 @@ def _calibrate(model: LanguageModel, rest: list[tuple[str, str]], keep: float =
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, longest: int = 50_000, folds: int = 4, held: int = 2, order: int = 4) -> LanguageModel:
     """Learns from rows with a language whose fold is not ``held``."""
-    known = docs.where(F.col(lang_col).isNotNull() & (fold(F.col(id_col), folds) != held) & (F.length(text_col) <= longest))
-    ids = known.select(F.col(lang_col).alias("__l"), F.xxhash64(F.col(id_col).cast("string"), F.lit(11)).alias("__o"))
+    # Long documents are a language's last choice, and their first ``longest`` characters are learned.
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(F.col(id_col), folds) != held)).select(
+        F.col(lang_col).alias("__l"), F.struct((F.length(text_col) > longest).alias("long"), F.xxhash64(F.col(id_col).cast("string"), F.lit(11)).alias("id"), F.xxhash64(F.col(text_col), F.lit(12)).alias("text")).alias("__o"), F.substring(F.col(text_col), 1, longest).alias("__t")
+    )
+    ids = known.select("__l", "__o")
     langs = ids.groupBy("__l").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).count()
     if langs > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    least = ids.withColumn("n", F.row_number().over(Window.partitionBy("__l").orderBy("__o"))).where(F.col("n") <= per_lang).groupBy("__l").agg(F.max("__o").alias("__most"))
-    bound = known.select(F.col(text_col).alias("__t"), F.col(lang_col).alias("__l"), F.xxhash64(F.col(id_col).cast("string"), F.lit(11)).alias("__o")).join(F.broadcast(least), "__l").where("__o <= __most").orderBy("__l", "__o", "__t").limit(2 * per_lang * max(langs, 1))
+    rank = F.row_number().over(Window.partitionBy("__l").orderBy("__o"))
+    least = ids.withColumn("n", rank).where(F.col("n") <= per_lang).groupBy("__l").agg(F.max("__o").alias("__most"))
+    # Rows alike in id and text may be more than the rank lets in, so it counts once more.
+    bound = known.join(F.broadcast(least), "__l").where("__o <= __most").withColumn("n", rank).where(F.col("n") <= per_lang).orderBy("__l", "__o")
     rows = bound.select("__t", "__l").collect()
     return fit([r["__t"] for r in rows], [r["__l"] for r in rows], order)
 

@@ -493,3 +493,11 @@ def test_pieces_draw_dropout_for_every_occurrence(spark, tmp_path):
     docs = spark.createDataFrame([(1, LOREM * 5)] * 3 + [(2, LOREM * 5)], "doc_id bigint, text string").coalesce(1)
     assert len({tuple(r.ids) for r in cut_pieces(spark, docs, str(tmp_path)).collect()}) == 4
     assert len({tuple(r.ids) for r in encode_documents(docs).collect()}) == 2
+
+
+def test_language_learns_long_documents_and_every_language(spark):
+    from helixplan.llm.language import train
+
+    rows = [(i, f"wort{i} und mehr", "aa") for i in range(40)] + [(None, f"null {i}", "bb") for i in range(80)] + [(i, "ñandú " * 60, "cc") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert train(docs, per_lang=10, longest=100).langs == ["aa", "bb", "cc"]
