@@ -46,7 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables in the shared folder that cut lineage: a lost executor costs a re-read, not a re-run.
 
-    ``keep`` writes a DataFrame and reads it back; ``drop`` deletes tables that a loop no longer needs.
+    ``keep`` writes a DataFrame and reads it back; ``drop`` deletes tables that a loop no longer needs and
+    ``clear`` all that are left. A lazy result reads its tables when it is run, so its caller clears, or
+    ``sweep`` does once the results of a session are written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -64,10 +66,23 @@ class Scratch:
         self.paths[id(out)] = path
         return out
 
+    def clear(self) -> None:
+        """Deletes every table; for work whose result does not read them."""
+        self.paths.clear()
+        _delete(self.spark, self.base)
+
     def drop(self, *tables: DataFrame | None) -> None:
         for table in tables:
             path = self.paths.pop(id(table), None) if table is not None else None
             if path is not None:
-                jvm = self.spark._jvm
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+                _delete(self.spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Deletes all intermediate tables under the session's shared folder; call it when no result is still to be read."""
+    _delete(spark, f"{shared_dir(spark)}/helixplan")
