@@ -1,102 +1,137 @@
-"""Toxicity by class-conditional word models with discounted text counts (not Kneser-Ney: no continuation counts).
-
-Two bigram models, one of toxic and one of ordinary texts, count in how many texts an expression occurs and
-are smoothed by discounting: a bigram backs off to its class's words, a word to its class's stems (its first
-7, 6, 5 and 4 letters, so that unseen endings of a known stem are judged by it), and these to a distribution
-made of the counts that both classes share. Of each count is discounted what the other class would lead to expect
-and a number of standard deviations more; so a rare expression, which one class has by chance, is left to
-the shared counts, and a frequent one of a single class stands out. The number of deviations is the one of
-a short list that predicts held-back labels best. A text's
-evidence is the difference of its two log-likelihoods, divided by its number of words; a logistic curve,
-fitted on labelled texts that the models have not seen, turns it into a score. Where labels are so many that
-whole words tell enough, the same texts choose models without stems.
+"""Toxicity by class-conditional Kneser-Ney word models.
+
+Two bigram models, one of toxic and one of ordinary texts. Both orders count distinct contexts, as
+Kneser-Ney does below the top: a bigram counts the different words before it, a word the different words
+before it. (With occurrences on top, a passage that is copied many times would tell most; its contexts are
+the same in every copy and count once.) An absolute discount, n1 / (n1 + 2 n2) of the order's counts of
+counts, is taken from every count, and all of a count of one. A bigram backs off to its class's words, and
+these to shared backoff counts: the share that a word has in both classes, with a floor of ``floor`` discounts.
+The shared counts weigh ``weight`` times a class's own, so a rare expression, which one class has by chance,
+says next to nothing, and words that both classes use cancel out; an expression with many contexts in one
+class alone stands out. Weight and floor are those of a short list that predict held-back labels best.
+
+A text's evidence is the difference of its two log-likelihoods, divided by its number of words; a logistic
+curve, fitted on the held-back labels, turns it into a score.
 
 The models are fitted on a bounded, documented sample: of each class up to ``per_class`` labelled documents,
-those with the least keyed hash of their id, of up to ``longest`` characters each. Scoring reads every whole
-text. Words and bigrams lie in sorted arrays that are broadcast; their size is bounded by the sample.
+those with the least keyed hash of their id, of up to ``longest`` characters each. It is counted in the
+cluster; the driver gets words with two contexts or more, bigrams with three or more, and one row for each
+held-back text. Scoring reads every whole text, a slice of rows at a time.
 
 Edge cases: null and empty texts and texts without a letter or digit get the share of toxic labels as score;
 a null label counts as none, of several labels of a document the largest counts; a document without id has
-no label and counts as held out; repeated rows and ties are scored row by row; without labels of both
-classes every score is the share of toxic ones (0 without labels); further columns are not read.
+no label and counts as held out; repeated rows and ties are scored row by row; a text of any length is
+scored whole, with memory in proportion to it; without labels of both classes every score is the share of
+toxic ones (0 without labels); further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixplan.llm.common import fold, slices
+from helixplan.plans.runtime import Scratch
 
 WORDS = re.compile(r"\w+")
-#: Letters of a stem, shortest first; a word has the stems that are shorter than itself.
-STEMS = (4, 5, 6, 7)
-#: Places of words that a task remembers beside the model's own.
-REMEMBERED = 200_000
+#: Contexts that a word and a bigram have at least if they are to be more than their backoff.
+LEAST_WORD, LEAST_PAIR = 2, 3
+#: Weights of the shared counts and their floors that the held-back labels choose from.
+WEIGHTS, FLOORS = (30.0, 100.0, 300.0), (0.1, 0.03, 0.01)
+
+
+def _hash(word: str) -> int:
+    from xxhash import xxh64_intdigest
 
+    # Signed, and never 0, which stands for the start of a text.
+    return ((xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 3) >> 1) | 1) - (1 << 62)
 
-class _Places(dict):
-    """Place of a word: its own, else that of its longest stem, else 0."""
 
-    def __init__(self, words: list[str], stems: list[str]):
-        super().__init__((w, i + 1) for i, w in enumerate(words))
-        self.room = len(self) + REMEMBERED
-        self.stems = {t: len(words) + 1 + i for i, t in enumerate(stems)}
-        self.heads = {t[: STEMS[0]] for t in stems}
+@dataclass
+class Counts:
+    """What is known of the two classes (0 ordinary, 1 toxic).
+
+    ``contexts``: of each word, in each class; ``pairs``: places of left and right word, from 1, and contexts;
+    ``after``: contexts of all bigrams that begin with a word; ``totals`` and ``discounts`` by order and class.
+    """
 
-    def __missing__(self, word: str) -> int:
-        at = 0
-        if word[: STEMS[0]] in self.heads:
-            for n in reversed(STEMS):
-                if len(word) > n and (at := self.stems.get(word[:n], 0)):
-                    break
-        if len(self) < self.room:
-            self[word] = at
-        return at
+    words: list[str]
+    contexts: np.ndarray
+    pairs: np.ndarray
+    pair_contexts: np.ndarray
+    after: np.ndarray
+    totals: np.ndarray
+    word_discount: np.ndarray
+    pair_discount: np.ndarray
+
+
+def _excess(counts: np.ndarray, discount: float) -> np.ndarray:
+    return np.where(counts > 1, counts - discount, 0.0)
+
+
+def ratios(c: Counts, weight: float, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log ratios toxic against ordinary: of each place's word, of backing off from it, and of each pair. Place 0 is every other word."""
+    n = len(c.words) + 1
+    shared = np.zeros(n)
+    shared[1:] = np.minimum(*(c.contexts[k] / max(c.totals[k], 1) for k in (0, 1)))
+    shared += floor * c.word_discount.max() / max(c.totals.min(), 1)
+    word, back, pair = [], [], []
+    for k in (0, 1):
+        more = np.zeros(n)
+        more[1:] = _excess(c.contexts[k], c.word_discount[k])
+        total = max(c.totals[k], 1)
+        # What is discounted and the weight of the shared counts go to the backoff.
+        word.append((more + (total - more.sum() + weight * total) * shared) / ((1 + weight) * total))
+        over = np.where(c.pair_contexts[k] >= LEAST_PAIR, _excess(c.pair_contexts[k], c.pair_discount[k]), 0.0)
+        left, right = c.pairs
+        after = c.after[k]
+        held = 1000.0 + weight * after
+        leave = (np.maximum(after - np.bincount(left, weights=over, minlength=n), 0) + held) / (after + held)
+        back.append(leave)
+        pair.append(over / (after + held)[left] + leave[left] * word[-1][right])
+    return np.log(word[1] / word[0]), np.log(back[1] / back[0]), np.log(pair[1] / pair[0]) if len(pair[0]) else np.zeros(0)
 
 
 @dataclass
 class ToxicModel:
     words: list[str]
-    stems: list[str]
     single: np.ndarray
+    step: np.ndarray
     pair_key: np.ndarray
-    pair_more: np.ndarray
+    pair: np.ndarray
     slope: float
     offset: float
     share: float
+    place: dict[str, int] = field(default_factory=dict, repr=False)
 
     def prepare(self) -> ToxicModel:
-        self.place = _Places(self.words, self.stems)
+        if not self.place:
+            self.place.update((w, i + 1) for i, w in enumerate(self.words))
         return self
 
     def evidence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Mean log ratio and number of words of each text."""
-        place = self.place
-        if self.stems:
-            found = [[place[w] for w in WORDS.findall(t.lower())] if t else [] for t in texts]
-        else:
-            found = [[place.get(w, 0) for w in WORDS.findall(t.lower())] if t else [] for t in texts]
+        get = self.place.get
+        found = [[get(w, 0) for w in WORDS.findall(t.lower())] if t else [] for t in texts]
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         total = np.zeros(len(found))
         if size.sum():
             ids = np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(size.sum()))
-            worth = self.single[ids].astype(np.float64)
             text = np.repeat(np.arange(len(found)), size)
-            inside = (text[1:] == text[:-1]) & (ids[1:] > 0) & (ids[:-1] > 0)
-            if len(self.pair_key) and inside.any():
-                at = np.flatnonzero(inside)
-                key = (ids[at] << 32) | ids[at + 1]
-                k = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-                hit = self.pair_key[k] == key
-                worth[at[hit] + 1] += self.pair_more[k[hit]]
+            worth = self.single[ids]
+            inside = np.flatnonzero(text[1:] == text[:-1]) + 1
+            worth[inside] += self.step[ids[inside - 1]]
+            if len(self.pair_key):
+                key = (ids[inside - 1] << 32) | ids[inside]
+                at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+                hit = self.pair_key[at] == key
+                worth[inside[hit]] = self.pair[at[hit]]
             total = np.bincount(text, weights=worth, minlength=len(found))
         return total / np.maximum(size, 1), size
 
@@ -106,151 +141,11 @@ class ToxicModel:
         return np.where(size > 0, 1 / (1 + np.exp(-z)), self.share)
 
 
-def _counts(tokens: list[np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Distinct words and bigrams (left << 32 | right) with the number of texts that have them."""
-
-    def over(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    return over([np.unique(t) for t in tokens if len(t)]), over([np.unique((t[:-1] << 32) | t[1:]) for t in tokens if len(t) > 1])
-
-
-def _stem_groups(words: list[str]) -> list[np.ndarray]:
-    """For each length of a stem the group of each place; group 0 has the words that aren't longer, and place 0."""
-    order = sorted(range(len(words)), key=words.__getitem__)
-    groups = []
-    for n in STEMS:
-        group, last, made = np.zeros(len(words) + 1, dtype=np.int32), None, 0
-        for i in order:
-            if len(words[i]) > n:
-                if words[i][:n] != last:
-                    last, made = words[i][:n], made + 1
-                group[i + 1] = made
-        groups.append(group)
-    return groups
-
-
-def _stem_levels(words: list[str], tokens: list[list[np.ndarray]]) -> list[tuple[np.ndarray, list[np.ndarray]]]:
-    """Groups of each length and, for each class, in how many texts each group occurs."""
-    levels = []
-    for group in _stem_groups(words):
-        size = int(group.max()) + 1
-        counts = [np.zeros(size), np.zeros(size)]
-        for c in (0, 1):
-            for t in tokens[c]:
-                counts[c][np.unique(group[t])] += 1
-        levels.append((group, counts))
-    return levels
-
-
-def _models(counted: list, sizes: tuple[int, int], n: int, strict: float, levels: list) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray, list]:
-    """Log ratio of each word, what its place as left word costs, bigrams with what each adds, which words stand out, and stems ``(level, place of a member, log ratio)``.
-
-    Of a count stays what is more than the other class's share by ``strict`` standard deviations; what is
-    discounted goes to the backoff.
-    """
-    scale = sizes[0] / sizes[1]
-
-    def excess(counts: list[np.ndarray]) -> list[np.ndarray]:
-        expected = [counts[1] * scale, counts[0] / scale]
-        return [np.maximum(c - e - strict * np.sqrt(c + e + 1), 0) for c, e in zip(counts, expected)]
-
-    kinds = [np.bincount(k, weights=c, minlength=n) for (k, c), _ in counted]
-    shared = 2 * np.minimum(kinds[0] / scale, kinds[1]) + 1
-    shared /= shared.sum()
-    # From level to level a group gets its own share and, of what is discounted, what the shorter stem gave it.
-    base, stems, rest = [shared, shared.copy()], [], []
-    for level, (group, counts) in enumerate(levels):
-        more = excess(counts)
-        more[0][0] = more[1][0] = 0
-        factor = []
-        for c in (0, 1):
-            total = max(counts[c].sum(), 1)
-            factor.append(1 - more[c].sum() / total + more[c] / total / np.bincount(group, weights=base[c]))
-            base[c] = base[c] * factor[c][group]
-        rest.append(math.log(factor[1][0] / factor[0][0]))
-        out = np.flatnonzero((more[0] > 0) | (more[1] > 0))
-        if len(out):
-            first = np.zeros(len(factor[0]), dtype=np.int64)
-            first[group[::-1]] = np.arange(n - 1, -1, -1)
-            stems += [(level, int(i), float(np.log(base[1][i] / base[0][i]))) for i in first[out]]
-    word, out, own = [], np.zeros(n, dtype=bool), []
-    for kind, more, below in zip(kinds, excess(kinds), base):
-        total = max(kind.sum(), 1)
-        own.append(1 - more.sum() / total)
-        word.append(more / total + own[-1] * below)
-        out |= more > 0
-    single = np.log(word[1]) - np.log(word[0])
-    last = math.log(own[1] / own[0])
-    stems = [(level, i, ratio + sum(rest[level + 1 :]) + last) for level, i, ratio in stems]
-    # Only counts that can exceed their discount are looked at further.
-    every = np.unique(np.concatenate([k[c > strict * np.sqrt(c + 1)] for _, (k, c) in counted]))
-    have = []
-    for _, (keys, count) in counted:
-        at = np.minimum(np.searchsorted(keys, every), max(len(keys) - 1, 0))
-        have.append(np.where(keys[at] == every, count[at], 0).astype(float) if len(keys) else np.zeros(len(every)))
-    over = excess(have)
-    left, right = every >> 32, every & 0xFFFFFFFF
-    leave, full = [], []
-    for c in (0, 1):
-        keys, count = counted[c][1]
-        mass = np.bincount(keys >> 32, weights=count, minlength=n)
-        lam = 1 - np.bincount(left, weights=over[c], minlength=n) / np.maximum(mass, 1)
-        leave.append(lam)
-        full.append(over[c] / np.maximum(mass[left], 1) + lam[left] * word[c][right])
-    step = np.log(leave[1]) - np.log(leave[0])
-    # A bigram without an excess is its backoff alone and needs no entry.
-    use = (over[0] > 0) | (over[1] > 0)
-    more = (np.log(full[1]) - np.log(full[0]) - step[left] - single[right])[use]
-    return single, step, (every[use], more.astype(np.float32)), out, stems
-
-
-def _compact(words: list[str], single: np.ndarray, step: np.ndarray, every: np.ndarray, more: np.ndarray, out: np.ndarray, stems: list, share: float) -> ToxicModel:
-    """Keeps words that stand out or are in a kept bigram; all others score as their longest kept stem does, or as a new word (place 0)."""
-    use = out | (step != 0)
-    use[every >> 32] = use[every & 0xFFFFFFFF] = True
-    use[0] = True
-    old = np.flatnonzero(use)
-    new = np.zeros(len(use), dtype=np.int64)
-    new[old] = np.arange(len(old))
-    key = (new[every >> 32] << 32) | new[every & 0xFFFFFFFF]
+def model_of(c: Counts, weight: float, floor: float, share: float) -> ToxicModel:
+    single, step, pair = ratios(c, weight, floor)
+    key = (c.pairs[0] << 32) | c.pairs[1]
     order = np.argsort(key)
-    worth = np.concatenate([(single + step)[old], [ratio for _, _, ratio in stems]]).astype(np.float32)
-    return ToxicModel([words[i - 1] for i in old[1:].tolist()], [words[i - 1][: STEMS[level]] for level, i, _ in stems], worth, key[order], more[order], 1.0, 0.0, share)
-
-
-def fit(texts: list[str], toxic: list[int], share: float, weights: tuple[float, float], grid: tuple[float, ...] = (2.5, 4.0, 5.0)) -> ToxicModel:
-    """Fits models and curve; every fourth text of a class is kept for the curve and to choose discount and stems."""
-    pairs = sorted(set(zip(texts, toxic)), key=lambda x: hashlib.blake2b(x[0].encode("utf-8", "surrogatepass"), digest_size=8).digest())  # copies count once
-    texts, toxic = [t for t, _ in pairs], [y for _, y in pairs]
-    turn, learn = [0, 0], []
-    for y in toxic:
-        learn.append(turn[y] % 4 != 3)
-        turn[y] += 1
-    place: dict[str, int] = {}
-    tokens: list[list[np.ndarray]] = [[], []]
-    for t, y, x in zip(texts, toxic, learn):
-        if x:
-            tokens[y].append(np.array([place.setdefault(w, len(place) + 1) for w in WORDS.findall(t.lower())], dtype=np.int64))
-    counted = [_counts(t) for t in tokens]
-    levels = _stem_levels(list(place), tokens)
-    sizes = (max(len(tokens[0]), 1), max(len(tokens[1]), 1))
-    rest = [(t, y) for t, y, x in zip(texts, toxic, learn) if not x]
-    y = np.array([y for _, y in rest], dtype=float)
-    best, least = None, math.inf
-    for strict, stemmed in ((s, x) for s in grid for x in (False, True)):
-        single, step, (every, more), out, stems = _models(counted, sizes, len(place) + 1, strict, levels if stemmed else [])
-        model = _compact(list(place), single, step, every, more, out, stems, share).prepare()
-        mean, size = model.evidence([t for t, _ in rest])
-        use = size > 0
-        w = np.where(y[use] > 0, weights[1], weights[0])
-        model.slope, model.offset = _curve(mean[use], y[use], w)
-        z = np.clip(model.slope * mean[use] + model.offset, -30, 30)
-        loss = float((w * (np.log1p(np.exp(z)) - y[use] * z)).sum())
-        if loss < least:
-            best, least = model, loss
-            best.strict, best.loss = strict, loss / max(w.sum(), 1)
-    return best
+    return ToxicModel(c.words, single, step, key[order], pair[order], 1.0, 0.0, share)
 
 
 def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-6) -> tuple[float, float]:
@@ -269,53 +164,147 @@ def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-6) ->
     return float(beta[0] / scale), float(beta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 4000, longest: int = 200_000, folds: int = 5) -> ToxicModel:
-    """Learns from labelled rows whose fold is not 0."""
+def grams(sample: DataFrame) -> DataFrame:
+    """``(y, l, w, n)`` of ``(y, text)``: of each word ``w`` after the word of hash ``l`` (0: the start) the number of different words before both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for part in slices(batches, "text"):
+            if len(known) > 200_000:
+                known.clear()
+            seen = set()
+            for y, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                words = WORDS.findall(t.lower())
+                for w in words:
+                    if w not in known:
+                        known[w] = _hash(w)
+                at = [0, 0, *map(known.__getitem__, words)]
+                seen.update(zip([y] * len(words), at, at[1:], words))
+            if seen:
+                y, first, left, word = zip(*seen)
+                yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(first, pa.int64()), pa.array(left, pa.int64()), pa.array(word, pa.string())], names=["y", "f", "l", "w"])
+
+    rows = sample.select("y", "text").mapInArrow(run, "y int, f long, l long, w string")
+    return rows.distinct().groupBy("y", "l", "w").agg(F.count("*").alias("n"))
+
+
+def count(sample: DataFrame, scratch: Scratch) -> Counts:
+    """Counts of the sample ``(y, text)``; the driver gets what is more than its backoff."""
+    pairs = scratch.keep(grams(sample))
+    mine = [F.when(F.col("y") == k, F.col("n")).otherwise(0) for k in (0, 1)]
+    one = [(F.col("y") == k).cast("long") for k in (0, 1)]
+    words = scratch.keep(pairs.groupBy("w").agg(F.sum(one[0]).alias("t0"), F.sum(one[1]).alias("t1")))
+    rows = words.where((F.col("t0") >= LEAST_WORD) | (F.col("t1") >= LEAST_WORD)).collect()
+    rows.sort()
+    met = pairs.where("l <> 0").groupBy("l", "w").agg(F.sum(mine[0]).alias("n0"), F.sum(mine[1]).alias("n1")).where((F.col("n0") >= LEAST_PAIR) | (F.col("n1") >= LEAST_PAIR)).collect()
+    names = [r["w"] for r in rows]
+    contexts = [[r["t0"] for r in rows], [r["t1"] for r in rows]]
+    place = {w: i + 1 for i, w in enumerate(names)}
+    for r in met:
+        # A word with no more than one context anywhere has this one.
+        if r["w"] not in place:
+            names.append(r["w"])
+            place[r["w"]] = len(names)
+            contexts[0].append(int(r["n0"] > 0))
+            contexts[1].append(int(r["n1"] > 0))
+    at = {_hash(w): i for w, i in place.items()}
+    # Three contexts of a bigram are three contexts of its left word, so that one is known.
+    met = sorted((at[r["l"]], place[r["w"]], r["n0"], r["n1"]) for r in met if r["l"] in at)
+    after = np.zeros((2, len(names) + 1))
+    lefts = pairs.where("l <> 0").groupBy("l").agg(F.sum(mine[0]).alias("n0"), F.sum(mine[1]).alias("n1"), F.max("n").alias("m")).where(F.col("m") >= LEAST_PAIR).collect()
+    for r in lefts:
+        if r["l"] in at:
+            after[:, at[r["l"]]] = r["n0"], r["n1"]
+    told = words.agg(*[f(F.col(t)).alias(f"{name}{t}") for t in ("t0", "t1") for name, f in (("s", F.sum), ("a", lambda x: F.count_if(x == 1)), ("b", lambda x: F.count_if(x == 2)))]).first()
+    twice = {(r["y"], r["n"]): r["c"] for r in pairs.where("n <= 2 and l <> 0").groupBy("y", "n").agg(F.count("*").alias("c")).collect()}
+    discount = [(n1 or 0) / max((n1 or 0) + 2 * (n2 or 0), 1) for n1, n2 in [(told["at0"], told["bt0"]), (told["at1"], told["bt1"]), *((twice.get((k, 1)), twice.get((k, 2))) for k in (0, 1))]]
+    table = np.array(met, dtype=np.int64).reshape(-1, 4).T
+    return Counts(
+        names, np.array(contexts, dtype=float).reshape(2, -1), table[:2], table[2:].astype(float), after, np.array([told["st0"] or 0, told["st1"] or 0], dtype=float),
+        np.array([max(d, 0.1) for d in discount[:2]]), np.array([max(d, 0.1) for d in discount[2:]]),
+    )
+
+
+def choose(models: list[ToxicModel], held: DataFrame, weights: tuple[float, float]) -> ToxicModel:
+    """The model that predicts the held-back ``(y, text)`` best, with its curve."""
+    shared = held.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            texts = part.column(1).to_pylist()
+            got = [m.prepare().evidence(texts) for m in shared.value]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got[0][1]), pa.array(list(np.stack([e for e, _ in got], axis=1)), pa.list_(pa.float64()))], names=["y", "n", "e"])
+
+    rows = sorted(map(tuple, held.select("y", "text").mapInArrow(run, "y int, n long, e array<double>").where("n > 0").collect()))
+    y = np.array([r[0] for r in rows], dtype=float)
+    w = np.where(y > 0, weights[1], weights[0])
+    best, least = models[0], math.inf
+    for i, model in enumerate(models):
+        x = np.array([r[2][i] for r in rows])
+        model.slope, model.offset = _curve(x, y, w)
+        z = np.clip(model.slope * x + model.offset, -30, 30)
+        loss = float((w * (np.log1p(np.exp(z)) - y * z)).sum())
+        if loss < least:
+            best, least = model, loss
+    return best
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 8000, longest: int = 200_000, folds: int = 5) -> ToxicModel:
+    """Learns from labelled rows whose fold is not 0; every fourth of them, by a hash, is held back for the curve."""
     spark = docs.sparkSession
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(fold(F.col(id_col), folds) != 0).groupBy(F.col(id_col).alias("__k")).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
-    counts = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count("*").alias("n")).collect()}
+    scratch = Scratch(spark, "toxicity")
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(fold(F.col(id_col), folds) != 0).groupBy(F.col(id_col).alias("k")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     share = n1 / (n0 + n1) if n0 + n1 else 0.0
-    flat = ToxicModel([], [], np.zeros(1, np.float32), np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0, math.log(share / (1 - share)) if 0 < share < 1 else (60.0 if share else -60.0), share)
+    flat = ToxicModel([], np.zeros(1), np.zeros(1), np.zeros(0, np.int64), np.zeros(0), 0.0, math.log(share / (1 - share)) if 0 < share < 1 else (60.0 if share else -60.0), share)
     if min(n0, n1) == 0:
         return flat
     # Ids only: at most twice per_class rows come to the driver.
-    order = F.xxhash64(F.col("__k").cast("string"), F.lit(7))
-    chosen = [r for y in (0, 1) for r in known.where(F.col("__y") == y).orderBy(order, "__k").limit(per_class).collect()]
-    ids = spark.createDataFrame([(r["__k"], r["__y"]) for r in chosen], known.schema)
-    picked = docs.select(F.col(id_col).alias("__k"), F.col(text_col).alias("__t")).where(F.length("__t") <= longest).join(F.broadcast(ids), "__k")
-    rows = picked.groupBy("__k", "__y").agg(F.min("__t").alias("__t")).orderBy(order, "__k").collect()
-    texts, toxic = [r["__t"] for r in rows], [r["__y"] for r in rows]
-    if min(toxic.count(0), toxic.count(1)) < 4:
+    order = F.xxhash64(F.col("k").cast("string"), F.lit(7))
+    chosen = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(order, "k").limit(per_class).collect()]
+    ids = spark.createDataFrame([(r["k"], r["y"]) for r in chosen], known.schema)
+    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).where(F.length("text") <= longest)
+    sample = scratch.keep(texts.join(F.broadcast(ids), "k").select("y", "text", (F.pmod(F.xxhash64("text", F.lit(9)), F.lit(4)) == 3).alias("back")))
+    held = {(r["y"], r["back"]): r["n"] for r in sample.groupBy("y", "back").agg(F.count("*").alias("n")).collect()}
+    if any(held.get((y, b), 0) == 0 for y in (0, 1) for b in (True, False)):
         return flat
-    return fit(texts, toxic, share, (n0 / toxic.count(0), n1 / toxic.count(1)))
+    found = count(sample.where("not back"), scratch)
+    models = [model_of(found, weight, floor, share) for weight in WEIGHTS for floor in FLOORS]
+    best = choose(models, sample.where("back"), (n0 / held[0, True], n1 / held[1, True]))
+    scratch.clear()
+    return best
 
 
-def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, below: float | None = None, score: str = "score") -> DataFrame:
-    """``carry`` columns (the id by default) with the score, in column ``score``; with ``below`` only rows that score less."""
-    spark, carry = docs.sparkSession, carry or [id_col]
+def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id", text_col: str = "text", below: float | None = None) -> DataFrame:
+    """``id_col`` and ``score`` of every row; with ``below`` all columns of the rows that score less."""
+    spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    carry = [id_col] if below is None else docs.columns
     fields = [docs.schema[c] for c in carry]
+    # Columns go by place, so no name of the table can clash with one of ours.
+    inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value.prepare()
-        for part in slices(batches, "__text"):
+        for part in slices(batches, "text"):
             got = own.score(part.column(len(carry)).to_pylist())
-            out = pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(carry))), pa.array(got)], names=[*carry, score])
+            out = pa.RecordBatch.from_arrays([*part.columns[: len(carry)], pa.array(got)], names=[*part.schema.names[: len(carry)], "score"])
             yield out if below is None else out.filter(pa.array(got < below))
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{score}` double"])
-    return docs.select(*[F.col(c) for c in carry], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "score double"])
+    scored = inner.mapInArrow(run, schema)
+    if below is None:
+        return scored.select(F.col("c0").alias(id_col), "score")
+    return scored.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` without the documents that score ``threshold`` or more."""
-    model = train(docs, labels, id_col, text_col)
-    return score_documents(docs, model, id_col, text_col, carry=docs.columns, below=threshold, score="__score").select(*docs.columns)
+    return score_documents(docs, train(docs, labels, id_col, text_col), id_col, text_col, below=threshold)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = score_documents(docs, model)
+    scored = score_documents(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
