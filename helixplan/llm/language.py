@@ -9,15 +9,21 @@ languages' cross-entropies are weighed against each other at a temperature that
 sample texts; ``rejected`` marks texts whose cross-entropy lies above nearly all held-back texts of the
 language they are given.
 
-Models are fitted on a bounded, documented sample: up to ``per_lang`` documents of each language with the
-least keyed hash of their id (and of their text, between equals), of longer ones, which are taken last, the
-first ``longest`` characters. Predictions read every whole text.
+An n-gram never reaches over the start of its text: the characters there are scored by the orders that fit.
+Log probabilities are multiples of 2^-16, so sums of them are exact and a prediction depends on nothing but its
+own text, wherever the row lies. A long text is scored in pieces of ``PIECE`` characters that hand on their last
+characters, so memory is bounded by a piece.
+
+Models are fitted on a bounded, documented sample: of the ``MAX_LANGS`` languages with most documents up to
+``per_lang`` documents each, with the least keyed hash of their id (and of their text, between equals), of longer
+ones, which are taken last, the first ``longest`` characters; less where all languages together would pass
+``SAMPLE_CHARS``. Predictions read every whole text.
 Texts are lower-cased; what is not a letter counts as one space.
 
 Edge cases: a null text and one without a letter give ``und`` with score 0 and are not rejected; null
 languages teach nothing; a null id belongs to the fold of the empty text; ties go to the first language by
 name; repeated rows are judged row by row; without any language every text is ``und``; further columns are
-not read.
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +39,11 @@ from helixplan.llm.common import fold, slices
 
 DISCOUNT = 0.75
 MAX_LANGS = 500
+#: Characters of all languages' samples together, about.
+SAMPLE_CHARS = 64_000_000
+#: Characters of a text that are scored at a time, and (characters times languages) of a table of log probabilities.
+PIECE = 1 << 20
+CELLS = 1 << 22
 SPACE = 32
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -44,19 +55,20 @@ def _letter_table() -> np.ndarray:
 _LETTERS: list[np.ndarray] = []
 
 
-def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Characters of all texts, each text led in and closed by a space, and the text that each belongs to."""
+def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all texts, each led in by a space, the text that each belongs to, and its place there."""
     if not _LETTERS:
         _LETTERS.append(_letter_table())
-    # A line feed cannot be inside once texts are joined by it, because it counts as a space there too.
-    joined = "\n".join(["" if t is None else t.lower().replace("\n", " ") for t in texts])
-    code = np.frombuffer(("\n" + joined + "\n").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    text = np.cumsum(code == 10) - 1
+    # A line feed leads each text in and cannot be inside, because it counts as a space there too.
+    joined = "\n".join(["", *("" if t is None else t.lower().replace("\n", " ") for t in texts)])
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lead = code == 10
     code = _LETTERS[0][code]
-    keep = np.empty(len(code), dtype=bool)
-    keep[0] = True
-    keep[1:] = (code[1:] != SPACE) | (code[:-1] != SPACE) | (text[1:] != text[:-1])
-    return code[keep], np.minimum(text[keep], max(len(texts) - 1, 0))
+    keep = lead.copy()
+    keep[1:] |= (code[1:] != SPACE) | (code[:-1] != SPACE)
+    code, lead = code[keep], lead[keep]
+    text = np.cumsum(lead, dtype=np.int32) - 1
+    return code, text, np.arange(len(code)) - np.flatnonzero(lead)[text]
 
 
 def grams(code: np.ndarray, order: int) -> list[np.ndarray]:
@@ -72,6 +84,11 @@ def grams(code: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
+def _rounded(logs: np.ndarray) -> np.ndarray:
+    """To multiples of 2^-16: sums of a few fit 32-bit floats, sums of 2^30 of them 64-bit floats, without rounding."""
+    return (np.round(logs * 65536) / 65536).astype(np.float32)
+
+
 @dataclass
 class LanguageModel:
     langs: list[str]
@@ -86,30 +103,59 @@ class LanguageModel:
 
     def cross_entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy by text and language, and letters in each text."""
-        code, text = characters(texts)
         n, width = len(texts), len(self.langs)
+        sums, size, letters = np.zeros((n, width)), np.zeros(n), np.zeros(n)
+        short = [i for i, t in enumerate(texts) if not t or len(t) <= PIECE]
+        if short:
+            code, text, at = characters([texts[i] for i in short])
+            sums[short], size[short], letters[short] = self._sums(code, text, at, len(short))
+        for i in set(range(n)).difference(short):
+            tail, done, whole = np.zeros(0, np.uint32), 0, texts[i]
+            for start in range(0, len(whole), PIECE):
+                code = characters([whole[start : start + PIECE]])[0]
+                # A further piece has no lead of its own, but its first character may be a space.
+                if done and (tail[-1] == SPACE or whole[start].lower()[0].isalpha()):
+                    code = code[1:]
+                joined = np.concatenate([tail, code])
+                got = self._sums(joined, np.zeros(len(joined), np.int32), np.arange(len(joined)) + done - len(tail), 1, len(tail))
+                sums[i], size[i], letters[i] = sums[i] + got[0][0], size[i] + got[1][0], letters[i] + got[2][0]
+                done += len(code)
+                tail = joined[max(len(joined) - self.order, 0) :]
+        return -sums / np.maximum(size, 1)[:, None], letters
+
+    def _sums(self, code: np.ndarray, text: np.ndarray, at: np.ndarray, n: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probabilities, characters and letters by text; the first ``skip`` characters are context only."""
+        width = len(self.langs)
+        sums, step = np.zeros((n, width)), max(CELLS // width, 1 << 12)
         hashes = grams(code, self.order)
-        total = np.zeros((len(code), width), dtype=np.float32)
-        left = np.arange(len(code))
+        for start in range(skip, len(code), step):
+            here = slice(start, min(start + step, len(code)))
+            total = self._logs([h[here] for h in hashes], [h[np.arange(here.start, here.stop) - 1] for h in hashes[:-1]], at[here])
+            sums += np.stack([np.bincount(text[here], weights=total[:, j], minlength=n) for j in range(width)], axis=1)
+        return sums, np.bincount(text[skip:], minlength=n), np.bincount(text[skip:], weights=code[skip:] != SPACE, minlength=n)
+
+    def _logs(self, hashes: list[np.ndarray], before: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        total = np.zeros((len(at), len(self.langs)), dtype=np.float32)
+        left = np.arange(len(at))
         for k in range(self.order - 1, -1, -1):
-            key = hashes[k][left]
-            at = np.minimum(np.searchsorted(self.keys[k], key), len(self.keys[k]) - 1)
-            hit = self.keys[k][at] == key
-            total[left[hit]] += self.logs[k][at[hit]]
-            left = left[~hit]
-            if not len(left):
-                break
+            fits = at[left] >= k
+            some, rest = left[fits], left[~fits]
+            key = hashes[k][some]
+            place = np.minimum(np.searchsorted(self.keys[k], key), len(self.keys[k]) - 1)
+            hit = self.keys[k][place] == key
+            total[some[hit]] += self.logs[k][place[hit]]
+            some = some[~hit]
             if k:
-                before = hashes[k - 1][np.maximum(left - 1, 0)]
-                at = np.minimum(np.searchsorted(self.context[k], before), len(self.context[k]) - 1)
-                known = (self.context[k][at] == before) & (left > 0)
-                total[left[known]] += self.leave[k][at[known]]
+                context = before[k - 1][some]
+                place = np.minimum(np.searchsorted(self.context[k], context), len(self.context[k]) - 1)
+                known = self.context[k][place] == context
+                total[some[known]] += self.leave[k][place[known]]
             else:
-                total[left] += self.unseen
-        letters = np.bincount(text, weights=code != SPACE, minlength=n)
-        size = np.maximum(np.bincount(text, minlength=n), 1)
-        sums = np.stack([np.bincount(text, weights=total[:, j], minlength=n) for j in range(width)], axis=1)
-        return -sums / size[:, None], letters
+                total[some] += self.unseen
+            left = np.concatenate([rest, some])
+            if not len(left):
+                break
+        return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         if not self.langs:
@@ -136,50 +182,50 @@ def fit(texts: list[str], langs: list[str], order: int = 4) -> LanguageModel:
     # Counts: the highest order counts occurrences, lower ones the characters that come before.
     raw = []
     for name in names:
-        code, text = characters(learn[name])
-        raw.append((grams(code, order), len(code)))
+        code, _, at = characters(learn[name])
+        raw.append((grams(code, order), at))
     keys, contexts, last = [], [], []
     for k in range(order):
-        h = np.concatenate([g[k][k:] for g, _ in raw])
-        every, first = np.unique(h, return_index=True)
+        # The n-grams that don't reach over the start of their text, with their context and their end.
+        fits = [np.flatnonzero(at >= k) for _, at in raw]
+        every, first = np.unique(np.concatenate([g[k][x] for (g, _), x in zip(raw, fits)]), return_index=True)
         keys.append(every)
-        before = np.concatenate([g[k - 1][k - 1 : n - 1] if k else np.zeros(n, np.uint64) for g, n in raw])[first]
-        suffix = np.concatenate([g[k - 1][k:] if k else np.zeros(n, np.uint64) for g, n in raw])[first]
-        contexts.append(before)
-        last.append(suffix)
+        contexts.append(np.concatenate([g[k - 1][x - 1] for (g, _), x in zip(raw, fits)])[first] if k else None)
+        last.append(np.concatenate([g[k - 1][x] for (g, _), x in zip(raw, fits)])[first] if k else None)
     logs, context, leave = [], [], []
     width = len(names)
     lower = None
     for k in range(order):
-        size = len(keys[k])
-        prob = np.zeros((size, width))
+        n = len(keys[k])
+        prob = np.zeros((n, width))
         if k:
             ctx = np.unique(contexts[k])
             where = np.searchsorted(ctx, contexts[k])
             down = lower[np.searchsorted(keys[k - 1], last[k])]
             out = np.ones((len(ctx), width))
-        for j, (g, n) in enumerate(raw):
+        for j, (g, at) in enumerate(raw):
             if k == order - 1:
-                seen = g[k][k:]
+                seen = g[k][at >= k]
             else:
                 # Kneser-Ney: one for each distinct character before.
-                longer, first = np.unique(g[k + 1][k + 1 :], return_index=True)
-                seen = g[k][k + 1 :][first]
-            count = np.bincount(np.searchsorted(keys[k], seen), minlength=size).astype(float)
+                longer = np.flatnonzero(at >= k + 1)
+                seen = g[k][longer[np.unique(g[k + 1][longer], return_index=True)[1]]]
+            count = np.bincount(np.searchsorted(keys[k], seen), minlength=n).astype(float)
             less = np.maximum(count - DISCOUNT, 0)
             gone = np.minimum(count, DISCOUNT)
             if not k:
-                prob[:, j] = less / max(count.sum(), 1) + max(gone.sum(), DISCOUNT) / max(count.sum(), 1) / (size + 1)
+                # Of what is discounted every known character gets a share, and one share is for all others.
+                prob[:, j] = less / max(count.sum(), 1) + max(gone.sum(), DISCOUNT) / max(count.sum(), 1) / (n + 1)
                 continue
             mass = np.bincount(where, weights=count, minlength=len(ctx))
             lam = np.where(mass > 0, np.bincount(where, weights=gone, minlength=len(ctx)) / np.maximum(mass, 1), 1.0)
             out[:, j] = lam
             prob[:, j] = less / np.maximum(mass, 1)[where] + lam[where] * down[:, j]
         lower = prob
-        logs.append(np.log(prob).astype(np.float32))
+        logs.append(_rounded(np.log(prob)))
         context.append(ctx if k else np.zeros(1, np.uint64))
-        leave.append(np.log(out).astype(np.float32) if k else np.zeros((1, width), np.float32))
-    model = LanguageModel(names, order, keys, logs, context, leave, float(np.log(DISCOUNT / max(sum(n for _, n in raw), 1))))
+        leave.append(_rounded(np.log(out)) if k else np.zeros((1, width), np.float32))
+    model = LanguageModel(names, order, keys, logs, context, leave, float(_rounded(np.log(DISCOUNT / max(sum(len(at) for _, at in raw), 1)))))
     _calibrate(model, rest)
     return model
 
@@ -203,19 +249,22 @@ def _calibrate(model: LanguageModel, rest: list[tuple[str, str]], keep: float =
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 300, longest: int = 50_000, folds: int = 4, held: int = 2, order: int = 4) -> LanguageModel:
     """Learns from rows with a language whose fold is not ``held``."""
     # Long documents are a language's last choice, and their first ``longest`` characters are learned.
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(F.col(id_col), folds) != held)).select(
-        F.col(lang_col).alias("__l"), F.struct((F.length(text_col) > longest).alias("long"), F.xxhash64(F.col(id_col).cast("string"), F.lit(11)).alias("id"), F.xxhash64(F.col(text_col), F.lit(12)).alias("text")).alias("__o"), F.substring(F.col(text_col), 1, longest).alias("__t")
-    )
-    ids = known.select("__l", "__o")
-    langs = ids.groupBy("__l").agg(F.count("*").alias("n")).limit(MAX_LANGS + 1).count()
-    if langs > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    rank = F.row_number().over(Window.partitionBy("__l").orderBy("__o"))
-    least = ids.withColumn("n", rank).where(F.col("n") <= per_lang).groupBy("__l").agg(F.max("__o").alias("__most"))
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(F.col(id_col), folds) != held)).select(F.col(lang_col).alias("l"), F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t"))
+    # Rows of the driver: one a language, MAX_LANGS at most.
+    langs = [r["l"] for r in usable.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect()]
+    if not langs:
+        return fit([], [], order)
+    longest = max(200, min(longest, SAMPLE_CHARS // (per_lang * len(langs))))
+    named = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in langs], "l string"))
+    # Long documents are a language's last choice, and their first ``longest`` characters are learned.
+    place = F.struct((F.length("t") > longest).alias("long"), F.xxhash64("k", F.lit(11)).alias("id"), F.xxhash64("t", F.lit(12)).alias("text"))
+    known = usable.join(named, "l", "left_semi").select("l", place.alias("o"), F.substring("t", 1, longest).alias("t"))
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("o"))
+    least = known.select("l", "o").withColumn("n", rank).where(F.col("n") <= per_lang).groupBy("l").agg(F.max("o").alias("most"))
     # Rows alike in id and text may be more than the rank lets in, so it counts once more.
-    bound = known.join(F.broadcast(least), "__l").where("__o <= __most").withColumn("n", rank).where(F.col("n") <= per_lang).orderBy("__l", "__o")
-    rows = bound.select("__t", "__l").collect()
-    return fit([r["__t"] for r in rows], [r["__l"] for r in rows], order)
+    bound = known.join(F.broadcast(least), "l").where("o <= most").withColumn("n", rank).where(F.col("n") <= per_lang).select("l", "n", "t")
+    rows = sorted(map(tuple, bound.collect()))
+    return fit([t for _, _, t in rows], [l for l, _, _ in rows], order)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
