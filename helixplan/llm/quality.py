@@ -9,9 +9,12 @@ not judged by that histogram.
 
 Base rules come first: too few words, or too large a share of words in repeated windows of three.
 
+Word counts are made and spilled by the engine; a Python worker holds one slice of rows (a single text may
+be larger: then about 100 bytes for each of its words) and nothing that grows with the input.
+
 Edge cases: null and empty texts have no words and fail the base rule; without any language only the base
-rules decide; repeated rows and ties are judged row by row; of equally frequent words the first by name is
-common; further columns are not read.
+rules decide; repeated rows and ties are judged row by row; of equally frequent words the first by its bytes is
+common; a text of any length is judged whole; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,16 +27,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from helixplan.llm.common import slices
+from helixplan.llm.common import ascii_lower, slices
 from helixplan.plans.runtime import Scratch
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
+#: Marks that are no part of a common word's ends.
+MARKS = ".,;:!?'\"()-"
 #: Classes of characters: lower, upper, other letters, digits, spaces, line feeds, sentence marks, symbols, other.
 CLASSES = 9
+#: Languages that get a reference: those with most characters.
 MAX_LANGS = 1000
-#: Entries of a task's table of word counts before it is handed on.
-HELD_WORDS = 100_000
 
 
 def _class_table() -> np.ndarray:
@@ -77,10 +81,32 @@ def words_of(text: str) -> list[bytes]:
 
 
 def plain(word: bytes) -> bytes:
-    return word.strip(b".,;:!?'\"()-").lower()
+    return word.strip(MARKS.encode()).lower()
+
+
+def numbered(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The different words and the place of each word among them."""
+    place: dict[bytes, int] = {}
+    at = np.fromiter((place.setdefault(w, len(place)) for w in words), dtype=np.int64, count=len(words))
+    return list(place), at
+
 
+def repeat_words(at: np.ndarray) -> int:
+    """Words in windows of three that occur twice or more; 8 bytes a word and array, whatever the length."""
+    if len(at) < 4:
+        return 0
+    pair = np.unique(at[:-1] * (len(at) + 1) + at[1:], return_inverse=True)[1]
+    _, window, count = np.unique(pair[:-1] * (len(at) + 1) + at[2:], return_inverse=True, return_counts=True)
+    often = count[window] > 1
+    if not often.any():
+        return 0
+    inside = np.zeros(len(at), dtype=bool)
+    for k in range(3):
+        inside[k : len(at) - 2 + k] |= often
+    return int(inside.sum())
 
-def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int]:
+
+def base_counts(text: str, at: np.ndarray) -> tuple[int, int, int, int]:
     """``word_chars, n_symbols, n_dup_lines, n_repeat_words``."""
     chars = len(text) - sum(map(text.count, SPACES))
     symbols = sum(map(text.count, SYMBOLS))
@@ -93,15 +119,7 @@ def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int]:
                 dup += 1
             elif line.strip(SPACES):
                 seen.add(line)
-    windows = list(zip(words, words[1:], words[2:]))
-    repeated = 0
-    if len(set(windows)) < len(windows):
-        count, reach = Counter(windows), -1
-        for i, w in enumerate(windows):
-            if count[w] > 1:
-                repeated += i + 3 - max(i, reach)
-                reach = i + 3
-    return chars, symbols, dup, repeated
+    return chars, symbols, dup, repeat_words(at)
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -120,79 +138,80 @@ class References:
     words: list[dict[bytes, int]]
     shares: list[np.ndarray]
 
-    def distances(self, text: str, words: list[bytes]) -> tuple[float, float]:
-        """Of characters and words, to the language with the least sum."""
+    def distances(self, text: str, words: list[bytes], at: np.ndarray) -> tuple[float, float]:
+        """Of characters and words (different ones and their places), to the language with the least sum."""
         if not self.langs:
             return 0.0, 0.0
         c = class_counts(text)
         chars = js_distance(c / max(c.sum(), 1), self.classes)
-        count = Counter(map(plain, words))
+        count: Counter = Counter()
+        for w, n in zip(words, np.bincount(at, minlength=len(words)).tolist()):
+            count[plain(w)] += n
         apart = np.empty(len(self.langs))
         for j, (place, share) in enumerate(zip(self.words, self.shares)):
             bins = np.zeros(len(share))
             for w in place.keys() & count.keys():
                 bins[place[w]] = count[w]
-            bins[-1] = len(words) - bins.sum()
-            apart[j] = js_distance(bins / max(len(words), 1), share)
+            bins[-1] = len(at) - bins.sum()
+            apart[j] = js_distance(bins / max(len(at), 1), share)
         k = int((chars + apart).argmin())
         return float(chars[k]), float(apart[k])
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = 200) -> References:
-    """References of all documents with a language."""
+def class_sums(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """``(l, k, n)``: characters of each class in each language, one row a task, language and class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: dict[str, np.ndarray] = {}
 
         def out() -> pa.RecordBatch:
-            got = pa.RecordBatch.from_arrays([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.binary()), pa.array(list(held.values()), pa.int64())], names=["l", "w", "n"])
+            rows = [(name, k, int(n)) for name, sums in held.items() for k, n in enumerate(sums.tolist())]
             held.clear()
-            return got
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64()))], names=["l", "k", "n"])
 
         for part in slices(batches, "t"):
-            by: dict[str, list[str]] = {}
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 if text:
-                    by.setdefault(lang, []).append(text)
-            for lang, texts in by.items():
-                words: Counter = Counter()
-                for t in texts:
-                    words.update(map(plain, words_of(t)))
-                    for k, n in enumerate(class_counts(t).tolist()):
-                        if n:
-                            held[lang, b"\n%d" % k] += int(n)
-                for w, n in words.items():
-                    held[lang, w] += n
-            if len(held) > HELD_WORDS:
+                    held[lang] = held.get(lang, 0) + class_counts(text)
+            if len(held) > MAX_LANGS:
                 yield out()
         yield out()
 
-    # A class is named by a line feed and its number; no word has a line feed.
-    parts = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).mapInArrow(run, "l string, w binary, n bigint")
-    sums = Scratch(docs.sparkSession, "quality").keep(parts.groupBy("l", "w").agg(F.sum("n").alias("n")))
-    is_class = F.substring("w", 1, 1) == F.lit(b"\n")
-    # The limit on the rank reaches the tasks before the shuffle: each hands on its own best words only.
-    common = sums.where(~is_class).withColumn("k", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "w"))).where(F.col("k") <= top).drop("k")
-    rows = sums.where(is_class).withColumn("c", F.lit(True)).unionByName(common.withColumn("c", F.lit(False))).orderBy("l", F.desc("n"), "w").limit(MAX_LANGS * (top + CLASSES) + 1).collect()
-    langs = sorted({r["l"] for r in rows})
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
+    return docs.select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).mapInArrow(run, "l string, k int, n bigint").groupBy("l", "k").agg(F.sum("n").alias("n"))
+
+
+def word_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """``(l, w, n)`` of all words of all texts. Aggregated by the engine, which spills what memory cannot hold."""
+    words = docs.select(F.col(lang_col).alias("l"), F.explode(F.split(ascii_lower(F.col(text_col)), r"[ \t\n\x0B\f\r]+")).alias("w"))
+    return words.where("w <> ''").select("l", F.btrim("w", F.lit(MARKS)).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n"))
+
+
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = 200) -> References:
+    """References of all documents with a language; of over ``MAX_LANGS`` languages those with most characters."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    chars = scratch.keep(class_sums(named, text_col, lang_col))
+    langs = sorted(r["l"] for r in chars.groupBy("l").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect())
+    at = {name: j for j, name in enumerate(langs)}
     classes = np.zeros((len(langs), CLASSES))
+    kept = F.broadcast(docs.sparkSession.createDataFrame([(name,) for name in langs], "l string"))
+    for r in chars.join(kept, "l").collect():
+        classes[at[r["l"]], r["k"]] = r["n"]
+    sums = scratch.keep(word_counts(named, text_col, lang_col))
     words: list[dict[bytes, int]] = [{} for _ in langs]
     counts: list[list[int]] = [[] for _ in langs]
-    at = {name: j for j, name in enumerate(langs)}
-    for r in rows:
-        j = at[r["l"]]
-        if r["c"]:
-            classes[j, int(bytes(r["w"])[1:])] = r["n"]
-        else:
-            words[j][bytes(r["w"])] = len(counts[j])
-            counts[j].append(r["n"])
-    totals = {r["l"]: r["n"] for r in sums.where(~is_class).groupBy("l").agg(F.sum("n").alias("n")).collect()}
+    # The limit on the rank reaches the tasks before the shuffle: each hands on its own best words only.
+    rank = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), F.col("w").cast("binary")))
+    common = sums.withColumn("k", rank).where(F.col("k") <= top).join(kept, "l")
+    for r in sorted(common.collect(), key=lambda r: (r["l"], r["k"])):
+        words[at[r["l"]]][r["w"].encode("utf-8", "surrogatepass")] = len(counts[at[r["l"]]])
+        counts[at[r["l"]]].append(r["n"])
+    totals = {r["l"]: r["n"] for r in sums.groupBy("l").agg(F.sum("n").alias("n")).join(kept, "l").collect()}
     shares = []
     for j, name in enumerate(langs):
         all_words = max(totals.get(name, 0), 1)
         shares.append(np.array([*counts[j], all_words - sum(counts[j])], dtype=float) / all_words)
+    scratch.clear()
     return References(langs, classes / np.maximum(classes.sum(axis=1, keepdims=True), 1), words, shares)
 
 
@@ -207,13 +226,14 @@ def judge(docs: DataFrame, references: References, id_col: str = "doc_id", text_
             counts, failed, kept, far = [], [], [], []
             for text in part.column(1).to_pylist():
                 text = text or ""
-                words = words_of(text)
-                base = (len(words), *base_counts(text, words))
-                bad = len(words) < least_words or 100 * base[4] > most_repeated * len(words)
+                words, at = numbered(words_of(text))
+                n = len(at)
+                base = (n, *base_counts(text, at))
+                bad = n < least_words or 100 * base[4] > most_repeated * n
                 chars = apart = None
-                if len(text) >= guard_chars or len(words) >= guard_words:
-                    x, y = shared.value.distances(text, words)
-                    chars, apart = x if len(text) >= guard_chars else None, y if len(words) >= guard_words else None
+                if len(text) >= guard_chars or n >= guard_words:
+                    x, y = shared.value.distances(text, words, at)
+                    chars, apart = x if len(text) >= guard_chars else None, y if n >= guard_words else None
                 counts.append(base)
                 failed.append(bad)
                 far.append((chars, apart))
