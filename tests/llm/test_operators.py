@@ -34,7 +34,7 @@ def low(t):
 def test_exact_dedup_brute(docs):
     from helixplan.llm.exact_dedup import drop_duplicates, exact_duplicates
 
-    got = exact_duplicates(docs, runs=5, fan_in=2).collect()
+    got = exact_duplicates(docs.repartition(5)).collect()
     by = {}
     rows = docs.collect()
     for r in rows:
@@ -44,6 +44,28 @@ def test_exact_dedup_brute(docs):
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
     kept = drop_duplicates(docs)
     assert kept.columns == docs.columns and kept.count() == len(by)
+    odd = docs.select("*", *[docs.size.alias(c) for c in ("__digest", "digest", "k", "sha", "row", "id", "__run", "n")])
+    kept = drop_duplicates(odd)
+    assert kept.columns == odd.columns and kept.where("not (size <=> __digest) or not (size <=> k)").count() == 0 and kept.count() == len(by)
+
+
+def test_exact_dedup_merges_sorted_runs(spark):
+    from helixplan.llm.exact_dedup import KEY, merge_runs
+    from helixplan.plans.runtime import Scratch
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [(run, bytes([d]), d % 7, 1, rng.randrange(99), rng.randrange(99, 200), 1 + run) for run in range(7) for d in rng.sample(range(40), 25)]
+    rows.append((2, bytes([3]), 99, 1, 5, 5, 1))  # one digest, another witness
+    leaves = spark.createDataFrame(rows, "__run int, __digest binary, __witness bigint, __bytes bigint, __low bigint, __high bigint, __rows bigint")
+    got = merge_runs(leaves, 7, Scratch(spark, "test"))
+    want = {}
+    for _, d, w, b, low_id, high, n in rows:
+        x = want.get((d, w, b), (10**9, -1, 0))
+        want[d, w, b] = (min(x[0], low_id), max(x[1], high), x[2] + n)
+    assert {(bytes(r[0]), r[1], r[2]): tuple(r[3:]) for r in got.select(*KEY, "__low", "__high", "__rows").collect()} == want
+    plan = leaves.hint("merge").join(leaves.withColumnRenamed("__low", "x"), ["__run", *KEY], "full_outer")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan
 
 
 @pytest.mark.parametrize("name", ["op1_html_text", "op2_chat_format", "op3_toxicity", "op4_url_filter", "op5_exact_dedup", "op6_mixing", "op7_language", "op8_pieces", "op9_quality", "op10_simhash", "pipeline"])
