@@ -14,8 +14,9 @@ vocabulary lacks, are spelled in byte pieces. The one space that encoding puts b
 
 Edge cases: a null text gives no ids and decodes to the empty text; the empty text gives no ids; repeated
 rows and ties of id are encoded each by itself, alike if id and text are alike (with ``copies`` the rows of a
-task that are alike are numbered and the number joins the key); a null id counts as the empty text; further
-columns are not touched.
+task that are alike are numbered and the number joins the key); a null id counts as the empty text; a text of
+any length is cut whole, with about 100 bytes of memory for each of its words; further columns are not touched,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -38,11 +38,13 @@ MARK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Entries of a worker's table of cut words; reaching it only costs time.
 REMEMBERED = 250_000
-LONG = 48
-NONE = 1 << 60
+#: Characters of the rows that are cut in step; longer words are cut one by one.
+WIDTHS = (4, 8, 12, 16, 24, 32, 48)
+ROWS = 16384
+SLOT_BITS = 20
 FAR = np.int32(2**31 - 1)
-#: Stretches whose merges are drawn at a time.
-BLOCK = 1 << 16
+#: Stretches whose merges are drawn, and pieces that are spelled, at a time.
+BLOCK = 1 << 17
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -65,26 +67,37 @@ class Pieces:
         order = {s: k for k, s in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}
         self.rank = {sp.id_to_piece(i): order[sp.get_score(i)] for i in plain if len(sp.id_to_piece(i)) > 1}
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.text_of = [""] * sp.get_piece_size()
+        spelled = [b""] * sp.get_piece_size()
         for piece, i in self.ids.items():
-            self.text_of[i] = piece.replace(MARK, " ")
-        self.byte_of = {i: b for b, i in enumerate(self.byte)}
+            spelled[i] = piece.replace(MARK, " ").encode()
+        for b, i in enumerate(self.byte):
+            spelled[i] = bytes([b])
+        self.spelled = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+        self.spelled_begin = np.cumsum([0, *map(len, spelled)])
+        self.spelled_size = np.diff(self.spelled_begin)
         crossing = [p for p in self.ids if MARK in p.lstrip(MARK) or "\n" in p]
         if crossing:
             raise ValueError("pieces of this vocabulary run over word borders")
         self.stretch = re.compile(f"{MARK}+[^{MARK}\n\x00]*|\n+|\x00[\x01\x02]|[^{MARK}\n\x00]+")
-        self.tables: dict[int, dict[str, bytes]] = {}
         self._forget()
         self.latin = np.array([self.ids.get(chr(c), -1) for c in range(0x500)] + [-1], dtype=np.int32)
         pairs = sorted((self.ids[p[:i]] << 20 | self.ids[p[i:]], self.rank[p], self.ids[p]) for p in self.rank for i in range(1, len(p)) if p[:i] in self.ids and p[i:] in self.ids)
         self.pair_key, self.pair_rank, self.pair_made = (np.array(x, dtype=t) for x, t in zip(zip(*pairs), (np.int64, np.int32, np.int32)))
+        # A place in a table for each pair; the few that meet another's place are searched for.
+        slot = self._slot(self.pair_key)
+        self.slots = np.full(1 << SLOT_BITS, -1, dtype=np.int32)
+        self.slots[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
+        self.shared = np.zeros(1 << SLOT_BITS, dtype=bool)
+        self.shared[slot[self.slots[slot] != np.arange(len(slot))]] = True
 
     def _forget(self) -> None:
-        """Empties the table of words: their places, cuts without dropout, and where each one's merges begin."""
+        """Empties the table of words: their places, characters, cuts without dropout, and where each one's merges begin."""
         self.known: dict[str, int] = {}
-        self.cuts: list[bytes] = []
         self.held = 0
-        self.begin = np.zeros(1, dtype=np.int64)
+        #: Words that are cut one by one: long ones and those with signs that no piece has.
+        self.alone: dict[int, str] = {}
+        self.chars, self.cuts = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+        self.char_begin, self.cut_begin, self.begin = (np.zeros(1, dtype=np.int64) for _ in range(3))
         self.merge_rank = self.merge_place = np.zeros(0, dtype=np.uint32)
 
     def _salts(self, key: str, n: int) -> np.ndarray:
@@ -105,36 +118,10 @@ class Pieces:
         """Ids of one stretch, without dropout if ``salt`` is None; appends ``(start, end, rank)`` of what is merged."""
         if word[0] == "\x00":
             return [self.byte[b] for b in (b"\x00" if word[1] == "\x01" else MARK.encode())]
-        if len(word) == 1:
-            return self._spell([word])
-        if len(word) > LONG:
-            return self._spell(self._agenda(word, salt, merges))
-        rank, below, skips = self.rank.get, salt is not None and self.below, self._skips
-        parts, at = list(word), list(range(len(word) + 1))
-        best = [rank(a + b, NONE) for a, b in zip(parts, parts[1:])]
-        if below:
-            for i, r in enumerate(best):
-                if r != NONE and skips(salt, i, i + 2, r):
-                    best[i] = NONE
-        while best:
-            r = min(best)
-            if r == NONE:
-                break
-            i = best.index(r)
-            merged = parts[i] = parts[i] + parts[i + 1]
-            del parts[i + 1], at[i + 1], best[i]
-            if merges is not None:
-                merges.append((at[i], at[i + 1], r))
-            if i:
-                r = rank(parts[i - 1] + merged, NONE)
-                best[i - 1] = NONE if below and r != NONE and skips(salt, at[i - 1], at[i + 1], r) else r
-            if i < len(best):
-                r = rank(merged + parts[i + 1], NONE)
-                best[i] = NONE if below and r != NONE and skips(salt, at[i], at[i + 2], r) else r
-        return self._spell(parts)
+        return self._spell(self._agenda(word, salt, merges))
 
     def _agenda(self, word: str, salt: int | None, merges: list | None) -> list[str]:
-        """The same cut for long stretches: a heap and a linked list."""
+        """The parts of one stretch: a heap of candidates and a linked list."""
         n, rank, below = len(word), self.rank.get, salt is not None and self.below
         end, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
@@ -173,49 +160,26 @@ class Pieces:
                 out += [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
         return out
 
-    def _fill(self, salt: int, words: list[str]) -> None:
-        """Cuts of stretches under one salt."""
-        self.tables[salt] = dict(zip(words, self._cut_many(words, np.full(len(words), salt, dtype=np.uint32))[0]))
-
-    def _cut_many(self, words: list[str], salts: np.ndarray | None) -> tuple[list[bytes], list[np.ndarray]]:
-        """Cuts many stretches in step: in each round every word makes its best merge. Without salts also the merges, ``(word, start, end, rank)``."""
-        out, merges = [b""] * len(words), []
-        by_width: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            n = len(w)
-            if 1 < n <= LONG:
-                by_width.setdefault(8 if n <= 8 else 16 if n <= 16 else 32 if n <= 32 else LONG, []).append(k)
-            else:
-                self._cut_alone(words, k, salts, out, merges)
-        for width, group in by_width.items():
-            for at in range(0, len(group), 16384):
-                self._cut_group(words, group[at : at + 16384], salts, width, out, merges)
-        return out, merges
-
-    def _cut_alone(self, words: list[str], k: int, salts: np.ndarray | None, out: list[bytes], merges: list[np.ndarray]) -> None:
-        made: list = []
-        out[k] = array("i", self.cut(words[k], None if salts is None else int(salts[k]), made)).tobytes()
-        if salts is None and made:
-            merges.append(np.array([(k, *m) for m in made], dtype=np.int64).T)
-
-    def _cut_group(self, words: list[str], group: list[int], salts: np.ndarray | None, width: int, out: list[bytes], merges: list[np.ndarray]) -> None:
-        n = len(group)
-        code = np.frombuffer("".join([words[k].ljust(width, "\x01") for k in group]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(n, width)
-        size = np.fromiter((len(words[k]) for k in group), dtype=np.int32, count=n)
+    def _cut_rows(self, chars: np.ndarray, begin: np.ndarray, size: np.ndarray, salts: np.ndarray | None, merges: list | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Cuts rows of characters (ids, at ``begin`` in ``chars``) in step: in each round every row makes its best merge.
+
+        Returns groups ``(rows, ids of all, ids in each)``; with ``merges`` also ``(row, start, end, rank)`` of what is merged.
+        """
+        out, low = [], 0
+        for width in WIDTHS:
+            some = np.flatnonzero((size > low) & (size <= width))
+            low = width
+            for at in range(0, len(some), ROWS):
+                rows = some[at : at + ROWS]
+                ids, kept = self._cut_group(chars, begin[rows], size[rows], None if salts is None else salts[rows], width, rows, merges)
+                out.append((rows, ids[kept], kept.sum(axis=1)))
+        return out
+
+    def _cut_group(self, chars: np.ndarray, begin: np.ndarray, size: np.ndarray, salt: np.ndarray | None, width: int, rows: np.ndarray, merges: list | None) -> tuple[np.ndarray, np.ndarray]:
+        n = len(rows)
         column = np.arange(width, dtype=np.int32)
         inside = column < size[:, None]
-        ids = self._char_ids(code)
-        odd = ((ids < 0) & inside).any(axis=1)
-        if odd.any():
-            for k in np.flatnonzero(odd).tolist():
-                self._cut_alone(words, group[k], salts, out, merges)
-            group = [k for k, x in zip(group, odd.tolist()) if not x]
-            n, ids, size, inside = len(group), ids[~odd], size[~odd], inside[~odd]
-            if not n:
-                return
-        places = np.array(group)
-        salt = None if salts is None else salts[places]
-        ids = np.where(inside, ids, 0)
+        ids = np.where(inside, chars[np.minimum(begin[:, None] + column, len(chars) - 1)], 0)
         step = np.broadcast_to(column + 1, (n, width)).copy()
         back = np.broadcast_to(np.append(column, width) - 1, (n, width + 1)).copy()
         best = np.full((n, width), FAR, dtype=np.int32)
@@ -224,7 +188,7 @@ class Pieces:
         best[row, col], made[row, col] = self._pair(ids[row, col], ids[row, col + 1], salt, row, col, col + 2)
         every = np.arange(n)
         while True:
-            # Words that are done leave the rounds.
+            # Rows that are done leave the rounds.
             at = best[every].argmin(axis=1) if len(every) < n else best.argmin(axis=1)
             some = best[every, at] < FAR
             row, a = every[some], at[some]
@@ -233,8 +197,8 @@ class Pieces:
             every = row
             b = step[row, a]
             c = step[row, b]
-            if salt is None:
-                merges.append(np.stack([places[row], a, c, best[row, a]]))
+            if merges is not None:
+                merges.append(np.stack([rows[row], a, c, best[row, a]]))
             ids[row, a] = made[row, a]
             ids[row, b] = -1
             best[row, b] = FAR
@@ -250,23 +214,40 @@ class Pieces:
                 r, y = row[k], a[k]
                 x = back[r, y]
                 best[r, x], made[r, x] = self._pair(ids[r, x], ids[r, y], salt, r, x, c[k])
-        kept = inside & (ids >= 0)
-        flat, end = ids[kept].astype(np.int32).tobytes(), (4 * np.cumsum(kept.sum(axis=1))).tolist()
-        start = 0
-        for k, stop in zip(group, end):
-            out[k] = flat[start:stop]
-            start = stop
+        return ids, inside & (ids >= 0)
 
     def _learn(self, words: list[str]) -> None:
-        """Remembers words: their cut without dropout and what is merged on the way."""
-        cuts, merges = self._cut_many(words, None)
-        self.known.update(zip(words, range(len(self.cuts), len(self.cuts) + len(words))))
-        self.cuts += cuts
-        self.held += sum(map(len, words))
+        """Remembers words: their characters, their cut without dropout and what is merged on the way."""
+        first, n = len(self.known), len(words)
+        self.known.update(zip(words, range(first, first + n)))
+        size = np.fromiter(map(len, words), dtype=np.int64, count=n)
+        self.held += int(size.sum())
+        begin = np.cumsum(size) - size
+        chars = self._char_ids(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+        odd = size > WIDTHS[-1]
+        odd[np.repeat(np.arange(n), size)[chars < 0]] = True
+        merges: list[np.ndarray] = []
+        groups = self._cut_rows(chars, begin, np.where(odd, 0, size), None, merges)
+        for k in np.flatnonzero(odd).tolist():
+            self.alone[first + k] = words[k]
+            made: list = []
+            ids = np.array(self.cut(words[k], None, made), dtype=np.int32)
+            groups.append((np.array([k]), ids, np.array([len(ids)])))
+            if made:
+                merges.append(np.array([(k, *m) for m in made], dtype=np.int64).T)
+        many = np.zeros(n, dtype=np.int64)
+        for rows, _, each in groups:
+            many[rows] = each
+        cuts = np.empty(int(many.sum()), dtype=np.int32)
+        _put(cuts, np.cumsum(many) - many, groups)
+        self.cut_begin = np.concatenate([self.cut_begin, self.cut_begin[-1] + np.cumsum(many)])
+        self.cuts = np.concatenate([self.cuts, cuts])
+        self.char_begin = np.concatenate([self.char_begin, self.char_begin[-1] + np.cumsum(size)])
+        self.chars = np.concatenate([self.chars, chars])
         word, start, end, rank = np.concatenate(merges, axis=1) if merges else np.zeros((4, 0), dtype=np.int64)
         order = np.argsort(word, kind="stable")
         rank, start, end = (x[order].astype(np.uint32) for x in (rank, start, end))
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.bincount(word, minlength=len(words)))])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.bincount(word, minlength=n))])
         self.merge_rank = np.concatenate([self.merge_rank, rank * np.uint32(0x9E3779B1)])
         self.merge_place = np.concatenate([self.merge_place, start * np.uint32(0x85EBCA6B) + end * np.uint32(0xC2B2AE35)])
 
@@ -289,12 +270,20 @@ class Pieces:
             ids[far] = np.array([self.ids.get(chr(c), -1) for c in some.tolist()], dtype=np.int32)[place]
         return ids
 
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
+
     def _pair(self, left: np.ndarray, right: np.ndarray, salt: np.ndarray | None, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and piece of each candidate; ``FAR`` where there is none or it is skipped."""
         key = (left.astype(np.int64) << 20) | right
-        at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+        slot = self._slot(key)
+        at = self.slots[slot]
         hit = self.pair_key[at] == key
-        rank = np.where(hit, self.pair_rank[at], FAR).astype(np.int32)
+        if (again := np.flatnonzero(~hit & self.shared[slot])).size:
+            at[again] = np.minimum(np.searchsorted(self.pair_key, key[again]), len(self.pair_key) - 1)
+            hit[again] = self.pair_key[at[again]] == key[again]
+        rank = np.where(hit, self.pair_rank[at], FAR)
         if self.below and salt is not None:
             x = (salt[row] ^ (rank.astype(np.uint32) * np.uint32(0x9E3779B1))) + start.astype(np.uint32) * np.uint32(0x85EBCA6B) + end.astype(np.uint32) * np.uint32(0xC2B2AE35)
             rank[_mixed(x) < self.below] = FAR
@@ -302,30 +291,52 @@ class Pieces:
 
     def encode(self, text: str | None, key: str = "") -> list[int]:
         """Ids of a whole text."""
-        return np.frombuffer(self.encode_many([text], [key])[0], dtype=np.int32).tolist()
+        return self.encode_many([text], [key])[0].tolist()
 
-    def encode_many(self, texts: list[str | None], keys: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit integers; words that are not remembered yet are cut together, and so are changed occurrences."""
+    def encode_many(self, texts: list[str | None], keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin; words that are not remembered yet are cut together, and so are changed occurrences."""
         if len(self.known) > REMEMBERED or self.held > 20 * REMEMBERED:
             self._forget()
         work = [self.stretch.findall(MARK + self._marked(t)) if t else [] for t in texts]
+        many = np.fromiter(map(len, work), dtype=np.int64, count=len(work))
         words = list(chain.from_iterable(work))
         if fresh := set(words).difference(self.known):
             self._learn(list(fresh))
         at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-        got = list(map(self.cuts.__getitem__, at.tolist()))
-        if self.below and len(words):
-            salts = np.concatenate([self._salts(k, len(w)) for w, k in zip(work, keys)])
-            for block in range(0, len(words), BLOCK):
-                changed = np.flatnonzero(self._changed(at[block : block + BLOCK], salts[block : block + BLOCK])) + block
-                places = changed.tolist()
-                for k, cut in zip(places, self._cut_many([words[k] for k in places], salts[changed])[0]):
-                    got[k] = cut
-        out, end = [], 0
-        for w in work:
-            start, end = end, end + len(w)
-            out.append(b"".join(got[start:end]))
-        return out
+        salts = np.concatenate([np.zeros(0, np.uint32), *(self._salts(k, n) for k, n in zip(keys, many.tolist()))]) if self.below else None
+        parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for block in range(0, len(words), BLOCK):
+            ids, size = self._cut_known(at[block : block + BLOCK], None if salts is None else salts[block : block + BLOCK])
+            parts.append(ids)
+            sizes.append(size)
+        end = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        return np.concatenate(parts), end[np.concatenate([[0], np.cumsum(many)])]
+
+    def _cut_known(self, at: np.ndarray, salts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of occurrences of remembered words, one after the other, and how many each has."""
+        size = self.cut_begin[at + 1] - self.cut_begin[at]
+        groups = []
+        changed = np.zeros(len(at), dtype=bool)
+        if salts is not None:
+            changed = self._changed(at, salts)
+            where = np.flatnonzero(changed)
+            word, salt = at[where], salts[where]
+            length = self.char_begin[word + 1] - self.char_begin[word]
+            if self.alone:
+                single = np.isin(word, np.fromiter(self.alone, dtype=np.int64, count=len(self.alone)))
+                for k in np.flatnonzero(single).tolist():
+                    ids = np.array(self.cut(self.alone[int(word[k])], int(salt[k])), dtype=np.int32)
+                    groups.append((where[k : k + 1], ids, np.array([len(ids)])))
+                length[single] = 0
+            groups += [(where[rows], ids, each) for rows, ids, each in self._cut_rows(self.chars, self.char_begin[word], length, salt)]
+            for rows, _, each in groups:
+                size[rows] = each
+        begin = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), dtype=np.int32)
+        same = np.flatnonzero(~changed)
+        out[_ragged(begin[same], size[same])] = self.cuts[_ragged(self.cut_begin[at[same]], size[same])]
+        _put(out, begin, groups)
+        return out, size
 
     @staticmethod
     def _marked(text: str) -> str:
@@ -336,25 +347,26 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text that ``encode`` was given."""
-        if not len(ids):
-            return ""
-        text_of, byte_of = self.text_of, self.byte_of
-        parts = [text_of[i] for i in ids]
-        if "" in parts:
-            out, raw = [], bytearray()
-            for i, p in zip(ids, parts):
-                if p:
-                    if raw:
-                        out.append(raw.decode("utf-8", "surrogatepass"))
-                        raw.clear()
-                    out.append(p)
-                else:
-                    raw.append(byte_of[i])
-            if raw:
-                out.append(raw.decode("utf-8", "surrogatepass"))
-            parts = out
-        text = "".join(parts)
-        return text[1:]
+        return self.decode_bytes(np.asarray(ids, dtype=np.int32))[1:].decode("utf-8", "surrogatepass")
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """UTF-8 of the pieces, with the one space that encoding put before a text."""
+        out = []
+        for at in range(0, len(ids), BLOCK):
+            some = ids[at : at + BLOCK]
+            out.append(self.spelled[_ragged(self.spelled_begin[some], self.spelled_size[some])].tobytes())
+        return b"".join(out)
+
+
+def _ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places ``begin[i], begin[i] + 1, ...``, ``size[i]`` of them, for all i."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _put(out: np.ndarray, begin: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    """Writes each row's ids of ``(rows, ids, ids in each)`` at its ``begin``."""
+    for rows, ids, each in groups:
+        out[_ragged(begin[rows], each)] = ids
 
 
 def encode_documents(
@@ -381,11 +393,17 @@ def encode_documents(
                     if seen[row]:
                         names[k] += f"\x00{seen[row]}"
                     seen[row] += 1
-            cuts = pieces.encode_many(texts, names)
-            ok = [not check or pieces.decode(np.frombuffer(ids, dtype=np.int32).tolist()) == (text or "") for text, ids in zip(texts, cuts)]
-            offsets = np.cumsum([0, *(len(x) // 4 for x in cuts)], dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(cuts), dtype=np.int32)))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(offsets).astype(np.int64)), lists, pa.array(ok, pa.bool_())], names=[id_col, "n_pieces", "ids", "lossless"])
+            ids, ends = pieces.encode_many(texts, names)
+            spelled = pieces.decode_bytes(ids) if check else b""
+            ok, place = [], 0
+            for text, a, b in zip(texts, ends.tolist(), ends[1:].tolist()):
+                # Each text's pieces spell it, after the one space that encoding put before it.
+                told = b" " + text.encode("utf-8", "surrogatepass") if text else b""
+                size = int(pieces.spelled_size[ids[a:b]].sum()) if check else 0
+                ok.append(not check or spelled[place : place + size] == told)
+                place += size
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(ends)), lists, pa.array(ok, pa.bool_())], names=[id_col, "n_pieces", "ids", "lossless"])
 
     return docs.selectExpr(f"`{id_col}`", f"`{text_col}` as __text").mapInArrow(run, f"`{id_col}` {kind}, n_pieces bigint, ids array<int>, lossless boolean")
 

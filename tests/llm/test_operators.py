@@ -147,7 +147,6 @@ def test_simhash_brute(spark):
 def test_pieces_round_trip_and_library():
     import sentencepiece
 
-    from helixplan.llm import pieces as module
     from helixplan.llm.pieces import VOCABULARY, Pieces
 
     model = open(VOCABULARY, "rb").read()
@@ -161,18 +160,52 @@ def test_pieces_round_trip_and_library():
         assert varied.decode(ids) == (t or "") and ids == again.encode(t, "7")
     assert len({tuple(varied.encode(LOREM, str(k))) for k in range(8)}) > 1
     rng = random.Random(5)
-    words = ["▁" + "".join(rng.choice("abcdethné") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    words = ["▁" + "".join(rng.choice("abcdethné") for _ in range(rng.randint(1, 60))) for _ in range(300)] + ["▁日𝔘a", "\n\n", "a"]
     one = Pieces(model, dropout=0.3)
-    one._fill(1, sorted(set(words)))
+    one._learn(sorted(set(words)))
     import numpy as np
 
-    for w in words:
-        step = np.frombuffer(one.tables[1][w], dtype=np.int32).tolist()
-        assert step == one.cut(w, 1)
-        old, module.LONG = module.LONG, 0
-        heap = one.cut(w, 1)
-        module.LONG = old
-        assert step == heap
+    # Cut in step or one by one: the same.
+    salts = np.array([rng.getrandbits(32) for _ in words], dtype=np.uint32)
+    ids, size = one._cut_known(np.array([one.known[w] for w in words]), salts)
+    assert np.split(ids, np.cumsum(size)[:-1])[0].tolist() == one.cut(words[0], int(salts[0]))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [one.cut(w, int(s)) for w, s in zip(words, salts)]
+
+
+def _cut_by_definition(pieces, word, salt):
+    """Merge by merge over a plain list of parts."""
+    parts = list(word)
+    skipped = set()
+    while True:
+        at = 0
+        spans = []
+        for p in parts:
+            spans.append((at, at + len(p)))
+            at += len(p)
+        agenda = []
+        for i in range(len(parts) - 1):
+            piece = parts[i] + parts[i + 1]
+            span = (spans[i][0], spans[i + 1][1])
+            if piece in pieces.rank and (span, piece) not in skipped:
+                agenda.append((pieces.rank[piece], i, span, piece))
+        if not agenda:
+            return pieces._spell(parts)
+        rank, i, span, piece = min(agenda)
+        if pieces._skips(salt, *span, rank):
+            skipped.add((span, piece))
+        else:
+            parts[i : i + 2] = [piece]
+
+
+def test_pieces_follow_the_definition():
+    from helixplan.llm.pieces import MARK, VOCABULARY, Pieces
+
+    pieces = Pieces(open(VOCABULARY, "rb").read(), dropout=0.4)
+    rng = random.Random(15)
+    for _ in range(300):
+        word = MARK + "".join(rng.choice(["th", "e", "r", "in", "g", "ü", "s", "ch"]) for _ in range(rng.randint(1, 9)))
+        salt = rng.getrandbits(32)
+        assert pieces.cut(word, salt) == _cut_by_definition(pieces, word, salt)
 
 
 def test_mixing(spark, docs):
@@ -595,7 +628,8 @@ def test_pieces_draw_dropout_for_every_occurrence(spark, tmp_path):
     assert all(x == plain for x, c in zip(each, changed) if not c)
     assert not np.array_equal(salts, pieces._salts("6", n))
     texts = [LOREM, "odd 中中 éé " + "ab" * 60, "\x00 ▁ word"] * 3
-    got = [np.frombuffer(x, dtype=np.int32).tolist() for x in pieces.encode_many(texts, [str(k) for k in range(9)])]
+    ids, ends = pieces.encode_many(texts, [str(k) for k in range(9)])
+    got = [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
     for k, t in enumerate(texts):
         words = pieces.stretch.findall(MARK + pieces._marked(t))
         assert got[k] == [i for w, x in zip(words, pieces._salts(str(k), len(words))) for i in pieces.cut(w, int(x))]
