@@ -1,19 +1,24 @@
 """Main text of HTML pages by minimum-cut labelling.
 
-A page is cut into text blocks at block-level tags. Each block gets two costs, of calling it content and of
-calling it boilerplate, from fixed evidence: the elements around it (an article against a menu, footer,
-advert, comment list ...), words in their class, id and role, its length, and its share of link text. The
-costs are the capacities of its edges to the two terminals of a flow network. Smoothness edges join blocks
-that follow each other, stronger the fewer elements lie between them, and each block to the nearest earlier
-blocks of the same parent and of the same section. The minimum cut, found by augmenting paths, labels the
-page: what stays with the source is content.
+A page is cut into text blocks at block-level tags. A classifier gives each block the log-odds of being content,
+a sum over independent features with fixed weights: the elements around it (an article against a menu, footer,
+form ...), the tokens of their class, id and role, its length, its sentences, and its share of link text. The
+odds are the capacities of its edges to the two terminals of a flow network. Smoothness edges join blocks that follow each
+other, stronger the fewer elements lie between them, and each block to the nearest earlier blocks of the same
+parent and of the same section. The minimum cut, found by augmenting paths, labels the page: what stays with
+the source is content.
+
+A token is judged whole, by its head: ``main-menu`` and ``ad-box`` name boilerplate, ``has-sidebar``, ``ad-free``,
+``overflow-hidden`` and ``tags-news`` don't. Tokens of an element that holds most of a page's text don't count
+against it, because boilerplate is what stands beside the text; comments are the exception, they may be longer.
 
 Scripts, styles, templates and form controls hold no text of a reader and make no blocks. White space inside a block becomes
 one space, inline tags and line breaks with it; blocks are joined in page order by two line feeds.
 
 Edge cases: null, empty and tag-only html give the empty text; unclosed, stray and misnested tags are taken
-as they come, an end tag closes up to its own element if that is open; a page of any length is read whole;
-repeated rows and ties are read row by row; further columns are not read.
+as they come, an end tag closes up to its own element if that is open; a page of any length and nesting is read
+whole, in time in proportion to its tags; repeated rows and ties are read row by row; further columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,57 +42,102 @@ CLOSES_P = BLOCK - frozenset("li dd dt td th tr tbody thead tfoot caption option
 SIBLING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-# Evidence in bits for content (positive) or boilerplate, by element and by word of class, id or role.
-ELEMENT = {"article": 6.0, "main": 4.0, "nav": -30.0, "menu": -30.0, "footer": -30.0, "aside": -30.0, "form": -30.0, "fieldset": -12.0, "dialog": -30.0, "search": -30.0, "h1": 2.0, "h2": 1.0, "h3": 1.0, "p": 2.0, "blockquote": 1.0, "pre": 1.0, "figcaption": 0.5, "title": -30.0, "label": -4.0, "legend": -4.0}
-HEADER_IN_PAGE = -30.0
-GOOD = dict.fromkeys("article content post entry story main body text".split(), 1.5)
-BAD = dict.fromkeys(
-    "ad ads adv advert adverts advertisement adbox adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus disclaimer dialog footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation navlinks newsletter notice notices alert alerts outbrain overlay pager pagination paywall popup promo promoted promotion related recommended replies respond reviews rss search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription taboola tags teaser toolbar topbar warning widget widgets complementary contentinfo".split(),
-    -30.0,
-)
-LINK, LONG, SHORT, BASE = -6.0, 3.0, -0.5, -0.5
+# Log-odds of content (positive) or boilerplate, by element.
+ELEMENT = {"article": 6.0, "main": 4.0, "nav": -14.0, "menu": -14.0, "footer": -14.0, "aside": -14.0, "form": -14.0, "fieldset": -8.0, "dialog": -14.0, "search": -14.0, "h1": 2.0, "h2": 1.0, "h3": 1.0, "p": 2.0, "blockquote": 1.0, "pre": 1.0, "figcaption": 0.5, "title": -14.0, "label": -4.0, "legend": -4.0}
+HEADER_IN_PAGE = -14.0
+# Parts of tokens of class, id and role.
+GOOD = frozenset("article content post entry story main body text".split())
+BAD = frozenset("ad ads adv advert adverts advertisement adbox adsense banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer dialog footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation navlinks newsletter notice notices alert alerts outbrain overlay pager pagination paywall popup promo promoted promotion related recommended rss search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription taboola tags teaser toolbar topbar warning widget widgets complementary contentinfo".split())
+TALK = frozenset("comment comments commentlist disqus replies respond reviews".split())
+#: A token with one of these says something about an element's state or surroundings, not what it is.
+STATE = frozenset("no has have with without not is are show hide hides show shows free overflow visually aria js layout page single template enabled disabled open closed active sticky category tagged tag type format status".split())
+#: What may follow the name of a kind of boilerplate: a box for it.
+BOX = frozenset("area bar block body bottom box col column container content group holder inline inner item items left link links list outer panel right row section slot title top unit wrap wrapper zone".split())
+TOKEN_BAD, TOKEN_GOOD = -14.0, 1.5
+LINK, LONG, SHORT, BASE, SENTENCE = -6.0, 3.0, -0.5, -0.5, 0.5
 NEXT, SAME_PARENT, SAME_SECTION = 1.5, 1.0, 0.5
+#: Share and length of a page's text that no element holds that is boilerplate by its tokens alone.
+MOST_SHARE, MOST_CHARS = 2 / 3, 300
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-NAMED = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*)(?:>|$)", re.S)
+NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+SENTENCES = re.compile(r"[.!?:](?:\s|$)")
 SPACE = re.compile(r"\s+")
 
 
 class _Element:
-    __slots__ = ("evidence", "name", "number", "section", "silent")
+    """An open element, with what holds for everything in it: ``total`` log-odds, the place of its nearest block element, the outermost element condemned by a token."""
 
-    def __init__(self, name: str, number: int, section: int, silent: bool, evidence: float):
-        self.name, self.number, self.section, self.silent, self.evidence = name, number, section, silent, evidence
+    __slots__ = ("block", "condemned", "name", "number", "section", "silent", "total")
 
+    def __init__(self, name: str, number: int, section: int, silent: bool, total: float, block: int, condemned: int):
+        self.name, self.number, self.section, self.silent, self.total, self.block, self.condemned = name, number, section, silent, total, block, condemned
 
-def _evidence(name: str, attributes: str, inside: list[_Element]) -> float:
-    worth = ELEMENT.get(name, 0.0)
-    if name == "header" and not any(e.name in ("article", "main") for e in inside):
+
+def token_kind(token: str) -> str:
+    """``bad``, ``talk``, ``good`` or nothing, for one token of class, id or role."""
+    parts = [x.lower() for x in PART.findall(token)]
+    whole = "".join(parts)
+    for kind, names in (("talk", TALK), ("bad", BAD)):
+        if whole in names:
+            return kind
+    if not parts or STATE & set(parts):
+        return ""
+    for kind, names in (("talk", TALK), ("bad", BAD)):
+        # Its head is its last part; a box for something is that thing.
+        if parts[-1] in names or parts[0] in names and all(x in BOX or x in names for x in parts[1:]):
+            # The header of an article belongs to it.
+            return "good" if parts[-1] == "header" and GOOD & set(parts) else kind
+    return "good" if GOOD & set(parts) else ""
+
+
+def _evidence(name: str, attributes: str, in_article: bool) -> tuple[float, float]:
+    """Log-odds of an element, and how much of it a token of boilerplate gave that the page's text may overrule."""
+    worth, overruled = ELEMENT.get(name, 0.0), 0.0
+    if name == "header" and not in_article:
         worth = HEADER_IN_PAGE
     if attributes and name not in ("html", "body"):
         if HIDDEN.search(attributes):
-            worth -= 30.0
-        values = [m[1] or m[2] or m[3] or "" for m in NAMED.finditer(attributes)]
-        words = {w.lower() for v in values for w in PART.findall(v)} | {re.sub("[^a-z]", "", t.lower()) for v in values for t in v.split()}
-        if "header" in words and words & GOOD.keys():
-            words.discard("header")
-        bad = min((BAD[w] for w in words if w in BAD), default=0.0)
-        worth += bad if bad else sum(sorted((GOOD[w] for w in words if w in GOOD), reverse=True)[:1])
-    return worth
+            worth -= 14.0
+        kinds = {token_kind(t) for m in NAMED.finditer(attributes) for t in (m[1] or m[2] or m[3] or "").split()}
+        if "talk" in kinds:
+            worth += TOKEN_BAD
+        elif "bad" in kinds:
+            worth += TOKEN_BAD
+            overruled = TOKEN_BAD
+        elif "good" in kinds:
+            worth += TOKEN_GOOD
+    return worth, overruled
 
 
 class Block:
-    __slots__ = ("depth", "evidence", "linked", "parent", "section", "text")
+    __slots__ = ("condemned", "depth", "evidence", "linked", "parent", "section", "text")
+
+    def __init__(self, text: str, linked: int, parent: int, section: int, depth: int, evidence: float, condemned: int):
+        self.text, self.linked, self.parent, self.section, self.depth, self.evidence, self.condemned = text, linked, parent, section, depth, evidence, condemned
 
-    def __init__(self, text: str, linked: int, parent: int, section: int, depth: int, evidence: float):
-        self.text, self.linked, self.parent, self.section, self.depth, self.evidence = text, linked, parent, section, depth, evidence
+
+def _acquit(blocks: list[Block], weight: dict[int, float]) -> list[Block]:
+    """Takes back what tokens say of elements that hold most of the page's text."""
+    size: dict[int, int] = {}
+    for b in blocks:
+        size[b.condemned] = size.get(b.condemned, 0) + max(len(b.text) - b.linked, 0)
+    total = sum(size.values())
+    for number, n in size.items():
+        if number and n >= MOST_CHARS and n > MOST_SHARE * total:
+            for b in blocks:
+                if b.condemned == number:
+                    b.evidence -= weight[number]
+    return blocks
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order."""
-    stack = [_Element("", 0, 0, False, 0.0)]
+    stack = [_Element("", 0, 0, False, 0.0, 0, 0)]
+    open_at: dict[str, list[int]] = {}
+    weight: dict[int, float] = {}
     made, out, parts, linked, links, silent = 0, [], [], 0, 0, 0
 
     def flush() -> None:
@@ -96,28 +146,24 @@ def blocks_of(page: str) -> list[Block]:
             text = SPACE.sub(" ", "".join(parts)).strip()
             parts.clear()
             if text:
-                blocks = [e for e in stack if e.name in BLOCK]
-                holder = blocks[-1] if blocks else stack[0]
-                above = blocks[-2].number if len(blocks) > 1 else 0
-                out.append(Block(text, linked, above, holder.section, len(stack), max(-60.0, sum(e.evidence for e in stack))))
+                top = stack[-1]
+                holder = stack[top.block]
+                above = stack[stack[top.block - 1].block].number if top.block else 0
+                out.append(Block(text, linked, above, holder.section, len(stack), max(-60.0, top.total), top.condemned))
         linked = 0
 
-    def pop() -> None:
+    def close(k: int) -> None:
+        """Closes the elements from place ``k`` on."""
         nonlocal links, silent
-        e = stack.pop()
-        links -= e.name == "a"
-        silent -= e.silent
-
-    def close_p(but: str) -> None:
-        """An open paragraph ends; inline elements that it left open end with it."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name == "p":
-                flush()
-                while len(stack) > k:
-                    pop()
-                return
-            if stack[k].name in BLOCK:
-                return
+        while len(stack) > k:
+            e = stack.pop()
+            open_at[e.name].pop()
+            links -= e.name == "a"
+            silent -= e.silent
+
+    def last(names: tuple[str, ...]) -> int:
+        """Place of the innermost open element of these, or 0."""
+        return max((open_at[x][-1] for x in names if open_at.get(x)), default=0)
 
     at, n = 0, len(page)
     while at < n:
@@ -141,16 +187,12 @@ def blocks_of(page: str) -> list[Block]:
             if name == "br":
                 parts.append(" ")
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    if name in BLOCK or any(e.name in BLOCK for e in stack[k:]):
-                        flush()
-                    while len(stack) > k:
-                        pop()
-                    break
-            else:
-                if name in BLOCK:
+            if k := last((name,)):
+                if stack[-1].block >= k:
                     flush()
+                close(k)
+            elif name in BLOCK:
+                flush()
             continue
         if name in VOID:
             if name == "br":
@@ -159,30 +201,33 @@ def blocks_of(page: str) -> list[Block]:
                 flush()
             continue
         if name in BLOCK:
-            if name in CLOSES_P:
-                close_p(name)
+            if name in CLOSES_P and stack[stack[-1].block].name == "p":
+                # An open paragraph ends; inline elements that it left open end with it.
+                flush()
+                close(stack[-1].block)
             if name in SIBLING:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name in SCOPE[name]:
-                        break
-                    if stack[k].name in SIBLING[name]:
-                        flush()
-                        while len(stack) > k:
-                            pop()
-                        break
+                k = last(SIBLING[name])
+                if k > last(SCOPE[name]):
+                    flush()
+                    close(k)
             flush()
             if name == "body":
                 # What a head left open ends here.
-                while len(stack) > 1 and stack[-1].name not in ("", "html"):
-                    pop()
+                while len(stack) > 1 and stack[-1].name != "html":
+                    close(len(stack) - 1)
         attributes = m[3] or ""
         if attributes.rstrip().endswith("/") and name in ("svg", "iframe", "script"):
             continue
         made += 1
         quiet = name in SILENT
-        worth = _evidence(name, attributes, stack)
-        section = made if name in BLOCK and (name in ("article", "section", "main", "nav", "aside", "footer", "header", "form", "ul", "ol", "table") or worth <= -12) else stack[-1].section
-        stack.append(_Element(name, made, section, quiet, worth))
+        worth, overruled = _evidence(name, attributes, bool(last(("article", "main"))))
+        top = stack[-1]
+        section = made if name in BLOCK and (name in ("article", "section", "main", "nav", "aside", "footer", "header", "form", "ul", "ol", "table") or worth <= -8) else top.section
+        condemned = top.condemned
+        if overruled and not condemned:
+            condemned, weight[made] = made, overruled
+        stack.append(_Element(name, made, section, quiet, top.total + worth, len(stack) if name in BLOCK else top.block, condemned))
+        open_at.setdefault(name, []).append(len(stack) - 1)
         links += name == "a"
         silent += quiet
         if name in RAW:
@@ -192,13 +237,13 @@ def blocks_of(page: str) -> list[Block]:
                 parts.append(html.unescape(page[at:stop]))
             at = stop
     flush()
-    return out
+    return _acquit(out, weight)
 
 
 def costs(block: Block) -> tuple[float, float]:
-    """Capacities from the source (what calling it boilerplate costs) and to the sink."""
+    """Capacities from the source (what calling it boilerplate costs) and to the sink: the classifier's log-odds."""
     n = len(block.text)
-    worth = BASE + block.evidence + LONG * min(n / 200, 1.0) + (SHORT if n < 25 else 0.0) + LINK * min(block.linked / n, 1.0)
+    worth = BASE + block.evidence + LONG * min(n / 200, 1.0) + (SHORT if n < 25 else 0.0) + LINK * min(block.linked / n, 1.0) + (SENTENCE if SENTENCES.search(block.text) else 0.0)
     return (worth, 0.0) if worth > 0 else (0.0, -worth)
 
 
