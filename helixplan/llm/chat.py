@@ -1,8 +1,9 @@
 r"""Chat formatting of reply trees.
 
-Messages point to their parent. Root-to-leaf paths are enumerated by self-joins that double their reach:
-after round k a leaf knows its nearest 2^k ancestors, so depth 1,000 takes ten joins. Branches of a tree are
-ranked by the mean score of their messages and the best ``branches`` become conversations of their own.
+Messages point to their parent. Self-joins that double their reach climb from every message to its root:
+after round k a message knows its 2^k-th ancestor and the sum of scores on the way, so depth 1,000 takes ten
+rounds of one row a message. Leaves are ranked by the mean score of their path, and only the best ``branches``
+of a tree are then spelled out, by the same jumps downwards from the longest; each becomes a conversation.
 
 A turn is written ``### role: text </turn>`` and a line feed. In texts and roles ``\`` becomes ``\b``, ``<``
 ``\l`` and ``#`` ``\h`` (in roles also ``:`` ``\c`` and line feed ``\n``). Every backslash of the output starts one of
@@ -11,10 +12,12 @@ these pairs, so no text can hold a mark and undoing the pairs, the backslash las
 
 One conversation is one string and is put together in one task; nothing else gathers by conversation.
 
-Edge cases: null texts and roles count as empty; a message whose parent is not in its tree is a root; a
-cycle of replies is an error; of messages with the same id in a tree one stays (the least
-role, then text); null scores count as 0; rows of a null tree id form one tree; an empty table gives no
-rows; further columns are not read.
+Edge cases: null texts and roles count as empty; a message whose parent is not in its tree is a root; messages
+on a cycle of replies, and replies to them, reach no root and are in no path (a round in which nobody arrives
+shows them, so a cycle costs no more rounds than the depth of the other trees); of messages with the same id in
+a tree one stays (the least role, then text); null scores count as 0; rows of a null tree id form one tree; an
+empty table gives no rows; texts of any length are escaped whole, a conversation must fit a string; further columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,36 +46,55 @@ def unescape_role(role: Column) -> Column:
     return unescape(F.replace(F.replace(role, F.lit("\\n"), F.lit("\n")), F.lit("\\c"), F.lit(":")))
 
 
-def reply_paths(messages: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(tree, leaf, node, hop)``: each leaf with itself (hop 0) and all its ancestors; input ``(tree, node, parent)``, keys not null, unique."""
-    known = messages.select("tree", F.col("node").alias("parent"))
-    up = messages.select("tree", "node", "parent").where("parent is not null").join(known, ["tree", "parent"], "left_semi").select("tree", "node", F.col("parent").alias("up"))
-    jump = scratch.keep(up)
-    inner = jump.select("tree", F.col("up").alias("node")).distinct()
-    paths = scratch.keep(messages.select("tree", F.col("node").alias("leaf")).join(inner.withColumnRenamed("node", "leaf"), ["tree", "leaf"], "left_anti").select("tree", "leaf", F.col("leaf").alias("node"), F.lit(0).alias("hop")))
-    reach = 1
-    while not jump.isEmpty():
-        further = paths.join(jump, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("hop") + reach).alias("hop"))
-        grown = scratch.keep(paths.unionByName(further))
-        onward = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("top"))
-        longer = scratch.keep(jump.withColumnRenamed("up", "mid").join(onward.withColumnRenamed("up", "mid"), ["tree", "mid"]).select("tree", "node", F.col("top").alias("up")))
-        scratch.drop(paths, jump)
-        paths, jump, reach = grown, longer, reach * 2
-        if reach > 1 << 30:
-            raise ValueError("a reply tree has a cycle")
+def climb(messages: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """Sums over each message's path and the jumps of 1, 2, 4, ... steps; input ``(tree, node, parent, score)``, keys not null, unique.
+
+    Returns ``(tree, node, total, steps)`` of all messages that reach a root, and tables ``(tree, node, up)``.
+    """
+    known = messages.select("tree", F.col("node").alias("parent"), F.lit(True).alias("found"))
+    state = scratch.keep(
+        messages.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("found"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).alias("steps"))
+    )
+    jumps, left = [], state.where("up is not null").count()
+    while left:
+        jumps.append(state.where("up is not null").select("tree", "node", "up"))
+        goal = state.select("tree", F.col("node").alias("up"), F.col("up").alias("top"), F.col("total").alias("more"), F.col("steps").alias("further"))
+        moved = state.where("up is not null").join(goal, ["tree", "up"]).select("tree", "node", F.col("top").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("steps") + F.col("further")).alias("steps"))
+        state = scratch.keep(state.where("up is null").unionByName(moved))
+        now = state.where("up is not null").count()
+        if now == left:  # a path that ends has somebody arrive in every round
+            break
+        left = now
+    return state.where("up is null").drop("up"), jumps
+
+
+def spell_out(leaves: DataFrame, jumps: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """``(tree, leaf, branch_rank, node, hop)``: each leaf with itself (hop 0) and all its ancestors."""
+    paths = leaves.select("tree", "leaf", "branch_rank", F.col("leaf").alias("node"), F.lit(0).alias("hop"))
+    for k in reversed(range(len(jumps))):
+        further = paths.join(jumps[k], ["tree", "node"]).select("tree", "leaf", "branch_rank", F.col("up").alias("node"), (F.col("hop") + (1 << k)).alias("hop"))
+        paths = scratch.keep(paths.unionByName(further))
     return paths
 
 
-def format_trees(messages: DataFrame, branches: int | None = 1) -> DataFrame:
-    """``messages``: ``tree, node, parent, role, text, score``. One row per chosen path: ``tree, leaf, branch_rank, formatted, loss_spans, n_turns``."""
+def format_trees(messages: DataFrame, branches: int | None = 1, unique: bool = False) -> DataFrame:
+    """``messages``: ``tree, node, parent, role, text, score``. One row per chosen path: ``tree, leaf, branch_rank, formatted, loss_spans, n_turns``.
+
+    ``unique`` says that no two messages of a tree share an id, which spares looking for them.
+    """
     scratch = Scratch(messages.sparkSession, "chat")
-    one = F.min(F.struct(F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), "parent")).alias("m")
-    known = scratch.keep(messages.select(F.struct(F.col("tree")).alias("tree"), "node", "parent", "role", "text", "score").where("node is not null").groupBy("tree", "node").agg(one).select("tree", "node", "m.*"))
-    paths = reply_paths(known, scratch)
-    scored = paths.join(known.select("tree", "node", "score"), ["tree", "node"])
-    ranked = scored.groupBy("tree", "leaf").agg(F.avg("score").alias("mean"), F.count("*").alias("n")).withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), F.desc("n"), "leaf")))
-    chosen = ranked if branches is None else ranked.where(F.col("branch_rank") <= branches)
-    turns = paths.join(chosen.select("tree", "leaf", "branch_rank"), ["tree", "leaf"]).join(known.select("tree", "node", "role", "text"), ["tree", "node"])
+    plain = messages.where("node is not null").select(F.struct(F.col("tree")).alias("tree"), "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    if not unique:
+        plain = plain.groupBy("tree", "node").agg(F.min(F.struct("role", "text", "score", "parent")).alias("m")).select("tree", "node", "m.*")
+    known = scratch.keep(plain)
+    slim = known.select("tree", "node", "parent", "score")
+    sums, jumps = climb(slim, scratch)
+    inner = (jumps[0].select("tree", F.col("up").alias("node")).distinct()) if jumps else slim.select("tree", "node").limit(0)
+    leaves = sums.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), (F.col("total") / F.col("steps")).alias("mean"), "steps")
+    ranked = leaves.withColumn("branch_rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("mean"), F.desc("steps"), "leaf")))
+    chosen = scratch.keep((ranked if branches is None else ranked.where(F.col("branch_rank") <= branches)).select("tree", "leaf", "branch_rank"))
+    paths = spell_out(chosen, jumps, scratch)
+    turns = paths.join(known.select("tree", "node", "role", "text"), ["tree", "node"])
     head = F.concat(F.lit("### "), escape_role(F.col("role")), F.lit(": "))
     body = escape(F.col("text"))
     turn = F.struct((-F.col("hop")).alias("at"), F.concat(head, body, F.lit(END)).alias("s"), F.length(head).alias("h"), F.length(body).alias("n"), (F.col("role") == "assistant").alias("loss"))
@@ -114,7 +136,7 @@ def linear_replies(turns: DataFrame, tree: str = "conv_id", turn: str = "turn")
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], "conv_id bigint, turn bigint, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more)
-    made = format_trees(linear_replies(rows), branches=1)
+    made = format_trees(linear_replies(rows), branches=1, unique=True)
     read = made.select(F.col("tree").alias("conv_id"), "formatted", read_turns(F.col("formatted")).alias("t"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     told = F.array_join(F.transform("t", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return read.select(

@@ -268,6 +268,13 @@ def test_chat_branches_and_traps(spark):
     best = format_trees(table, branches=1).where("tree = 't'").collect()
     assert [r.leaf for r in best] == [4]
     deep = spark.createDataFrame([("d", i, i - 1 if i else None, "user", str(i), 1.0) for i in range(70)], table.schema)
+    # A cycle, what hangs on one, and a reply to itself reach no root; other trees and branches are whole.
+    odd = [("c", 1, 2, "user", "x", 1.0), ("c", 2, 1, "user", "x", 1.0), ("c", 3, 2, "user", "x", 1.0), ("c", 4, 4, "user", "x", 1.0), ("c", 5, None, "user", "fine", 1.0), ("c", 6, 5, "assistant", "too", 1.0)]
+    with_cycles = format_trees(deep.unionByName(spark.createDataFrame(odd, table.schema)), branches=None).select("tree", "leaf", "n_turns").collect()
+    assert sorted(map(tuple, with_cycles)) == [("c", 6, 2), ("d", 69, 70)]
+    # A broom: a long handle and many leaves, of which one is spelled out.
+    broom = [("b", i, i - 1 if i else None, "user", str(i), 0.0) for i in range(40)] + [("b", 100 + i, 39, "user", str(i), float(i)) for i in range(50)]
+    assert [(r.leaf, r.n_turns) for r in format_trees(spark.createDataFrame(broom, table.schema)).collect()] == [(149, 41)]
     assert [t.text for t in format_trees(deep).select(read_turns(F.col("formatted")).alias("t")).first().t] == [str(i) for i in range(70)]
 
 
