@@ -5,18 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from helixplan.plans.runtime import Scratch
+from helixplan.plans.skew import dealt_join, hot_keys
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, hot: DataFrame | None) -> DataFrame:
+    both = _both(edges)
+    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    return dealt_join(both.where("b > a"), low, "a", hot, F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _small_star(edges: DataFrame, hot: DataFrame | None) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("m"))
-    linked = down.join(low, "a")
+    linked = dealt_join(down, low, "a", hot, F.col("b"))
     return linked.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b")
 
 
@@ -25,22 +30,25 @@ def connected_components(edges: DataFrame, src: str, dst: str, scratch: Scratch,
 
     Returns ``(node, component)``, one row per node that occurs in ``edges``; self-loops make a node known
     but link nothing, rows with a null end are ignored. A round is two star contractions; both are an
-    aggregation that combines on the map side and an equi-join, so a hub costs no more than its edges, and
-    the number of rounds grows with the logarithm of the longest path. Nothing reaches the driver except a
-    row count and a checksum per round, and each round is a table in the shared folder.
+    aggregation that combines on the map side and an equi-join, in which the edges of hubs are dealt by their
+    other ends, so a hub costs no task more than its share. The number of rounds grows with the logarithm of
+    the longest path; they end when every node links to one root. The driver gets two numbers and the list of
+    hubs (bounded, see ``hot_keys``) a round, and each round is a table in the shared folder.
     """
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     nodes = scratch.keep(ends)
     now = scratch.keep(nodes.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
     for _ in range(max_rounds):
-        grown = scratch.keep(_small_star(_large_star(now)).distinct())
-        seen = grown.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        # How many each node links to, and how many link to it.
+        met = now.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        up, down = F.col("up"), F.col("down")
+        told = met.groupBy("x").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).agg(F.sum(up).alias("n"), F.max(F.when(down > 0, up).otherwise(up - 1)).alias("open"), F.max(up + down).alias("most")).first()
+        if not told["n"] or told["open"] <= 0:
+            break
+        hot = hot_keys(_both(now), "a", 2 * told["n"], most=told["most"])
+        grown = scratch.keep(_small_star(_large_star(now, hot), hot).distinct())
         scratch.drop(now)
         now = grown
-        if tuple(seen) == mark or seen[0] == 0:
-            break
-        mark = tuple(seen)
     else:
         raise RuntimeError("components did not settle")
     alone = nodes.select("a").unionByName(nodes.select(F.col("b").alias("a"))).distinct()
