@@ -14,7 +14,8 @@ fingerprints. Links become classes by star contractions in tables of the shared
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; with fewer words than
 a shingle the whole sequence is one; repeated rows and ties share a class; a null id belongs to its class
-but names one only if it has no other member; an empty table gives no rows; further columns are not read.
+but names one only if it has no other member; an empty table gives no rows; a text of any length is read whole, with about 100 bytes of
+memory for each of its words; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from helixplan.llm.common import slices
 from helixplan.plans.components import connected_components
 from helixplan.plans.runtime import Scratch
+from helixplan.plans.skew import dealt_join, hot_keys
 
 BITS = 64
 #: Crowded buckets and ids of rows that go, of under 20 bytes each, that may be broadcast.
@@ -84,10 +86,16 @@ def _differ(a, b):
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def _dealt(prints: DataFrame, rows: int = 20_000) -> DataFrame:
+    """A small table in enough parts that making 64 rows of each row is spread over the cluster."""
+    return prints.repartition(max(prints.sparkSession.sparkContext.defaultParallelism, -(-prints.count() // rows)), "fp")
+
+
 def links(prints: DataFrame, scratch: Scratch, distance: int = 2, bucket: int = 64) -> DataFrame:
     """Verified links ``(a, b)`` that tie together exactly what is within ``distance`` (2 at most) of each other, over chains of ``prints`` (distinct ``fp``)."""
     if not 0 <= distance <= 2:
         raise ValueError("two segments with one wildcard find fingerprints that differ in two bits at most")
+    prints = _dealt(prints)
     found = variants(prints).groupBy("place", "rest").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     counted = scratch.keep(found)
     twos = counted.where("n = 2").select("a", "b").where(_differ(F.col("a"), F.col("b")) <= distance).distinct()
@@ -135,11 +143,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     grouped = prints.join(classes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("__class", F.coalesce("component", "fp"))
     least = grouped.groupBy("__class").agg(F.min("__low").alias("component_id"))
     named = scratch.keep(grouped.select("fp", "__class").join(least, "__class").select(F.col("fp").alias("__fp"), "component_id"))
-    # A fingerprint may have a third of the rows; its name is dealt to as many salts as rows are spread over.
-    salts = 32
-    dealt = named.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(id_col, F.lit(3)), F.lit(salts)).cast("int"))
-    return salted.join(dealt, ["__fp", "__salt"]).select(id_col, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # A fingerprint may have a third of the rows; its rows are dealt by their ids.
+    hot = hot_keys(rows, "__fp", rows.count())
+    return dealt_join(rows, named, "__fp", hot, F.col(id_col)).select(id_col, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
