@@ -7,12 +7,13 @@ of one more pass: its documents in the order of a seeded hash, up to the point n
 
 The hash order is kept in ``2**bucket_bits`` ranges; sizes add up per (source, range), and only the one
 range in which a source's fraction ends is sorted, so a source with a third of all rows is never in one
-task, neither in the sums nor in the join that hands the decision back. The driver sees two numbers a round.
+task, neither in the sums nor in the join that hands the decision back. The driver sees four numbers a round, and each
+round's sources are a table.
 
 Edge cases: a null text has size 0; a null source is a source of its own and the last; a source without
 words has target 0 and takes nothing; repeated rows are documents of their own, and which of several with
-the same id and size takes the last place doesn't show; an empty table gives no rows; other columns are
-left alone.
+the same id and size takes the last place doesn't show; an empty table gives no rows; a text of any length is
+counted where it lies; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,14 +36,15 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float, scratch: Sc
     cap = F.col("source_size") * F.lit(float(max_epochs))
     state = scratch.keep(sources.withColumn("__full", F.lit(False)))
     while True:
-        free = state.agg(F.sum(F.when(~F.col("__full"), F.col("weight"))).alias("w"), F.sum(F.when(F.col("__full"), cap)).alias("c")).first()
+        free = state.agg(F.sum(F.when(~F.col("__full"), F.col("weight"))).alias("w"), F.sum(F.when(F.col("__full"), cap)).alias("c"), F.count_if("__full").alias("full")).first()
         rest, weights = budget - (free["c"] or 0.0), free["w"]
         if not weights:
             return state.withColumn("target", cap).drop("__full")
         share = F.lit(rest) * F.col("weight") / F.lit(float(weights))
-        grown = state.withColumn("__full", F.col("__full") | (share > cap))
-        if not grown.where("__full").count() > state.where("__full").count():
+        grown = scratch.keep(state.withColumn("__full", F.col("__full") | (share > cap)))
+        if grown.where("__full").count() == free["full"]:
             return state.withColumn("target", F.when(F.col("__full"), cap).otherwise(share)).drop("__full")
+        scratch.drop(state)
         state = grown
 
 
@@ -112,10 +114,12 @@ def mixed_documents(
     named = first.join(full.withColumnRenamed("__c", "__f"), F.col("__c").eqNullSafe(F.col("__f")), "left").join(last, F.col("__c").eqNullSafe(F.col("__e")), "left")
     decided = scratch.keep(named.select("__c", "__whole", F.coalesce("__full", F.lit(-1)).alias("__full"), F.coalesce("__end", F.lit("")).alias("__end")))
     few = decided.count() <= BROADCAST_SOURCES
-    at = docs.withColumn("__at", _order(id_col, seed)).withColumn("__b", F.shiftright(F.conv(F.substring("__at", 1, 6), 16, 10).cast("int"), 24 - bucket_bits))
-    met = at.join(F.broadcast(decided) if few else decided, F.col(source_col).eqNullSafe(F.col("__c")))
+    # The table's own columns are held in one, so that none of their names can clash with ours.
+    held = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), F.col(source_col).alias("__s"), _order(id_col, seed).alias("__at"))
+    at = held.withColumn("__b", F.shiftright(F.conv(F.substring("__at", 1, 6), 16, 10).cast("int"), 24 - bucket_bits))
+    met = at.join(F.broadcast(decided) if few else decided, F.col("__s").eqNullSafe(F.col("__c")))
     copies = F.col("__whole") + F.when((F.col("__b") <= F.col("__full")) | (F.col("__at") <= F.col("__end")), 1).otherwise(0)
-    return met.withColumn("__n", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[F.col(c) for c in docs.columns])
+    return met.withColumn("__n", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def cycle_weights(values: tuple[float, ...] = (3.0, 1.0, 2.0)) -> Column:

@@ -157,7 +157,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     scratch = Scratch(docs.sparkSession, "simhash-drop")
     classes = near_duplicates(docs, id_col, text_col, words, distance)
     gone = scratch.keep(classes.groupBy(F.col(id_col).alias("__k")).agg(F.max(F.col(id_col).eqNullSafe(F.col("component_id"))).alias("__stays")).where("not __stays").select("__k"))
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col(id_col).eqNullSafe(F.col("__k")), "left_anti")
+    # The table's own columns are held in one, so that none of their names can clash with ours.
+    held = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row"), F.col(id_col).alias("id"))
+    left = held.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, F.col("id").eqNullSafe(F.col("__k")), "left_anti")
+    return left.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

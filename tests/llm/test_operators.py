@@ -672,3 +672,47 @@ def test_language_learns_long_documents_and_every_language(spark):
     rows = [(i, f"wort{i} und mehr", "aa") for i in range(40)] + [(None, f"null {i}", "bb") for i in range(80)] + [(i, "ñandú " * 60, "cc") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert train(docs, per_lang=10, longest=100).langs == ["aa", "bb", "cc"]
+
+
+def test_own_names_of_a_table_survive(spark):
+    """Columns that bear the operators' inner names come through whole, and results don't change."""
+    from helixplan.llm import exact_dedup, mixing, near_copies, pieces, quality, simhash, toxicity
+
+    names = ["__k", "__at", "__b", "__n", "__s", "__text", "__score", "__digest", "__set", "__fp", "row", "id", "k", "text_", "c0", "c1", "n", "score", "y", "l", "w", "t", "salt"]
+    rows = [(i % 40, f"word{i % 30} " * (i % 7) + "some more of it", "en", f"s{i % 3}") + tuple(f"{n}{i}" for n in names) for i in range(80)] + [(None,) * (4 + len(names))] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    plain = docs.select("doc_id", "text", "lang", "source")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(40)], "doc_id bigint, toxic int")
+    drops = {
+        "exact": exact_dedup.drop_duplicates,
+        "mix": lambda d: mixing.mixed_documents(d, mixing.cycle_weights()),
+        "near": near_copies.drop_near_copies,
+        "simhash": simhash.drop_near_duplicates,
+        "toxic": lambda d: toxicity.drop_toxic(d, labels),
+    }
+    for name, drop in drops.items():
+        got, want = drop(docs), drop(plain)
+        assert got.columns == docs.columns, name
+        kept = got.collect()
+        assert sorted(map(repr, ((r.doc_id, r.text) for r in kept))) == sorted(map(repr, ((r.doc_id, r.text) for r in want.collect()))), name
+        assert all(r[n] is None and r.doc_id is None or r[n].startswith(n) for r in kept for n in names), name
+    for judge in (lambda d: quality.judge(d, quality.learn(d)), pieces.encode_documents, simhash.near_duplicates):
+        assert sorted(map(repr, judge(docs).collect())) == sorted(map(repr, judge(plain).collect()))
+
+
+def test_very_long_texts(spark):
+    """Texts of millions of characters are read whole by every operator of documents."""
+    from helixplan.llm import exact_dedup, mixing, near_copies, pieces, quality, simhash
+    from helixplan.llm.language import fit
+
+    long = " ".join(f"w{i % 5000}é" for i in range(400_000))
+    docs = spark.createDataFrame([(1, long, "en", "a"), (2, long + " end", "en", "a"), (3, "short text", "en", "a")], "doc_id bigint, text string, lang string, source string")
+    assert len(long) > 2_000_000
+    assert exact_dedup.exact_duplicates(docs).where("group_size = 1").count() == 3
+    assert {r.doc_id: r.size for r in mixing.mix(docs, mixing.cycle_weights()).collect()} == {1: 400_000, 2: 400_001, 3: 2}
+    assert {r.doc_id for r in near_copies.drop_near_copies(docs).collect()} == {1, 3}
+    assert {r.doc_id: r.n_words for r in quality.judge(docs, quality.learn(docs)).collect()} == {1: 400_000, 2: 400_001, 3: 2}
+    assert pieces.encode_documents(docs).where("lossless").count() == 3
+    assert len({r.component_id for r in simhash.near_duplicates(docs).collect()}) <= 2
+    model = fit([long[:3000], "xyz zyx " * 40] * 6, ["en", "xx"] * 6)
+    assert model.predict([long])[0] == ["en"]
