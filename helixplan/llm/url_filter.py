@@ -111,8 +111,8 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS at FROM pages),
-q AS (SELECT page_id, split_part(split_part(CASE WHEN at > 0 THEN substr(url, at + 3) ELSE '' END, '#', 1), '?', 1) AS rest FROM u),
+WITH u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS mark FROM pages),
+q AS (SELECT page_id, split_part(split_part(CASE WHEN mark > 0 THEN substr(url, mark + 3) ELSE '' END, '#', 1), '?', 1) AS rest FROM u),
 p AS (SELECT page_id, translate(split_part(rest, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         CASE WHEN contains(rest, '/') THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path FROM q),
 r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) v(h, p, verdict)),
