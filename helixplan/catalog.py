@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -10,17 +11,19 @@ from helixplan import oracles
 from helixplan.functions import seq as S
 from helixplan.operators import graph as G, kmers as K, resolve as R, sinks, stats, walk as W
 from helixplan.params import AssemblyParams
-from helixplan.plans.runtime import Scratch
+from helixplan.plans.runtime import Scratch, file_stamp
+from helixplan.sources import readers
 from helixplan.sources.adapters import document_pairs
 
 #: Long edges and many components at 21; many repeated k-mers at 11. The cutoff suits the test tables' low coverage.
 PARAMS = AssemblyParams(k=21, cutoff=5)
-SHORT_K, CONTIG_ABOVE, REACH = 11, 20, 60
+SHORT_K, CONTIG_ABOVE, REACH, TAKE_FIRST = 11, 20, 60, 100 << 32
 FLAGSHIP = "graph_nodes"
 
+T = TypeVar("T")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES = oracles.build(PARAMS.k, SHORT_K, PARAMS.cutoff, CONTIG_ABOVE)
+ORACLES = oracles.build(PARAMS.k, SHORT_K, PARAMS.cutoff, CONTIG_ABOVE, TAKE_FIRST)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +38,36 @@ def _solid(spark: SparkSession, sf_dir: str, k: int = PARAMS.k) -> DataFrame:
     return K.solid_kmers(K.count_kmers(_seqs(spark, sf_dir), k), PARAMS.min_count)
 
 
-def _graph(spark: SparkSession, sf_dir: str, scratch: Scratch) -> G.Graph:
-    return G.build_graph(_solid(spark, sf_dir), PARAMS.k, scratch)
+_SHARED: dict[tuple, tuple[Scratch, object]] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[Scratch], T]) -> T:
+    """What ``make`` builds out of the documents, as tables that later queries of the session read.
+
+    They are built anew for another input or session, and if they were cleared. An input counts as the same
+    while its folder, bytes, number of files and time of change are.
+    """
+    key = (id(spark), name, sf_dir, *file_stamp(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _SHARED or not _SHARED[key][0].exists():
+        scratch = Scratch(spark, name)
+        _SHARED[key] = scratch, make(scratch)
+    return _SHARED[key][1]
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> G.Graph:
+    return _once(spark, sf_dir, "graph", lambda scratch: G.build_graph(_solid(spark, sf_dir), PARAMS.k, scratch))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_pairs(_table(spark, sf_dir, "documents"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "components", lambda scratch: scratch.keep(G.components(_graph(spark, sf_dir), scratch)))
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> W.PairEvidence:
+    return _once(spark, sf_dir, "evidence", lambda scratch: W.pair_evidence(_pairs(spark, sf_dir), _graph(spark, sf_dir), PARAMS, scratch))
 
 
 def _register(f: Query) -> Query:
@@ -46,8 +77,15 @@ def _register(f: Query) -> Query:
 
 def _on_graph(f: Callable[[G.Graph, Scratch], DataFrame]) -> Callable[[G.Graph, Scratch], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        scratch = Scratch(spark, f.__name__)
-        return f(_graph(spark, sf_dir, scratch), scratch)
+        return f(_graph(spark, sf_dir), Scratch(spark, f.__name__))
+
+    QUERIES[f.__name__] = query
+    return f
+
+
+def _on_parts(f: Callable[[G.Graph, DataFrame], DataFrame]) -> Callable[[G.Graph, DataFrame], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(_graph(spark, sf_dir), _parts(spark, sf_dir))
 
     QUERIES[f.__name__] = query
     return f
@@ -55,8 +93,15 @@ def _on_graph(f: Callable[[G.Graph, Scratch], DataFrame]) -> Callable[[G.Graph,
 
 def _on_pairs(f: Callable[[G.Graph, DataFrame, Scratch], DataFrame]) -> Callable[[G.Graph, DataFrame, Scratch], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        scratch = Scratch(spark, f.__name__)
-        return f(_graph(spark, sf_dir, scratch), document_pairs(_table(spark, sf_dir, "documents")), scratch)
+        return f(_graph(spark, sf_dir), _pairs(spark, sf_dir), Scratch(spark, f.__name__))
+
+    QUERIES[f.__name__] = query
+    return f
+
+
+def _on_evidence(f: Callable[[G.Graph, W.PairEvidence, Scratch], DataFrame]) -> Callable[[G.Graph, W.PairEvidence, Scratch], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(_graph(spark, sf_dir), _evidence(spark, sf_dir), Scratch(spark, f.__name__))
 
     QUERIES[f.__name__] = query
     return f
@@ -89,7 +134,7 @@ def valid_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def mate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_pairs(_table(spark, sf_dir, "documents"))
+    return _pairs(spark, sf_dir)
 
 
 @_register
@@ -124,7 +169,7 @@ def kmer_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def conversion_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.conversion_counters(document_pairs(_table(spark, sf_dir, "documents")), PARAMS.k)
+    return K.conversion_counters(_pairs(spark, sf_dir), PARAMS.k)
 
 
 @_register
@@ -156,7 +201,7 @@ def kmer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def pair_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.packed_pairs(document_pairs(_table(spark, sf_dir, "documents"))).select("pair_id", F.hex("record").alias("record"))
+    return sinks.packed_pairs(_pairs(spark, sf_dir)).select("pair_id", F.hex("record").alias("record"))
 
 
 @_on_graph
@@ -215,38 +260,33 @@ def contig_stats(g: G.Graph, scratch: Scratch) -> DataFrame:
     return stats.contig_stats(stats.edge_lengths(g), CONTIG_ABOVE)
 
 
-@_on_graph
-def graph_components(g: G.Graph, scratch: Scratch) -> DataFrame:
-    return G.components(g, scratch)
-
+@_on_parts
+def graph_components(g: G.Graph, parts: DataFrame) -> DataFrame:
+    return parts
 
-def _sizes(g: G.Graph, scratch: Scratch) -> DataFrame:
-    return stats.component_sizes(g, G.components(g, scratch))
 
+@_on_parts
+def component_hist(g: G.Graph, parts: DataFrame) -> DataFrame:
+    return stats.component_histogram(stats.component_sizes(g, parts))
 
-@_on_graph
-def component_hist(g: G.Graph, scratch: Scratch) -> DataFrame:
-    return stats.component_histogram(_sizes(g, scratch))
 
-
-@_on_graph
-def component_len_hist(g: G.Graph, scratch: Scratch) -> DataFrame:
-    return stats.component_histogram(_sizes(g, scratch), ("total_len",))
+@_on_parts
+def component_len_hist(g: G.Graph, parts: DataFrame) -> DataFrame:
+    return stats.component_histogram(stats.component_sizes(g, parts), ("total_len",))
 
 
-@_on_graph
-def component_size_len_hist(g: G.Graph, scratch: Scratch) -> DataFrame:
-    return stats.component_histogram(_sizes(g, scratch), ("nodes", "total_len"))
+@_on_parts
+def component_size_len_hist(g: G.Graph, parts: DataFrame) -> DataFrame:
+    return stats.component_histogram(stats.component_sizes(g, parts), ("nodes", "total_len"))
 
 
-@_on_graph
-def largest_component(g: G.Graph, scratch: Scratch) -> DataFrame:
-    return stats.largest_component(_sizes(g, scratch))
+@_on_parts
+def largest_component(g: G.Graph, parts: DataFrame) -> DataFrame:
+    return stats.largest_component(stats.component_sizes(g, parts))
 
 
-@_on_graph
-def retained_edges(g: G.Graph, scratch: Scratch) -> DataFrame:
-    parts = scratch.keep(G.components(g, scratch))
+@_on_parts
+def retained_edges(g: G.Graph, parts: DataFrame) -> DataFrame:
     return G.retain(g, parts.join(stats.largest_component(stats.component_sizes(g, parts)), "component", "left_semi")).edges
 
 
@@ -278,29 +318,29 @@ def reach_min_dist(g: G.Graph, scratch: Scratch) -> DataFrame:
     return W.reach(g, branches, REACH, scratch)
 
 
-@_on_pairs
-def pair_support(g: G.Graph, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    return W.pair_evidence(pairs, g, PARAMS, scratch).support
+@_on_evidence
+def pair_support(g: G.Graph, evidence: W.PairEvidence, scratch: Scratch) -> DataFrame:
+    return evidence.support
 
 
-@_on_pairs
-def bad_pairs(g: G.Graph, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    return W.bad_pairs(W.pair_evidence(pairs, g, PARAMS, scratch))
+@_on_evidence
+def bad_pairs(g: G.Graph, evidence: W.PairEvidence, scratch: Scratch) -> DataFrame:
+    return W.bad_pairs(evidence)
 
 
-@_on_pairs
-def node_matrix(g: G.Graph, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    return sinks.matrix_lines(R.node_matrix(g, W.pair_evidence(pairs, g, PARAMS, scratch).support))
+@_on_evidence
+def node_matrix(g: G.Graph, evidence: W.PairEvidence, scratch: Scratch) -> DataFrame:
+    return sinks.matrix_lines(R.node_matrix(g, evidence.support))
 
 
-@_on_pairs
-def node_split(g: G.Graph, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    return R.split_ports(g, W.pair_evidence(pairs, g, PARAMS, scratch).support, PARAMS.cutoff, scratch)
+@_on_evidence
+def node_split(g: G.Graph, evidence: W.PairEvidence, scratch: Scratch) -> DataFrame:
+    return R.split_ports(g, evidence.support, PARAMS.cutoff, scratch)
 
 
-@_on_pairs
-def split_edges(g: G.Graph, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    return R.split_nodes(g, W.pair_evidence(pairs, g, PARAMS, scratch).support, PARAMS.cutoff, scratch).edges
+@_on_evidence
+def split_edges(g: G.Graph, evidence: W.PairEvidence, scratch: Scratch) -> DataFrame:
+    return R.split_nodes(g, evidence.support, PARAMS.cutoff, scratch).edges
 
 
 @_on_pairs
@@ -314,9 +354,10 @@ def bubbles(g: G.Graph, scratch: Scratch) -> DataFrame:
 
 
 @_register
-def genome_missing_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    genome = S.sequences(_table(spark, sf_dir, "benchmark"), "item_id").select(F.col("seq").alias("value"))
-    return G.missing_kmers(_graph(spark, sf_dir, Scratch(spark, "missing")), genome)
+def reference_missing_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines are those of a FASTA text: a header and the sequence."""
+    lines = S.sequences(_table(spark, sf_dir, "benchmark"), "item_id").select(F.explode(F.array(F.concat_ws("", F.lit(">"), F.col("seq_id").cast("string")), F.col("seq"))).alias("value"))
+    return G.missing_kmers(_graph(spark, sf_dir), lines)
 
 
 @_on_graph
@@ -339,3 +380,109 @@ def graph_neighbours(g: G.Graph, scratch: Scratch) -> DataFrame:
 @_on_graph
 def invariants(g: G.Graph, scratch: Scratch) -> DataFrame:
     return G.broken_edges(g)
+
+
+def _read_records(spark: SparkSession, sf_dir: str, scratch: Scratch) -> DataFrame:
+    """Documents with 72 bases or more as four-line records, written as text files and read back.
+
+    After each G a T is written as N; A and G have quality 40, C 20 and T 2. Every third document's quality stops at 50.
+    """
+    seqs = _seqs(spark, sf_dir).where("seq_id is not null and length(seq) >= 72")
+    bases, quality = F.left("seq", F.lit(72)), F.translate(F.left("seq", F.lit(72)), "ACGT", "I5I#")
+    short = F.when(F.col("seq_id") % 3 == 0, F.left(quality, F.lit(50))).otherwise(quality)
+    path = scratch.folder()
+    seqs.select(F.concat(F.lit("@"), F.col("seq_id").cast("string"), F.lit("\n"), F.replace(bases, F.lit("GT"), F.lit("GN")), F.lit("\n+\n"), short).alias("value")).write.text(path)
+    return readers.read_fastq(spark, path, scratch)
+
+
+@_register
+def fastq_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read_records(spark, sf_dir, Scratch(spark, "fastq")).select("header", "bases", "qual")
+
+
+@_register
+def fastq_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both mates of each record, cut at 36, trimmed by quality after 10 bases, up to the first N."""
+    records = _read_records(spark, sf_dir, Scratch(spark, "fastq-mates"))
+    return readers.mates(records, 36, quality_from=10).join(records.select("pair_id", "header"), "pair_id").select("header", "mate1", "mate2")
+
+
+@_register
+def packed_pairs_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pairs of a document as one content, unpacked again; ``place`` counts them."""
+    packed = sinks.packed_pairs(_pairs(spark, sf_dir)).select(F.shiftright("pair_id", 32).cast("string").alias("path"), F.struct("pair_id", F.hex("record").alias("r")).alias("e"))
+    files = packed.groupBy("path").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["r"]), "")).alias("content"))
+    rows = readers.unpack_pairs(files, Scratch(spark, "packed"))
+    return rows.select("path", F.expr(f"pair_id & {(1 << readers.FILE_BITS) - 1}").alias("place"), "mate1", "mate2")
+
+
+@_register
+def pair_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "meta").folder()
+    sinks.write_pairs(_pairs(spark, sf_dir), path)
+    pairs, meta = readers.read_pairs(spark, path)
+    return meta.crossJoin(pairs.agg(F.min("pair_id").alias("first_id"), F.max("pair_id").alias("last_id"))).withColumnsRenamed({"count": "pairs", "insert": "insert_len"})  # one row each
+
+
+@_register
+def fasta_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of the benchmark, a file each, with a header and lines of 60."""
+    path = Scratch(spark, "fasta").folder()
+    seqs = S.sequences(_table(spark, sf_dir, "benchmark"), "item_id")
+    seqs.select("seq_id", F.concat(F.lit(">item\n"), F.regexp_replace("seq", "(.{60})", "$1\n")).alias("value")).write.partitionBy("seq_id").text(path)
+    return readers.read_fasta(spark, path).select("seq")
+
+
+@_on_graph
+def fasta_lines_read(g: G.Graph, scratch: Scratch) -> DataFrame:
+    path = scratch.folder()
+    sinks.write_fasta(sinks.fasta(sinks.contigs(g, scratch)), path)
+    return readers.read_fasta_lines(g.edges.sparkSession, path)
+
+
+@_on_graph
+def graph_read(g: G.Graph, scratch: Scratch) -> DataFrame:
+    path = scratch.folder()
+    sinks.write_graph(g, path)
+    return G.edge_ends(readers.read_graph(g.edges.sparkSession, path, g.k))
+
+
+@_on_graph
+def histogram_read(g: G.Graph, scratch: Scratch) -> DataFrame:
+    """The edge lengths' histogram as text, parsed again. One line, with an entry per length."""
+    entry = F.concat_ws(" -> ", F.col("len").cast("string"), F.col("cnt").cast("string"))
+    line = stats.length_histogram(stats.edge_lengths(g)).agg(F.concat(F.lit("Map("), F.array_join(F.collect_list(entry), ", "), F.lit(")")).alias("value"))
+    path = scratch.folder()
+    line.write.text(path)
+    return readers.parse_histogram(g.edges.sparkSession.read.text(path))
+
+
+@_on_pairs
+def first_pair_positions(g: G.Graph, pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Positions of the pairs below an id, the feature of ``take_first``."""
+    flat = [F.col(f"pos{i}.{c}").alias(f"{c}{i}") for i in (1, 2) for c in ("kind", "id", "dist")]
+    return W.pair_positions(pairs, g, PARAMS.but(take_first=TAKE_FIRST)).select("pair_id", "orient", *flat)
+
+
+def _edited(g: G.Graph) -> G.Graph:
+    """A node with a loop more; edges of one base end there; nodes without out-edges go."""
+    more = G.with_edge(G.with_node(g, "extra", "A" * g.k), "extra", "extra", "ACGT")
+    moved = G.replace_ends(more, g.edges.where(F.length("seq") == 1).select("edge_id", F.lit(None).cast("string").alias("new_src"), F.lit("extra").alias("new_dst")))
+    return G.without_nodes(moved, G.node_degrees(moved).where("out_deg = 0").select("node_id"))
+
+
+@_on_graph
+def edited_edges(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return _edited(g).edges
+
+
+@_on_graph
+def edited_nodes(g: G.Graph, scratch: Scratch) -> DataFrame:
+    return _edited(g).nodes
+
+
+@_register
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    S.register_sql(spark)
+    text = "SELECT s.seq_id, w.pos, w.kmer, revcomp(w.kmer) AS back, canonical_kmer(w.kmer) AS least, valid_prefix(concat(w.kmer, 'N', w.kmer)) AS prefix FROM {seqs} s, LATERAL kmers(s.seq, {k}) w"
+    return spark.sql(text, seqs=_seqs(spark, sf_dir), k=PARAMS.k)

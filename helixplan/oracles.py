@@ -89,11 +89,22 @@ bound(a, b) AS (SELECT a, a FROM both_ways UNION SELECT m.a, w.b FROM bound m JO
 parts AS (SELECT a AS port, min(b) AS least FROM bound GROUP BY 1)"""
 
 
+def _records() -> str:
+    return f"""{_seqs()}, cut AS (SELECT seq_id, left(seq, 72) AS s FROM seqs WHERE seq_id IS NOT NULL AND length(seq) >= 72),
+records AS (SELECT '@' || seq_id AS header, replace(s, 'GT', 'GN') AS bases, left(translate(s, 'ACGT', 'I5I#'), CASE WHEN seq_id % 3 = 0 THEN 50 ELSE 72 END) AS qual FROM cut)"""
+
+
+def _mate(bases: str, qual: str, after: int = 10) -> str:
+    """Bases up to the quality's end, to the first # after the first ten, and to the first N."""
+    kept = f"CASE WHEN contains(substr({qual}, {after + 1}), '#') THEN {after} + strpos(substr({qual}, {after + 1}), '#') - 1 ELSE length({qual}) END"
+    return f"split_part(left({bases}, {kept}), 'N', 1)"
+
+
 def _sql(head: str, tail: str) -> str:
     return f"WITH RECURSIVE {head}\n{tail}"
 
 
-def build(k: int, short_k: int, cutoff: int, contig_above: int) -> dict[str, str]:
+def build(k: int, short_k: int, cutoff: int, contig_above: int, take_first: int) -> dict[str, str]:
     rc = RC.format
     code = "(strpos('AGCT', substr({0}, i + {1}, 1)) - 1) * {2}".format
     record = lambda m: f"printf('%02X', length({m})) || list_aggregate(list_transform(range(1, length({m}) + 1, 4), lambda i: printf('%02X', {' + '.join(f'CASE WHEN i + {j} <= length({m}) THEN {code(m, j, 4**j)} ELSE 0 END' for j in range(4))})), 'string_agg', '')"
@@ -119,7 +130,7 @@ def build(k: int, short_k: int, cutoff: int, contig_above: int) -> dict[str, str
         "kmer_oriented": _sql(_solid(k), "SELECT kmer FROM oriented"),
         "kmer_successors": _sql(_solid(k), f"SELECT a.kmer, b.kmer AS next FROM oriented a JOIN oriented b ON right(a.kmer, {k - 1}) = left(b.kmer, {k - 1})"),
         "kmer_lookup": _sql(
-            f"{_solid(k)}, genome AS (SELECT upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS g FROM benchmark), asked AS (SELECT DISTINCT unnest(list_transform(range(1, length(g) - {k} + 2), lambda i: substr(g, i, {k}))) AS kmer FROM genome WHERE length(g) >= {k})",
+            f"{_solid(k)}, target AS (SELECT upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS g FROM benchmark), asked AS (SELECT DISTINCT unnest(list_transform(range(1, length(g) - {k} + 2), lambda i: substr(g, i, {k}))) AS kmer FROM target WHERE length(g) >= {k})",
             f"SELECT a.kmer, s.cnt FROM asked a LEFT JOIN solid s ON s.kmer = least(a.kmer, {rc('a.kmer')})",
         ),
         "pair_records": _sql(
@@ -185,9 +196,9 @@ chain(edge_id, src, dst, seq) AS (SELECT edge_id, src, dst, seq FROM cut WHERE s
             f"{_edges(k)}, par AS (SELECT src, dst, list(edge_id ORDER BY strpos('AGCT', left(seq, 1))) AS id, list(length(seq) ORDER BY strpos('AGCT', left(seq, 1))) AS l FROM edges GROUP BY 1, 2 HAVING count(*) > 1), two AS (SELECT *, {like('l[1]', 'l[2]')} AS d2 FROM par), three AS (SELECT *, {like('l[1]', 'l[3]')} OR (NOT d2 AND {like('l[2]', 'l[3]')}) AS d3 FROM two), four AS (SELECT *, {like('l[1]', 'l[4]')} OR (NOT d2 AND {like('l[2]', 'l[4]')}) OR (NOT d3 AND {like('l[3]', 'l[4]')}) AS d4 FROM three)",
             "SELECT id[2] AS edge_id FROM four WHERE d2 UNION ALL SELECT id[3] FROM four WHERE d3 UNION ALL SELECT id[4] FROM four WHERE d4",
         ),
-        "genome_missing_kmers": _sql(
-            f"{_positions(k)}, genome AS (SELECT upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS g FROM benchmark)",
-            f"SELECT DISTINCT kmer FROM (SELECT unnest(list_transform(range(1, length(g) - {k} + 2), lambda i: substr(g, i, {k}))) AS kmer FROM genome WHERE length(g) >= {k}) WHERE kmer NOT IN (SELECT kmer FROM positions)",
+        "reference_missing_kmers": _sql(
+            f"{_positions(k)}, target AS (SELECT upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS g FROM benchmark)",
+            f"SELECT DISTINCT kmer FROM (SELECT unnest(list_transform(range(1, length(g) - {k} + 2), lambda i: substr(g, i, {k}))) AS kmer FROM target WHERE length(g) >= {k}) WHERE kmer NOT IN (SELECT kmer FROM positions)",
         ),
         "dot_lines": _sql(_edges(k), f"""SELECT '"' || src || '" -> "' || dst || '" [label="' || {label} || '"]' AS line FROM edges"""),
         "fasta_lines": _sql(_edges(k), "SELECT n, '>contig' || n AS header, seq FROM (SELECT row_number() OVER (ORDER BY length(seq) DESC, seq, edge_id) AS n, seq FROM edges)"),
@@ -196,5 +207,26 @@ chain(edge_id, src, dst, seq) AS (SELECT edge_id, src, dst, seq FROM cut WHERE s
 hops(n, hop) AS (SELECT r, 0 FROM root UNION SELECT b, hop + 1 FROM hops JOIN near ON a = n WHERE hop < 20), best AS (SELECT n, min(hop) AS hop FROM hops GROUP BY 1)""",
             "SELECT n AS node_id, hop::INT AS hop FROM best ORDER BY hop, n LIMIT 20",
         ),
+        "fastq_records": _sql(_records(), "SELECT header, bases, qual FROM records"),
+        "fastq_mates": _sql(
+            f"""{_records()}, halves AS (SELECT header, left(bases, 36) AS b1, left(qual, 36) AS q1, substr(bases, 37) AS b2, substr(qual, 37) AS q2 FROM records)""",
+            f"SELECT header, {_mate('b1', 'q1')} AS mate1, {_mate('b2', 'q2')} AS mate2 FROM halves",
+        ),
+        "packed_pairs_read": _sql(f"{_seqs()}, {_pairs()}", "SELECT (pair_id // 4294967296)::BIGINT::VARCHAR AS path, row_number() OVER (PARTITION BY pair_id // 4294967296 ORDER BY pair_id) - 1 AS place, mate1, mate2 FROM pairs"),
+        "pair_meta": _sql(f"{_seqs()}, {_pairs()}", "SELECT count(*) AS pairs, 200 AS insert_len, min(pair_id) AS first_id, max(pair_id) AS last_id FROM pairs"),
+        "fasta_read": "SELECT upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark",
+        "fasta_lines_read": _sql(_edges(k), "SELECT seq AS value FROM edges"),
+        "graph_read": _sql(
+            f"{_edges(k)}, outs2 AS (SELECT src, count(*) AS n FROM edges GROUP BY 1), ins2 AS (SELECT dst, count(*) AS n FROM edges GROUP BY 1)",
+            "SELECT edge_id, src AS src_kmer, o.n AS src_out, dst AS dst_kmer, i.n AS dst_in FROM edges JOIN outs2 o USING (src) JOIN ins2 i USING (dst)",
+        ),
+        "histogram_read": _sql(f"{_edges(k)}, {hist}", "SELECT len, cnt FROM hist"),
+        "first_pair_positions": _sql(_placed(k), f"SELECT pair_id, orient, kind1, id1, dist1, kind2, id2, dist2 FROM placed WHERE pair_id < {take_first}"),
+        "edited_edges": _sql(_edges(k), "SELECT edge_id, src, CASE WHEN length(seq) = 1 THEN 'extra' ELSE dst END AS dst, seq FROM edges UNION ALL SELECT 'extra:A', 'extra', 'extra', 'ACGT'"),
+        "edited_nodes": _sql(_edges(k), f"SELECT kmer AS node_id, kmer FROM nodes WHERE kmer IN (SELECT src FROM edges) UNION ALL SELECT 'extra', repeat('A', {k})"),
+        "sql_functions": _sql(
+            f"{_seqs()}, cut AS (SELECT seq_id, i::INT AS pos, substr(seq, i + 1, {k}) AS kmer FROM (SELECT seq_id, seq, unnest(range(0, length(seq) - {k} + 1)) AS i FROM seqs WHERE length(seq) >= {k}))",
+            f"SELECT seq_id, pos, kmer, {rc('kmer')} AS back, least(kmer, {rc('kmer')}) AS least, kmer AS prefix FROM cut",
+        ),
         "invariants": "SELECT NULL::VARCHAR AS edge_id, NULL::VARCHAR AS fault WHERE false",
     }

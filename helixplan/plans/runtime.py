@@ -71,6 +71,15 @@ class Scratch:
         self.paths.clear()
         _delete(self.spark, self.base)
 
+    def folder(self) -> str:
+        """A new folder for files of any format; it goes with the tables."""
+        self.count += 1
+        return f"{self.base}/{self.count}"
+
+    def exists(self) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+
     def drop(self, *tables: DataFrame | None) -> None:
         for table in tables:
             path = self.paths.pop(id(table), None) if table is not None else None
@@ -83,6 +92,14 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def file_stamp(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Bytes, files and time of change of a file or folder, as its file system tells them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = files.getContentSummary(where)
+    return size.getLength(), size.getFileCount(), files.getFileStatus(where).getModificationTime()
+
+
 def sweep(spark: SparkSession) -> None:
     """Deletes all intermediate tables under the session's shared folder; call it when no result is still to be read."""
     _delete(spark, f"{shared_dir(spark)}/helixplan")

@@ -6,28 +6,57 @@ All of them go through Spark's readers, so any file system that Spark knows will
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from helixplan.functions import seq as S
 from helixplan.operators.graph import Graph
 from helixplan.plans.iterate import numbered
 from helixplan.plans.runtime import Scratch
 
+#: Rows of files or splits that may be broadcast, and the bits of a pair's id below the number of its file.
+BROADCAST_ROWS = 100_000
+FILE_BITS = 40
+
 
 def numbered_lines(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
-    """``line_no`` (from 0) and ``value`` of one text file. Splits are read in parallel; byte offsets give the order."""
-    lines = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.TextInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.Text")
-    rows = spark.createDataFrame(lines, "at bigint, value string")
-    return numbered(rows, [F.col("at")], scratch, "n").select((F.col("n") - 1).alias("line_no"), "value")
+    """``file_no, line_no, value`` of text files (a file, a folder or a pattern); files count from 0 by path, their lines from 0.
+
+    Lines are numbered inside each split as it is read, and a split's first number follows from the sizes of
+    those before it, so splits of any number of files are read in parallel and no line passes through Python.
+    """
+    at = "_metadata.file_path as path", "_metadata.file_block_start as block", "monotonically_increasing_id() as at", "value"
+    lines = scratch.keep(spark.read.text(path).selectExpr(*at))
+    splits = lines.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = _numbered_files(splits.select("path").distinct(), scratch)
+    starts = scratch.keep(splits.select("path", "block", (before - F.col("first")).alias("shift")).join(files, "path"))
+    return lines.join(_small(starts), ["path", "block"]).select("file_no", (F.col("at") + F.col("shift")).alias("line_no"), "value")
+
+
+def _numbered_files(paths: DataFrame, scratch: Scratch) -> DataFrame:
+    """``path, file_no``: files from 0 in the order of their paths."""
+    return numbered(paths, [F.col("path")], scratch).select("path", (F.col("n") - 1).alias("file_no"))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """One row per file or split: broadcast up to ``BROADCAST_ROWS`` of them (counted), shuffled beyond."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def _pair_id(at: str) -> Column:
+    """Number of a record in its file, made unique over files."""
+    return F.shiftleft("file_no", FILE_BITS) + F.col(at)
 
 
 def read_fastq(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
-    """``pair_id, header, bases, qual`` of four-line records; a record without its line of bases is dropped."""
-    lines = numbered_lines(spark, path, scratch).withColumn("pair_id", F.floor(F.col("line_no") / 4)).withColumn("part", F.col("line_no") % 4)
+    """``pair_id, header, bases, qual`` of the four-line records of one or more files; a record without its line of bases is dropped."""
+    lines = numbered_lines(spark, path, scratch).withColumn("record", F.floor(F.col("line_no") / 4)).withColumn("part", F.col("line_no") % 4)
     pick = lambda k: F.max(F.when(F.col("part") == k, F.col("value")))
-    return lines.groupBy("pair_id").agg(pick(0).alias("header"), pick(1).alias("bases"), F.coalesce(pick(3), F.lit("")).alias("qual")).where("bases is not null")
+    records = lines.groupBy("file_no", "record").agg(pick(0).alias("header"), pick(1).alias("bases"), F.coalesce(pick(3), F.lit("")).alias("qual")).where("bases is not null")
+    return records.select(_pair_id("record").alias("pair_id"), "header", "bases", "qual")
 
 
 def mates(records: DataFrame, read_len: int = 36, quality_from: int | None = None) -> DataFrame:
@@ -41,7 +70,7 @@ def mates(records: DataFrame, read_len: int = 36, quality_from: int | None = Non
     return records.select("pair_id", S.valid_prefix(b1, q1).alias("mate1"), S.valid_prefix(b2, q2).alias("mate2"))
 
 
-def _unpack_pairs(data: bytes) -> Iterator[tuple[int, str, str]]:
+def _unpacked(data: bytes) -> Iterator[tuple[int, str, str]]:
     four = ["".join(S.BASES[b >> 2 * i & 3] for i in range(4)) for b in range(256)]
     at, pair = 0, 0
     while at < len(data):
@@ -55,19 +84,30 @@ def _unpack_pairs(data: bytes) -> Iterator[tuple[int, str, str]]:
         pair += 1
 
 
-def read_packed_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """``path, pair_id, mate1, mate2`` of packed files: per mate a length byte and two bits a base. A file is read by one task."""
+def unpack_pairs(files: DataFrame, scratch: Scratch) -> DataFrame:
+    """``path, pair_id, mate1, mate2`` of packed ``(path, content)``: per mate a length byte and two bits a base.
+
+    Ids are unique over files. The format has no marks to start from inside a file, so a file is read by one
+    task, 50,000 pairs at a time, and holds 2 GB at most; write large sets as many files.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, data in zip(batch["path"], batch["content"]):
-                rows = list(_unpack_pairs(bytes(data)))
-                for at in range(0, len(rows), 50_000):
-                    part = pd.DataFrame(rows[at : at + 50_000], columns=["pair_id", "mate1", "mate2"])
-                    part.insert(0, "path", name)
-                    yield part
+                rows = _unpacked(bytes(data))
+                while part := list(islice(rows, 50_000)):
+                    out = pd.DataFrame(part, columns=["record", "mate1", "mate2"])
+                    out.insert(0, "path", name)
+                    yield out
+
+    names = scratch.keep(_numbered_files(files.select("path").distinct(), scratch))
+    rows = files.select("path", "content").mapInPandas(run, "path string, record bigint, mate1 string, mate2 string")
+    return rows.join(_small(names), "path").select("path", _pair_id("record").alias("pair_id"), "mate1", "mate2")
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, pair_id bigint, mate1 string, mate2 string")
+def read_packed_pairs(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
+    """``unpack_pairs`` of the files at ``path``."""
+    return unpack_pairs(spark.read.format("binaryFile").load(path), scratch)
 
 
 def read_pairs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -230,12 +230,12 @@ def test_walk_against_search(spark, scratch):
         assert {n: d for (t, n), d in near.items() if t == goal} == dist
 
 
-def test_simulated_genome(spark, scratch, tmp_path):
+def test_simulated_target(spark, scratch, tmp_path):
     rng = random.Random(11)
-    genome = "".join(rng.choice("ACGT") for _ in range(700))
+    target = "".join(rng.choice("ACGT") for _ in range(700))
     k, pairs = 15, []
     for i in range(0, 700 - 120 + 1):
-        f = genome[i : i + 120]
+        f = target[i : i + 120]
         pairs.append((i, f[:36], rc(f[-36:])))
     table = spark.createDataFrame(pairs, "pair_id bigint, mate1 string, mate2 string")
     both = table.select("mate1").union(table.select("mate2")).withColumnRenamed("mate1", "seq")
@@ -243,9 +243,9 @@ def test_simulated_genome(spark, scratch, tmp_path):
     p = AssemblyParams(k=k, low=80, high=130, cutoff=2)
     done = R.resolve(table, g, p, scratch)
     contigs = sinks.contigs(done, scratch, with_prefix=True).collect()
-    assert len(contigs) == 2 and all(c.seq in genome or c.seq in rc(genome) for c in contigs) and contigs[0].len > 680
+    assert len(contigs) == 2 and all(c.seq in target or c.seq in rc(target) for c in contigs) and contigs[0].len > 680
     assert sinks.contigs(done, scratch, canonical_only=True).count() == 1
-    lines = spark.createDataFrame([(">head",), (genome[4:-4],), ("ACN",)], "value string")
+    lines = spark.createDataFrame([(">head",), (target[4:-4],), ("ACN",)], "value string")
     assert G.missing_kmers(done, lines).isEmpty()
     sinks.write_fasta(sinks.fasta(sinks.contigs(done, scratch)), f"{tmp_path}/fa")
     text = [r.value for r in spark.read.text(f"{tmp_path}/fa").collect()]
@@ -276,25 +276,30 @@ def test_statistics(spark):
 
 def test_fastq_over_splits(spark, scratch, tmp_path):
     records = [(f"@r{i}", "ACGT" * 2 + "AC" * 2, "I" * (3 if i == 5 else 12)) for i in range(300)]
-    path = tmp_path / "reads.fq"
-    path.write_text("".join(f"{h}\n{b}\n+\n{q}\n" for h, b, q in records) + "@cut")
-    spark.sparkContext._jsc.hadoopConfiguration().set("mapreduce.input.fileinputformat.split.maxsize", "700")
+    for name, part, end in (("a.fq", records[:200], ""), ("b.fq", records[200:], "@cut")):
+        (tmp_path / name).write_text("".join(f"{h}\n{b}\n+\n{q}\n" for h, b, q in part) + end)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
     try:
-        rows = readers.read_fastq(spark, str(path), scratch)
+        rows = readers.read_fastq(spark, f"{tmp_path}/*.fq", scratch)
         got = rows.orderBy("pair_id").collect()
         mates = readers.mates(rows, 8).orderBy("pair_id").collect()
     finally:
-        spark.sparkContext._jsc.hadoopConfiguration().unset("mapreduce.input.fileinputformat.split.maxsize")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert len({r.pair_id for r in got}) == 300 and got[200].pair_id == 1 << 40
     assert [(r.header, r.bases, r.qual) for r in got] == records
     assert mates[0][:] == (0, "ACGTACGT", "ACAC") and mates[5][:] == (5, "ACG", "")
 
 
-def test_pairs_packed_and_parquet(spark, tmp_path):
+def test_pairs_packed_and_parquet(spark, scratch, tmp_path):
     pairs = spark.createDataFrame([(0, "ACGTA", ""), (1, "T", "GGCC")], "pair_id bigint, mate1 string, mate2 string")
     packed = b"".join(bytes(r.record) for r in sinks.packed_pairs(pairs).orderBy("pair_id").collect())
     (tmp_path / "p.bin").write_bytes(packed)
-    got = readers.read_packed_pairs(spark, f"{tmp_path}/p.bin").drop("path")
+    got = readers.read_packed_pairs(spark, f"{tmp_path}/p.bin", scratch).drop("path")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect()))
+    (tmp_path / "q.bin").write_bytes(packed)
+    two = readers.read_packed_pairs(spark, f"{tmp_path}/*.bin", scratch)
+    assert two.count() == two.select("pair_id").distinct().count() == 4
     sinks.write_pairs(pairs, f"{tmp_path}/out", insert=250)
     again, meta = readers.read_pairs(spark, f"{tmp_path}/out")
     assert again.count() == 2 and meta.first()[:] == (2, 250)

@@ -9,7 +9,6 @@ import pytest
 import __spark_entry__ as entry_points
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"node_matrix", "split_edges", "node_split", "bad_pairs", "component_len_hist", "component_hist"}
 ORACLES = entry_points.oracle_sql()
 
 
@@ -18,7 +17,7 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
