@@ -4,19 +4,21 @@ Two bigram models, one of toxic and one of ordinary texts. Both orders count dis
 Kneser-Ney does below the top: a bigram counts the different words before it, a word the different words
 before it. (With occurrences on top, a passage that is copied many times would tell most; its contexts are
 the same in every copy and count once.) An absolute discount, n1 / (n1 + 2 n2) of the order's counts of
-counts, is taken from every count, and all of a count of one. A bigram backs off to its class's words, and
-these to shared backoff counts: the share that a word has in both classes, with a floor of ``floor`` discounts.
-The shared counts weigh ``weight`` times a class's own, so a rare expression, which one class has by chance,
-says next to nothing, and words that both classes use cancel out; an expression with many contexts in one
-class alone stands out. Weight and floor are those of a short list that predict held-back labels best.
+counts, is taken from every count, and all of a count of one. What is taken, with ``weight`` times the whole,
+goes to shared backoff counts: the share that a bigram or word has in both classes, with a floor of ``floor``
+discounts, as much more or less as what it backs off to is likelier in the class. A bigram backs off to its last
+word, a word to its beginnings of ``STEMS`` characters, whose counts are those of all words that begin so: a rare
+or unseen form of an insult is judged as its beginning is. Because of the weight, a rare expression, which one
+class has by chance, says next to nothing, and words that both classes use cancel out; an expression with many
+contexts in one class alone stands out. Weight and floor are those of a short list that predict held-back labels best.
 
 A text's evidence is the difference of its two log-likelihoods, divided by its number of words; a logistic
 curve, fitted on the held-back labels, turns it into a score.
 
 The models are fitted on a bounded, documented sample: of each class up to ``per_class`` labelled documents,
 those with the least keyed hash of their id, of up to ``longest`` characters each. It is counted in the
-cluster; the driver gets words with two contexts or more, bigrams with three or more, and one row for each
-held-back text. Scoring reads every whole text, a slice of rows at a time.
+cluster; the driver gets words with two contexts or more, bigrams with three or more, beginnings with eight or
+more, and one row for each held-back text. Scoring reads every whole text, a slice of rows at a time.
 
 Edge cases: null and empty texts and texts without a letter or digit get the share of toxic labels as score;
 a null label counts as none, of several labels of a document the largest counts; a document without id has
@@ -27,10 +29,11 @@ toxic ones (0 without labels); further columns are not read, whatever their name
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +43,12 @@ from helixplan.llm.common import fold, slices
 from helixplan.plans.runtime import Scratch
 
 WORDS = re.compile(r"\w+")
-#: Contexts that a word and a bigram have at least if they are to be more than their backoff.
-LEAST_WORD, LEAST_PAIR = 2, 3
+#: Contexts that a word, a bigram and a beginning of words have at least if they are to be more than their backoff.
+LEAST_WORD, LEAST_PAIR, LEAST_STEM = 2, 3, 8
+#: Lengths of the beginnings that longer words back off to, ascending.
+STEMS = (5, 7)
 #: Weights of the shared counts and their floors that the held-back labels choose from.
-WEIGHTS, FLOORS = (30.0, 100.0, 300.0), (0.1, 0.03, 0.01)
+WEIGHTS, FLOORS = (100.0, 300.0, 1000.0), (1.0, 0.3, 0.1)
 
 
 def _hash(word: str) -> int:
@@ -53,15 +58,53 @@ def _hash(word: str) -> int:
     return ((xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 3) >> 1) | 1) - (1 << 62)
 
 
+class Vocabulary:
+    """Places of words, from 1, and of beginnings behind them; 0 is every other word."""
+
+    def __init__(self, words: list[str], stems: list[str]):
+        self.words, self.stems = words, stems
+        self.place: dict[str, int] = {}
+        self.stem_place: dict[str, int] = {}
+
+    def __getstate__(self) -> tuple[list[str], list[str]]:
+        return self.words, self.stems
+
+    def __setstate__(self, state: tuple[list[str], list[str]]) -> None:
+        self.__init__(*state)
+
+    def prepare(self) -> Vocabulary:
+        if not self.place:
+            self.place.update((w, i + 1) for i, w in enumerate(self.words))
+            self.stem_place.update((s, i + 1 + len(self.words)) for i, s in enumerate(self.stems))
+        return self
+
+    def begins(self, word: str) -> int:
+        """Place of the longest known beginning of a word."""
+        for k in reversed(STEMS):
+            if len(word) > k:
+                place = self.stem_place.get(word[:k])
+                if place is not None:
+                    return place
+        return 0
+
+    def places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all words of the texts, and the number of words of each."""
+        self.prepare()
+        get, begins = self.place.get, self.begins
+        found = [[get(w) or begins(w) for w in WORDS.findall(t.lower())] if t else [] for t in texts]
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(size.sum())), size
+
+
 @dataclass
 class Counts:
     """What is known of the two classes (0 ordinary, 1 toxic).
 
-    ``contexts``: of each word, in each class; ``pairs``: places of left and right word, from 1, and contexts;
-    ``after``: contexts of all bigrams that begin with a word; ``totals`` and ``discounts`` by order and class.
+    ``contexts``: of each word, then of each beginning, in each class; ``pairs``: places of left and right word and
+    contexts; ``after``: contexts of all bigrams that begin with a word; ``totals`` and ``discounts`` by order and class.
     """
 
-    words: list[str]
+    vocabulary: Vocabulary
     contexts: np.ndarray
     pairs: np.ndarray
     pair_contexts: np.ndarray
@@ -75,32 +118,45 @@ def _excess(counts: np.ndarray, discount: float) -> np.ndarray:
     return np.where(counts > 1, counts - discount, 0.0)
 
 
+def _levels(v: Vocabulary) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The place that each place backs off to, and the places of each length of beginnings, then of words."""
+    v.prepare()
+    above = np.array([0, *map(v.begins, v.words), *map(v.begins, v.stems)], dtype=np.int64)
+    first = len(v.words) + 1
+    sizes = np.fromiter(map(len, v.stems), dtype=np.int64, count=len(v.stems))
+    return above, [*(first + np.flatnonzero(sizes == k) for k in STEMS), np.arange(first)]
+
+
 def ratios(c: Counts, weight: float, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log ratios toxic against ordinary: of each place's word, of backing off from it, and of each pair. Place 0 is every other word."""
-    n = len(c.words) + 1
-    shared = np.zeros(n)
-    shared[1:] = np.minimum(*(c.contexts[k] / max(c.totals[k], 1) for k in (0, 1)))
-    shared += floor * c.word_discount.max() / max(c.totals.min(), 1)
+    """Log ratios toxic against ordinary: of each place's word (of an unseen word at a beginning's place), of backing off from it, and of each pair."""
+    above, levels = _levels(c.vocabulary)
+    n, stems = len(above), len(c.vocabulary.words) + 1
+    counts, (left, right) = np.concatenate([np.zeros((2, 1)), c.contexts], axis=1), c.pairs
+    totals, after = np.maximum(c.totals, 1), np.maximum(c.after, 1)
+    # What both classes have of a word, and of a word after another, with a floor.
+    shared = np.minimum(*(counts / totals[:, None])) + floor * c.word_discount.max() / totals.min()
+    both = np.minimum(*(c.pair_contexts / after[:, left])) + floor * c.pair_discount.max() / after.min(axis=0)[left]
     word, back, pair = [], [], []
     for k in (0, 1):
-        more = np.zeros(n)
-        more[1:] = _excess(c.contexts[k], c.word_discount[k])
-        total = max(c.totals[k], 1)
-        # What is discounted and the weight of the shared counts go to the backoff.
-        word.append((more + (total - more.sum() + weight * total) * shared) / ((1 + weight) * total))
+        lift, like = np.ones(n), np.zeros(n)
+        for level in levels:
+            more = _excess(counts[k][level], c.word_discount[k])
+            # What is discounted and the weight of the shared counts go to the backoff.
+            rest = (1 - more.sum() / totals[k] + weight) / (1 + weight)
+            like[level] = more / ((1 + weight) * totals[k]) + rest * shared[level] * lift[above[level]]
+            lift[level] = like[level] / shared[level]
+        like[stems:] = rest * lift[stems:]
+        word.append(like)
         over = np.where(c.pair_contexts[k] >= LEAST_PAIR, _excess(c.pair_contexts[k], c.pair_discount[k]), 0.0)
-        left, right = c.pairs
-        after = c.after[k]
-        held = 1000.0 + weight * after
-        leave = (np.maximum(after - np.bincount(left, weights=over, minlength=n), 0) + held) / (after + held)
+        leave = (1 - np.bincount(left, weights=over, minlength=n) / after[k] + weight) / (1 + weight)
         back.append(leave)
-        pair.append(over / (after + held)[left] + leave[left] * word[-1][right])
-    return np.log(word[1] / word[0]), np.log(back[1] / back[0]), np.log(pair[1] / pair[0]) if len(pair[0]) else np.zeros(0)
+        pair.append(over / ((1 + weight) * after[k][left]) + leave[left] * both * lift[right])
+    return np.log(word[1] / word[0]), np.log(back[1] / back[0]), np.log(pair[1] / pair[0])
 
 
 @dataclass
 class ToxicModel:
-    words: list[str]
+    vocabulary: Vocabulary
     single: np.ndarray
     step: np.ndarray
     pair_key: np.ndarray
@@ -108,32 +164,26 @@ class ToxicModel:
     slope: float
     offset: float
     share: float
-    place: dict[str, int] = field(default_factory=dict, repr=False)
-
-    def prepare(self) -> ToxicModel:
-        if not self.place:
-            self.place.update((w, i + 1) for i, w in enumerate(self.words))
-        return self
 
     def evidence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Mean log ratio and number of words of each text."""
-        get = self.place.get
-        found = [[get(w, 0) for w in WORDS.findall(t.lower())] if t else [] for t in texts]
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        total = np.zeros(len(found))
-        if size.sum():
-            ids = np.fromiter((i for x in found for i in x), dtype=np.int64, count=int(size.sum()))
-            text = np.repeat(np.arange(len(found)), size)
-            worth = self.single[ids]
-            inside = np.flatnonzero(text[1:] == text[:-1]) + 1
-            worth[inside] += self.step[ids[inside - 1]]
-            if len(self.pair_key):
-                key = (ids[inside - 1] << 32) | ids[inside]
-                at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
-                hit = self.pair_key[at] == key
-                worth[inside[hit]] = self.pair[at[hit]]
-            total = np.bincount(text, weights=worth, minlength=len(found))
-        return total / np.maximum(size, 1), size
+        ids, size = self.vocabulary.places(texts)
+        return self.weigh(ids, size), size
+
+    def weigh(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Mean log ratios of texts that are given as places."""
+        if not len(ids):
+            return np.zeros(len(size))
+        text = np.repeat(np.arange(len(size)), size)
+        worth = self.single[ids]
+        inside = np.flatnonzero(text[1:] == text[:-1]) + 1
+        worth[inside] += self.step[ids[inside - 1]]
+        if len(self.pair_key):
+            key = (ids[inside - 1] << 32) | ids[inside]
+            at = np.minimum(np.searchsorted(self.pair_key, key), len(self.pair_key) - 1)
+            hit = self.pair_key[at] == key
+            worth[inside[hit]] = self.pair[at[hit]]
+        return np.bincount(text, weights=worth, minlength=len(size)) / np.maximum(size, 1)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         mean, size = self.evidence(texts)
@@ -145,7 +195,7 @@ def model_of(c: Counts, weight: float, floor: float, share: float) -> ToxicModel
     single, step, pair = ratios(c, weight, floor)
     key = (c.pairs[0] << 32) | c.pairs[1]
     order = np.argsort(key)
-    return ToxicModel(c.words, single, step, key[order], pair[order], 1.0, 0.0, share)
+    return ToxicModel(c.vocabulary, single, step, key[order], pair[order], 1.0, 0.0, share)
 
 
 def _curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-6) -> tuple[float, float]:
@@ -197,6 +247,8 @@ def count(sample: DataFrame, scratch: Scratch) -> Counts:
     rows = words.where((F.col("t0") >= LEAST_WORD) | (F.col("t1") >= LEAST_WORD)).collect()
     rows.sort()
     met = pairs.where("l <> 0").groupBy("l", "w").agg(F.sum(mine[0]).alias("n0"), F.sum(mine[1]).alias("n1")).where((F.col("n0") >= LEAST_PAIR) | (F.col("n1") >= LEAST_PAIR)).collect()
+    starts = functools.reduce(DataFrame.unionAll, [words.where(F.length("w") > k).select(F.substring("w", 1, k).alias("s"), "t0", "t1") for k in STEMS])
+    stems = sorted(starts.groupBy("s").agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1")).where((F.col("t0") >= LEAST_STEM) | (F.col("t1") >= LEAST_STEM)).collect())
     names = [r["w"] for r in rows]
     contexts = [[r["t0"] for r in rows], [r["t1"] for r in rows]]
     place = {w: i + 1 for i, w in enumerate(names)}
@@ -210,7 +262,7 @@ def count(sample: DataFrame, scratch: Scratch) -> Counts:
     at = {_hash(w): i for w, i in place.items()}
     # Three contexts of a bigram are three contexts of its left word, so that one is known.
     met = sorted((at[r["l"]], place[r["w"]], r["n0"], r["n1"]) for r in met if r["l"] in at)
-    after = np.zeros((2, len(names) + 1))
+    after = np.zeros((2, len(names) + len(stems) + 1))
     lefts = pairs.where("l <> 0").groupBy("l").agg(F.sum(mine[0]).alias("n0"), F.sum(mine[1]).alias("n1"), F.max("n").alias("m")).where(F.col("m") >= LEAST_PAIR).collect()
     for r in lefts:
         if r["l"] in at:
@@ -220,7 +272,7 @@ def count(sample: DataFrame, scratch: Scratch) -> Counts:
     discount = [(n1 or 0) / max((n1 or 0) + 2 * (n2 or 0), 1) for n1, n2 in [(told["at0"], told["bt0"]), (told["at1"], told["bt1"]), *((twice.get((k, 1)), twice.get((k, 2))) for k in (0, 1))]]
     table = np.array(met, dtype=np.int64).reshape(-1, 4).T
     return Counts(
-        names, np.array(contexts, dtype=float).reshape(2, -1), table[:2], table[2:].astype(float), after, np.array([told["st0"] or 0, told["st1"] or 0], dtype=float),
+        Vocabulary(names, [r["s"] for r in stems]), np.array([contexts[k] + [r[f"t{k}"] for r in stems] for k in (0, 1)], dtype=float).reshape(2, -1), table[:2], table[2:].astype(float), after, np.array([told["st0"] or 0, told["st1"] or 0], dtype=float),
         np.array([max(d, 0.1) for d in discount[:2]]), np.array([max(d, 0.1) for d in discount[2:]]),
     )
 
@@ -232,8 +284,9 @@ def choose(models: list[ToxicModel], held: DataFrame, weights: tuple[float, floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             texts = part.column(1).to_pylist()
-            got = [m.prepare().evidence(texts) for m in shared.value]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got[0][1]), pa.array(list(np.stack([e for e, _ in got], axis=1)), pa.list_(pa.float64()))], names=["y", "n", "e"])
+            ids, size = shared.value[0].vocabulary.places(texts)
+            got = [m.weigh(ids, size) for m in shared.value]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array(list(np.stack(got, axis=1)), pa.list_(pa.float64()))], names=["y", "n", "e"])
 
     rows = sorted(map(tuple, held.select("y", "text").mapInArrow(run, "y int, n long, e array<double>").where("n > 0").collect()))
     y = np.array([r[0] for r in rows], dtype=float)
@@ -257,7 +310,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     share = n1 / (n0 + n1) if n0 + n1 else 0.0
-    flat = ToxicModel([], np.zeros(1), np.zeros(1), np.zeros(0, np.int64), np.zeros(0), 0.0, math.log(share / (1 - share)) if 0 < share < 1 else (60.0 if share else -60.0), share)
+    flat = ToxicModel(Vocabulary([], []), np.zeros(1), np.zeros(1), np.zeros(0, np.int64), np.zeros(0), 0.0, math.log(share / (1 - share)) if 0 < share < 1 else (60.0 if share else -60.0), share)
     if min(n0, n1) == 0:
         return flat
     # Ids only: at most twice per_class rows come to the driver.
@@ -286,7 +339,7 @@ def score_documents(docs: DataFrame, model: ToxicModel, id_col: str = "doc_id",
     inner = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value.prepare()
+        own = shared.value
         for part in slices(batches, "text"):
             got = own.score(part.column(len(carry)).to_pylist())
             out = pa.RecordBatch.from_arrays([*part.columns[: len(carry)], pa.array(got)], names=[*part.schema.names[: len(carry)], "score"])

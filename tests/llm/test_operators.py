@@ -538,11 +538,13 @@ def test_toxicity_scores_like_a_plain_model(spark):
         words = [f"w{int(draw.paretovariate(0.7))}" for _ in range(60)]
         if i % 3 == 0:
             words[7:9] = ["bad", draw.choice(["word", "thing"])]
+            words[20:23] = [f"insult{draw.choice('abcdefgh')}{i}", "w1", f"insulti{i}"]
+        words[30:32] = [f"common{i}", f"insul{i}"] if i % 10 == 1 else words[30:32]
         sample.append((int(i % 3 == 0), " ".join(words)))
     sample += sample[:20] * 3  # copies bring no new contexts
     counts = count(spark.createDataFrame(sample, "y int, text string"), Scratch(spark, "test"))
     weight, floor = 3.0, 0.1
-    model = model_of(counts, weight, floor, 0.3).prepare()
+    model = model_of(counts, weight, floor, 0.3)
     # The plain model: sets of contexts and dictionaries.
     pairs, words = [defaultdict(set), defaultdict(set)], [defaultdict(set), defaultdict(set)]
     for y, t in sample:
@@ -559,20 +561,38 @@ def test_toxicity_scores_like_a_plain_model(spark):
 
     d1, d2, totals = [discount(x) for x in counted], [discount(x) for x in many], [sum(x.values()) for x in counted]
 
+    begin = [defaultdict(int), defaultdict(int)]
+    for y in (0, 1):
+        for w, n in counted[y].items():
+            for k in (5, 7):
+                if len(w) > k:
+                    begin[y][w[:k]] += n
+
+    def backed(y, w, table, n, weigh):
+        """Likelihood over the shared counts, of a word or a beginning: its own counts, or what it backs off to."""
+        up = [w[:k] for k in (5, 7) if len(w) > k and max(begin[0].get(w[:k], 0), begin[1].get(w[:k], 0)) >= 8]
+        lift = backed(y, up[-1], begin, lambda s: len(s) == len(up[-1]) and max(begin[0][s], begin[1][s]) >= 8, True) if up else 1.0
+        own = [table[k].get(w, 0) if weigh else 0 for k in (0, 1)]
+        shared = min(own[k] / totals[k] for k in (0, 1)) + floor * max(d1) / min(totals)
+        kept = sum(c - d1[y] for s, c in table[y].items() if c > 1 and n(s))
+        more = own[y] - d1[y] if own[y] > 1 else 0
+        return more / ((1 + weight) * totals[y] * shared) + (1 - kept / totals[y] + weight) / (1 + weight) * lift
+
     def logs(y, before, w):
-        known = [max(counted[k].get(w, 0) for k in (0, 1)) >= 2 or any(n >= 3 for k in (0, 1) for p, n in many[k].items() if p[1] == w)]
-        shared = (min(counted[k].get(w, 0) / totals[k] for k in (0, 1)) if known[0] else 0) + floor * max(d1) / min(totals)
-        more = counted[y].get(w, 0) - d1[y] if counted[y].get(w, 0) > 1 else 0
-        kept = sum(n - d1[y] for n in counted[y].values() if n > 1)
-        one = (more + (totals[y] - kept + weight * totals[y]) * shared) / ((1 + weight) * totals[y])
+        known = max(counted[k].get(w, 0) for k in (0, 1)) >= 2 or any(n >= 3 for k in (0, 1) for p, n in many[k].items() if p[1] == w)
+        one = backed(y, w, counted, lambda s: True, known)
         if before is None or not any(n >= 3 for k in (0, 1) for p, n in many[k].items() if p[0] == before):
             return math.log(one)
+        after = [max(sum(n for p, n in many[k].items() if p[0] == before), 1) for k in (0, 1)]
         over = {p[1]: n - d2[y] for p, n in many[y].items() if p[0] == before and n >= 3}
-        after = sum(n for p, n in many[y].items() if p[0] == before)
-        held = 1000 + weight * after
-        return math.log(over.get(w, 0) / (after + held) + (after - sum(over.values()) + held) / (after + held) * one)
-
-    for _, t in sample[:12] + [(0, "bad word new w1 w2 bad thing")]:
+        rest = (1 - sum(over.values()) / after[y] + weight) / (1 + weight)
+        pair = [many[k].get((before, w), 0) for k in (0, 1)]
+        if max(pair) < 3:
+            return math.log(rest * one)
+        shared = min(pair[k] / after[k] for k in (0, 1)) + floor * max(max(d, 0.1) for d in d2) / min(after)
+        return math.log(over.get(w, 0) / ((1 + weight) * after[y] * shared) + rest * one)
+
+    for _, t in sample[:12] + [(0, "bad word new w1 w2 bad thing insultx insultiy insul insulz commonx common5")]:
         w = t.split()
         want = sum(logs(1, a, b) - logs(0, a, b) for a, b in zip([None, *w], w)) / len(w)
         assert model.evidence([t])[0][0] == pytest.approx(want, abs=1e-9)
