@@ -12,9 +12,9 @@ Writing is a range partitioning by document id (the texts move once), encoding,
 tasks write a file each; the manifest lists the files of successful tasks in order (``sources.files``). Ties of
 id are ordered by a hash of the text, and rows alike in both are dealt by their place, so no id is a hot key.
 
-Encoding calls the tokenizers library for each distinct run between ASCII spaces, once while a bounded table of
-a task remembers it. Splits, merges and normalisation of the vocabulary named here don't reach over such a space, so
-the ids are those of the whole text (tested).
+Encoding calls the tokenizers library for each distinct word, once while a bounded table of a worker remembers
+it: splits, merges and normalisation of the vocabulary named here don't reach over ASCII spaces, nor from an ASCII
+letter to a sign, so the ids are those of the whole text (tested). Other vocabularies encode text by text.
 
 Edge cases: a null or empty text has the end id alone; a null document id sorts first; repeated rows are
 documents of their own; an empty table gives a manifest without files and no rows; a text of any length is
@@ -23,10 +23,13 @@ encoded whole, a megabyte of words at a time; further columns are not read, what
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,27 +38,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from helixplan.llm.common import slices, table
-from helixplan.llm.words import blocks, coded, ragged
+from helixplan.llm.words import BLOCK_BYTES, blocks, coded, ragged, runs
 from helixplan.plans.runtime import Scratch
 from helixplan.sources import files
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END_ID = 2
-#: Ids that a task remembers of distinct words; reaching it only costs time.
-REMEMBERED = 4_000_000
+#: Distinct words whose ids a worker remembers; reaching it only costs time.
+REMEMBERED = 300_000
+#: Fixed value: the split of vocabularies whose words can be encoded one by one.
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Bytes: 1 ASCII letters and digits, 2 ASCII signs, 3 the apostrophe, 0 all else.
+_KINDS = np.array([3 if b == 0x27 else 0 if not 0x20 < b < 0x7F else 1 if chr(b).isalnum() else 2 for b in range(256)], dtype=np.uint8)
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer whose tokens never reach over an ASCII space."""
+    """Ids of texts by a tokenizer, distinct word by distinct word where its splits allow that, else text by text."""
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self._forget()
-
-    def _forget(self) -> None:
+        told = json.loads(model)
+        split = [p["pattern"].get("Regex") for p in (told.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        normal = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers", [])]
+        self.by_words = split == [WORD_SPLIT] and normal == ["NFC", "Replace", "Lowercase"]
+        self.added = [t["content"].lower().encode() for t in told.get("added_tokens", [])]
         self.known: dict[bytes, int] = {}
         self.begin, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint32)
@@ -63,53 +72,70 @@ class WordEncoder:
     def _learn(self, words: list[bytes]) -> None:
         got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
         size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        flat = np.fromiter((i for ids in got for i in ids), dtype=np.uint32, count=int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(size.sum()))
         self.known.update(zip(words, range(len(self.size), len(self.size) + len(words))))
         self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, flat])
 
-    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all words in a row, and how many each has."""
-        if len(self.flat) > REMEMBERED or len(self.size) > REMEMBERED:
-            self._forget()
+    def _words(self, parts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each part. Words beyond ``REMEMBERED`` are forgotten again."""
+        words, count = runs(parts)
         codes, distinct = coded(words)
+        had, flat = len(self.size), len(self.flat)
         new = [w for w in distinct if w not in self.known]
         if new:
             self._learn(new)
         at = np.fromiter((self.known[w] for w in distinct), dtype=np.int64, count=len(distinct))[codes]
         size = self.size[at]
-        return self.flat[ragged(self.begin[at], size)], size
+        ids = self.flat[ragged(self.begin[at], size)]
+        if len(self.size) > REMEMBERED:
+            for w in new:
+                del self.known[w]
+            self.begin, self.size, self.flat = self.begin[:had].copy(), self.size[:had].copy(), self.flat[:flat].copy()
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *count])].tolist()
+        return [ids[x:y] for x, y in zip(ends, ends[1:])]
+
+    def _split(self, block: bytes) -> bytes:
+        """The block lowered and with a space between ASCII letters or digits and ASCII signs, where the vocabulary splits itself.
+
+        An apostrophe stays with what follows. A block that may hold an added token is left as it is.
+        """
+        low = block.lower()  # bytes: A-Z only
+        if any(t in low for t in self.added):
+            return block
+        data = np.frombuffer(low, dtype=np.uint8)
+        kind = _KINDS[data]
+        left, right = kind[:-1], kind[1:]
+        border = np.flatnonzero(((left == 1) & (right >= 2)) | ((left == 2) & (right == 1))) + 1
+        return np.insert(data, border, 0x20).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """One array of ids a text."""
-        parts: list[list[np.ndarray]] = [[] for _ in texts]
-        words: list[bytes] = []
-        owners: list[tuple[int, int]] = []
+        if not self.by_words:
+            return [np.array(self.tokenizer.encode(t or "", add_special_tokens=False).ids, dtype=np.uint32) for t in texts]
+        found: list[list[np.ndarray]] = [[] for _ in texts]
+        parts: list[bytes] = []
+        owners: list[int] = []
         held = 0
-
-        def flush() -> None:
-            nonlocal held
-            ids, size = self._words(words)
-            ends = np.concatenate([[0], np.cumsum(size)])
-            at = 0
-            for who, count in owners:
-                parts[who].append(ids[ends[at] : ends[at + count]])
-                at += count
-            words.clear()
-            owners.clear()
-            held = 0
-
         for who, text in enumerate(texts):
             for block in blocks((text or "").encode("utf-8", "surrogatepass")):
-                some = block.split()  # bytes split at ASCII spaces only
-                words += some
-                owners.append((who, len(some)))
+                parts.append(self._split(block))
+                owners.append(who)
                 held += len(block)
-                if held > 1 << 20:
-                    flush()
-        flush()
-        return [p[0] if len(p) == 1 else np.concatenate(p) if p else np.zeros(0, dtype=np.uint32) for p in parts]
+                if held > BLOCK_BYTES:
+                    for k, ids in zip(owners, self._words(parts)):
+                        found[k].append(ids)
+                    parts, owners, held = [], [], 0
+        for k, ids in zip(owners, self._words(parts) if parts else []):
+            found[k].append(ids)
+        return [f[0] if len(f) == 1 else np.concatenate(f) for f in found]
+
+
+@lru_cache(maxsize=1)
+def _encoder(model: str) -> WordEncoder:
+    """A worker's encoder; its tasks share what it remembers."""
+    return WordEncoder(model)
 
 
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = VOCABULARY, end_id: int | None = END_ID) -> DataFrame:
@@ -120,7 +146,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     end = np.array([] if end_id is None else [end_id], dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(model)
+        encoder = _encoder(model)
         for part in slices(batches, "__text"):
             got = [np.concatenate([ids, end]) for ids in encoder.encode(part.column(1).to_pylist())]
             ends = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
