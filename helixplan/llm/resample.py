@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from helixplan.llm.common import slices, table
-from helixplan.llm.words import BLOCK_BYTES, blocks, coded
+from helixplan.llm.words import BLOCK_BYTES, blocks, coded, runs
 from helixplan.plans.iterate import numbered
 from helixplan.plans.runtime import Scratch
 
@@ -67,12 +67,12 @@ class GramDictionary:
                 self.hashed += 1
         return np.fromiter((ids[k] for k in keys), dtype=np.int64, count=len(keys))
 
-    def grams(self, words: list[bytes], owner: np.ndarray, skip: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def grams(self, words: pa.Array, owner: np.ndarray, skip: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each n the buckets of all runs of n words of one owner, and their owners; runs that end in the first ``skip`` words are left out."""
         if sum(map(len, self.spelled)) > REMEMBERED:
             self._forget()
         codes, distinct = coded(words)
-        run = self._enter(0, distinct, lambda w: w)[codes] if words else np.zeros(0, dtype=np.int64)
+        run = self._enter(0, distinct, lambda w: w)[codes]
         word, place = run, np.arange(len(run))
         for level in range(self.n):
             if level:
@@ -87,30 +87,27 @@ class GramDictionary:
             yield np.array(self.bucket[level], dtype=np.int64)[run[told]], owner[place[told]]
 
 
-def _pieces(texts: list[str | None], n: int) -> Iterator[tuple[list[bytes], np.ndarray, int]]:
+def _pieces(texts: list[str | None], n: int) -> Iterator[tuple[pa.Array, np.ndarray, int]]:
     """Words of texts, the rows they are of, and how many at the beginning were there before; about a megabyte at a time.
 
     The next piece of a long text begins with the n-1 words before it once more, so that no run is lost.
     """
-    words: list[bytes] = []
-    owners: list[tuple[int, int]] = []
+    parts: list[bytes] = []
+    rows: list[int] = []
     held = skip = 0
     for row, text in enumerate(texts):
         for k, block in enumerate(blocks((text or "").encode("utf-8", "surrogatepass").translate(_TO_WORDS))):
             if k or held > BLOCK_BYTES:
-                yield words, _repeat(owners), skip
-                own = sum(c for o, c in owners if o == row)
-                words = words[-min(n - 1, own) :] if n > 1 and own else []
-                held, skip, owners = 0, len(words), [(row, len(words))]
-            some = block.split()
-            words += some
-            owners.append((row, len(some)))
+                words, count = runs(parts)
+                owner = np.repeat(np.array(rows), count)
+                yield words, owner, skip
+                skip = min(n - 1, int((owner == row).sum()))
+                parts, rows, held = [b" ".join(words[len(words) - skip :].to_pylist())], [row], 0
+            parts.append(block)
+            rows.append(row)
             held += len(block)
-    yield words, _repeat(owners), skip
-
-
-def _repeat(owners: list[tuple[int, int]]) -> np.ndarray:
-    return np.repeat(np.array([o for o, _ in owners], dtype=np.int64), [n for _, n in owners])
+    words, count = runs(parts)
+    yield words, np.repeat(np.array(rows, dtype=np.int64), count), skip
 
 
 def bucket_counts(docs: DataFrame, text_col: str = "text", n: int = 1, buckets: int = BUCKETS) -> DataFrame:
