@@ -28,13 +28,13 @@ def fold(key: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def slices(batches: Iterator[pa.RecordBatch], size_of: str) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], size_of: str, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cuts record batches so that column ``size_of`` holds about ``SLICE_BYTES`` at most (a single row may hold more)."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(size_of))
         at, n = 0, batch.num_rows
         while at < n:
-            step = min(SLICE_ROWS, n - at)
+            step = min(rows, n - at)
             while step > 1 and column.slice(at, step).nbytes > SLICE_BYTES:
                 step //= 2
             yield batch.slice(at, step)

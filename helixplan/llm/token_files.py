@@ -29,7 +29,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +38,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from helixplan.llm.common import slices, table
-from helixplan.llm.words import BLOCK_BYTES, blocks, coded, ragged, runs
+from helixplan.llm.words import blocks, coded, ragged, runs
 from helixplan.plans.runtime import Scratch
 from helixplan.sources import files
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END_ID = 2
+#: Bytes of text whose words are looked up together.
+GROUP_BYTES = 4 << 20
 #: Distinct words whose ids a worker remembers; reaching it only costs time.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Fixed value: the split of vocabularies whose words can be encoded one by one.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes: 1 ASCII letters and digits, 2 ASCII signs, 3 the apostrophe, 0 all else.
@@ -83,10 +85,13 @@ class WordEncoder:
         words, count = runs(parts)
         codes, distinct = coded(words)
         had, flat = len(self.size), len(self.flat)
-        new = [w for w in distinct if w not in self.known]
+        at = np.fromiter(map(self.known.get, distinct, repeat(-1)), dtype=np.int64, count=len(distinct))
+        unknown = np.flatnonzero(at < 0)
+        new = [distinct[k] for k in unknown.tolist()]
         if new:
             self._learn(new)
-        at = np.fromiter((self.known[w] for w in distinct), dtype=np.int64, count=len(distinct))[codes]
+            at[unknown] = np.arange(had, had + len(new))
+        at = at[codes]
         size = self.size[at]
         ids = self.flat[ragged(self.begin[at], size)]
         if len(self.size) > REMEMBERED:
@@ -123,7 +128,7 @@ class WordEncoder:
                 parts.append(self._split(block))
                 owners.append(who)
                 held += len(block)
-                if held > BLOCK_BYTES:
+                if held > GROUP_BYTES:
                     for k, ids in zip(owners, self._words(parts)):
                         found[k].append(ids)
                     parts, owners, held = [], [], 0
@@ -147,7 +152,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
-        for part in slices(batches, "__text"):
+        for part in slices(batches, "__text", 4096):
             got = [np.concatenate([ids, end]) for ids in encoder.encode(part.column(1).to_pylist())]
             ends = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
             flat = np.concatenate(got) if got else np.zeros(0, dtype=np.uint32)
@@ -268,9 +273,9 @@ class _Writer(DataSourceArrowWriter):
 
 @dataclass
 class _Span(InputPartition):
-    """Sequences ``begin`` to ``end`` of a file, or all its documents."""
+    """Sequences ``begin`` to ``end`` of a file, or all its documents; without a name nothing."""
 
-    name: str
+    name: str | None
     start: int
     begin: int
     end: int
@@ -287,6 +292,8 @@ class _Reader(DataSourceReader):
             raise FileNotFoundError(f"no manifest in {folder}")
 
     def partitions(self) -> list[_Span]:
+        if not self.listed["files"]:
+            return [_Span(None, 0, 0, 0)]
         if self.view == "documents":
             return [_Span(f["name"], f["start"], 0, f["sequences"]) for f in self.listed["files"]]
         step = self.listed["rows"] * self.BATCHES
