@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixplan.llm import chat, exact_dedup, html_text, language, mixing, pieces, quality, simhash, token_files, toxicity, url_filter
+from helixplan.llm import align, chat, exact_dedup, html_text, language, mixing, pieces, quality, resample, simhash, token_files, toxicity, url_filter
 
 QUERIES = {
     "op1_html_text": html_text.op1_html_text,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_simhash": simhash.op10_simhash,
     "op11_token_files": token_files.op11_token_files,
+    "op12_resample": resample.op12_resample,
+    "op13_align": align.op13_align,
 }
 
 ORACLES = {
