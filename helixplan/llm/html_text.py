@@ -9,8 +9,9 @@ parent and of the same section. The minimum cut, found by augmenting paths, labe
 the source is content.
 
 A token is judged whole, by its head: ``main-menu`` and ``ad-box`` name boilerplate, ``has-sidebar``, ``ad-free``,
-``overflow-hidden`` and ``tags-news`` don't. Tokens of an element that holds most of a page's text don't count
-against it, because boilerplate is what stands beside the text; comments are the exception, they may be longer.
+``overflow-hidden`` and ``tags-news`` don't. Boilerplate is what stands beside an article, however long it is. So a
+token counts unless nothing outside such elements is an article or clean prose while the element itself holds an
+article or prose: then it wraps the page. A form counts unless it wraps an article. Comments always count.
 
 Scripts, styles, templates and form controls hold no text of a reader and make no blocks. White space inside a block becomes
 one space, inline tags and line breaks with it; blocks are joined in page order by two line feeds.
@@ -48,7 +49,7 @@ HEADER_IN_PAGE = -14.0
 # Parts of tokens of class, id and role.
 GOOD = frozenset("article content post entry story main body text".split())
 BAD = frozenset("ad ads adv advert adverts advertisement adbox adsense banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer dialog footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation navlinks newsletter notice notices alert alerts outbrain overlay pager pagination paywall popup promo promoted promotion related recommended rss search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription taboola tags teaser toolbar topbar warning widget widgets complementary contentinfo".split())
-TALK = frozenset("comment comments commentlist disqus replies respond reviews".split())
+TALK = frozenset("comment comments commentlist discussion discussions disqus replies respond responses reviews".split())
 #: A token with one of these says something about an element's state or surroundings, not what it is.
 STATE = frozenset("no has have with without not is are show hide hides show shows free overflow visually aria js layout page single template enabled disabled open closed active sticky category tagged tag type format status".split())
 #: What may follow the name of a kind of boilerplate: a box for it.
@@ -56,8 +57,8 @@ BOX = frozenset("area bar block body bottom box col column container content gro
 TOKEN_BAD, TOKEN_GOOD = -14.0, 1.5
 LINK, LONG, SHORT, BASE, SENTENCE = -6.0, 3.0, -0.5, -0.5, 0.5
 NEXT, SAME_PARENT, SAME_SECTION = 1.5, 1.0, 0.5
-#: Share and length of a page's text that no element holds that is boilerplate by its tokens alone.
-MOST_SHARE, MOST_CHARS = 2 / 3, 300
+#: Blocks of prose in an element without an article that make it the page's text.
+LEAST_PROSE = 2
 
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|[^>])*)(?:>|$)", re.S)
 NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -68,12 +69,12 @@ SPACE = re.compile(r"\s+")
 
 
 class _Element:
-    """An open element, with what holds for everything in it: ``total`` log-odds, the place of its nearest block element, the outermost element condemned by a token."""
+    """An open element, with what holds for everything in it: ``total`` log-odds, the place of its nearest block element, the outermost condemned element, whether it is in an article."""
 
-    __slots__ = ("block", "condemned", "name", "number", "section", "silent", "total")
+    __slots__ = ("article", "block", "condemned", "name", "number", "section", "silent", "total")
 
-    def __init__(self, name: str, number: int, section: int, silent: bool, total: float, block: int, condemned: int):
-        self.name, self.number, self.section, self.silent, self.total, self.block, self.condemned = name, number, section, silent, total, block, condemned
+    def __init__(self, name: str, number: int, section: int, silent: bool, total: float, block: int, condemned: int, article: bool):
+        self.name, self.number, self.section, self.silent, self.total, self.block, self.condemned, self.article = name, number, section, silent, total, block, condemned, article
 
 
 def token_kind(token: str) -> str:
@@ -81,7 +82,8 @@ def token_kind(token: str) -> str:
     parts = [x.lower() for x in PART.findall(token)]
     whole = "".join(parts)
     for kind, names in (("talk", TALK), ("bad", BAD)):
-        if whole in names:
+        # A known name, or one with a box for it written on: adslot, footerlinks.
+        if whole in names or any(whole[:k] in names and whole[k:] in BOX for k in range(2, len(whole))):
             return kind
     if not parts or STATE & set(parts):
         return ""
@@ -94,7 +96,7 @@ def token_kind(token: str) -> str:
 
 
 def _evidence(name: str, attributes: str, in_article: bool) -> tuple[float, float]:
-    """Log-odds of an element, and how much of it a token of boilerplate gave that the page's text may overrule."""
+    """Log-odds of an element, and how much of it a token of boilerplate or its being a form gave, which the rest of the page may overrule."""
     worth, overruled = ELEMENT.get(name, 0.0), 0.0
     if name == "header" and not in_article:
         worth = HEADER_IN_PAGE
@@ -109,35 +111,51 @@ def _evidence(name: str, attributes: str, in_article: bool) -> tuple[float, floa
             overruled = TOKEN_BAD
         elif "good" in kinds:
             worth += TOKEN_GOOD
+    if name == "form":
+        overruled += ELEMENT["form"]
     return worth, overruled
 
 
 class Block:
-    __slots__ = ("condemned", "depth", "evidence", "linked", "parent", "section", "text")
-
-    def __init__(self, text: str, linked: int, parent: int, section: int, depth: int, evidence: float, condemned: int):
-        self.text, self.linked, self.parent, self.section, self.depth, self.evidence, self.condemned = text, linked, parent, section, depth, evidence, condemned
-
-
-def _acquit(blocks: list[Block], weight: dict[int, float]) -> list[Block]:
-    """Takes back what tokens say of elements that hold most of the page's text."""
-    size: dict[int, int] = {}
-    for b in blocks:
-        size[b.condemned] = size.get(b.condemned, 0) + max(len(b.text) - b.linked, 0)
-    total = sum(size.values())
-    for number, n in size.items():
-        if number and n >= MOST_CHARS and n > MOST_SHARE * total:
-            for b in blocks:
-                if b.condemned == number:
-                    b.evidence -= weight[number]
+    __slots__ = ("article", "condemned", "depth", "evidence", "linked", "parent", "section", "text")
+
+    def __init__(self, text: str, linked: int, parent: int, section: int, depth: int, evidence: float, condemned: int, article: bool):
+        self.text, self.linked, self.parent, self.section, self.depth, self.evidence, self.condemned, self.article = text, linked, parent, section, depth, evidence, condemned, article
+
+
+def _is_prose(block: Block, more: float = 0.0) -> bool:
+    """Content by itself, with ``more`` log-odds: in an article or main element, or with a sentence."""
+    return _worth(block) + more > 0 and (block.article or SENTENCES.search(block.text) is not None)
+
+
+def _acquit(blocks: list[Block], weight: dict[int, float], wraps: set[int]) -> list[Block]:
+    """Takes back what condemns elements that wrap the page; ``wraps`` are forms around an article."""
+
+    def free(number: int) -> None:
+        for b in blocks:
+            if b.condemned == number:
+                b.evidence, b.condemned = b.evidence - weight[number], 0
+
+    for number in wraps:
+        free(number)
+    if weight and not any(_is_prose(b) for b in blocks if not b.condemned):
+        held: dict[int, list[Block]] = {}
+        for b in blocks:
+            if b.condemned and _is_prose(b, -weight[b.condemned]):
+                held.setdefault(b.condemned, []).append(b)
+        for number, some in held.items():
+            if len(some) >= LEAST_PROSE or any(b.article for b in some):
+                free(number)
     return blocks
 
 
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order."""
-    stack = [_Element("", 0, 0, False, 0.0, 0, 0)]
+    stack = [_Element("", 0, 0, False, 0.0, 0, 0, False)]
     open_at: dict[str, list[int]] = {}
     weight: dict[int, float] = {}
+    forms: set[int] = set()
+    wraps: set[int] = set()
     made, out, parts, linked, links, silent = 0, [], [], 0, 0, 0
 
     def flush() -> None:
@@ -149,7 +167,7 @@ def blocks_of(page: str) -> list[Block]:
                 top = stack[-1]
                 holder = stack[top.block]
                 above = stack[stack[top.block - 1].block].number if top.block else 0
-                out.append(Block(text, linked, above, holder.section, len(stack), max(-60.0, top.total), top.condemned))
+                out.append(Block(text, linked, above, holder.section, len(stack), max(-60.0, top.total), top.condemned, top.article))
         linked = 0
 
     def close(k: int) -> None:
@@ -226,7 +244,12 @@ def blocks_of(page: str) -> list[Block]:
         condemned = top.condemned
         if overruled and not condemned:
             condemned, weight[made] = made, overruled
-        stack.append(_Element(name, made, section, quiet, top.total + worth, len(stack) if name in BLOCK else top.block, condemned))
+        article = name in ("article", "main")
+        if name == "form" and condemned == made and overruled == ELEMENT["form"]:
+            forms.add(made)
+        if article and condemned in forms:
+            wraps.add(condemned)
+        stack.append(_Element(name, made, section, quiet, top.total + worth, len(stack) if name in BLOCK else top.block, condemned, article or top.article))
         open_at.setdefault(name, []).append(len(stack) - 1)
         links += name == "a"
         silent += quiet
@@ -237,13 +260,18 @@ def blocks_of(page: str) -> list[Block]:
                 parts.append(html.unescape(page[at:stop]))
             at = stop
     flush()
-    return _acquit(out, weight)
+    return _acquit(out, weight, wraps)
 
 
-def costs(block: Block) -> tuple[float, float]:
-    """Capacities from the source (what calling it boilerplate costs) and to the sink: the classifier's log-odds."""
+def _worth(block: Block) -> float:
+    """The classifier's log-odds."""
     n = len(block.text)
-    worth = BASE + block.evidence + LONG * min(n / 200, 1.0) + (SHORT if n < 25 else 0.0) + LINK * min(block.linked / n, 1.0) + (SENTENCE if SENTENCES.search(block.text) else 0.0)
+    return BASE + block.evidence + LONG * min(n / 200, 1.0) + (SHORT if n < 25 else 0.0) + LINK * min(block.linked / n, 1.0) + (SENTENCE if SENTENCES.search(block.text) else 0.0)
+
+
+def costs(block: Block) -> tuple[float, float]:
+    """Capacities from the source (what calling it boilerplate costs) and to the sink."""
+    worth = _worth(block)
     return (worth, 0.0) if worth > 0 else (0.0, -worth)
 
 
