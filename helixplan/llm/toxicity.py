@@ -16,15 +16,17 @@ A text's evidence is the difference of its two log-likelihoods, divided by its n
 curve, fitted on the held-back labels, turns it into a score.
 
 The models are fitted on a bounded, documented sample: of each class up to ``per_class`` labelled documents,
-those with the least keyed hash of their id, of up to ``longest`` characters each. It is counted in the
-cluster; the driver gets words with two contexts or more, bigrams with three or more, beginnings with eight or
-more, and one row for each held-back text. Scoring reads every whole text, a slice of rows at a time.
+those with the least keyed hash of their id, with their whole texts. It is counted in the cluster; the driver gets
+words with two contexts or more, bigrams with three or more, beginnings with eight or more, of each up to
+``TABLE_ROWS`` with most contexts, and one row for each held-back text. Held back is a quarter of each class's
+distinct texts in the order of a hash, one at least; a class of one text is learned and held back with it. Scoring
+reads every whole text, a slice of rows at a time.
 
 Edge cases: null and empty texts and texts without a letter or digit get the share of toxic labels as score;
 a null label counts as none, of several labels of a document the largest counts; a document without id has
 no label and counts as held out; repeated rows and ties are scored row by row; a text of any length is
-scored whole, with memory in proportion to it; without labels of both classes every score is the share of
-toxic ones (0 without labels); further columns are not read, whatever their names.
+learned and scored whole, with memory in proportion to it; unless both classes have a labelled text with a letter or
+digit every score is the share of toxic labels (0 without labels); further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from helixplan.llm.common import fold, slices
 from helixplan.plans.runtime import Scratch
@@ -45,6 +47,8 @@ from helixplan.plans.runtime import Scratch
 WORDS = re.compile(r"\w+")
 #: Contexts that a word, a bigram and a beginning of words have at least if they are to be more than their backoff.
 LEAST_WORD, LEAST_PAIR, LEAST_STEM = 2, 3, 8
+#: Words, bigrams and beginnings, each, that a model holds at most; those with most contexts.
+TABLE_ROWS = 2_000_000
 #: Lengths of the beginnings that longer words back off to, ascending.
 STEMS = (5, 7)
 #: Weights of the shared counts and their floors that the held-back labels choose from.
@@ -238,17 +242,22 @@ def grams(sample: DataFrame) -> DataFrame:
     return rows.distinct().groupBy("y", "l", "w").agg(F.count("*").alias("n"))
 
 
+def _most(rows: DataFrame, n0: str, n1: str, *names: str) -> list:
+    """Up to ``TABLE_ROWS`` rows, those with most contexts, ties by name."""
+    return rows.orderBy(F.desc(F.greatest(n0, n1)), *names).limit(TABLE_ROWS).collect()
+
+
 def count(sample: DataFrame, scratch: Scratch) -> Counts:
     """Counts of the sample ``(y, text)``; the driver gets what is more than its backoff."""
     pairs = scratch.keep(grams(sample))
     mine = [F.when(F.col("y") == k, F.col("n")).otherwise(0) for k in (0, 1)]
     one = [(F.col("y") == k).cast("long") for k in (0, 1)]
     words = scratch.keep(pairs.groupBy("w").agg(F.sum(one[0]).alias("t0"), F.sum(one[1]).alias("t1")))
-    rows = words.where((F.col("t0") >= LEAST_WORD) | (F.col("t1") >= LEAST_WORD)).collect()
+    rows = _most(words.where((F.col("t0") >= LEAST_WORD) | (F.col("t1") >= LEAST_WORD)), "t0", "t1", "w")
     rows.sort()
-    met = pairs.where("l <> 0").groupBy("l", "w").agg(F.sum(mine[0]).alias("n0"), F.sum(mine[1]).alias("n1")).where((F.col("n0") >= LEAST_PAIR) | (F.col("n1") >= LEAST_PAIR)).collect()
+    met = _most(pairs.where("l <> 0").groupBy("l", "w").agg(F.sum(mine[0]).alias("n0"), F.sum(mine[1]).alias("n1")).where((F.col("n0") >= LEAST_PAIR) | (F.col("n1") >= LEAST_PAIR)), "n0", "n1", "l", "w")
     starts = functools.reduce(DataFrame.unionAll, [words.where(F.length("w") > k).select(F.substring("w", 1, k).alias("s"), "t0", "t1") for k in STEMS])
-    stems = sorted(starts.groupBy("s").agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1")).where((F.col("t0") >= LEAST_STEM) | (F.col("t1") >= LEAST_STEM)).collect())
+    stems = sorted(_most(starts.groupBy("s").agg(F.sum("t0").alias("t0"), F.sum("t1").alias("t1")).where((F.col("t0") >= LEAST_STEM) | (F.col("t1") >= LEAST_STEM)), "t0", "t1", "s"))
     names = [r["w"] for r in rows]
     contexts = [[r["t0"] for r in rows], [r["t1"] for r in rows]]
     place = {w: i + 1 for i, w in enumerate(names)}
@@ -302,8 +311,8 @@ def choose(models: list[ToxicModel], held: DataFrame, weights: tuple[float, floa
     return best
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 8000, longest: int = 200_000, folds: int = 5) -> ToxicModel:
-    """Learns from labelled rows whose fold is not 0; every fourth of them, by a hash, is held back for the curve."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 8000, folds: int = 5) -> ToxicModel:
+    """Learns from labelled rows whose fold is not 0; every fourth distinct text of a class is held back for the curve."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).where(fold(F.col(id_col), folds) != 0).groupBy(F.col(id_col).alias("k")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -317,10 +326,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     order = F.xxhash64(F.col("k").cast("string"), F.lit(7))
     chosen = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(order, "k").limit(per_class).collect()]
     ids = spark.createDataFrame([(r["k"], r["y"]) for r in chosen], known.schema)
-    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).where(F.length("text") <= longest)
-    sample = scratch.keep(texts.join(F.broadcast(ids), "k").select("y", "text", (F.pmod(F.xxhash64("text", F.lit(9)), F.lit(4)) == 3).alias("back")))
+    texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"(?U)\w"))
+    found = scratch.keep(texts.join(F.broadcast(ids), "k").select("y", "text", F.xxhash64("text", F.lit(9)).alias("h")))
+    ranks = found.select("y", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h")))  # at most a row a sampled text
+    ranks = ranks.withColumn("alone", F.count("*").over(Window.partitionBy("y")) == 1)
+    sides = F.when(F.col("alone"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.col("r") % 4 == 2))
+    sample = scratch.keep(found.join(ranks, ["y", "h"]).select("y", "text", F.explode(sides).alias("back")))
     held = {(r["y"], r["back"]): r["n"] for r in sample.groupBy("y", "back").agg(F.count("*").alias("n")).collect()}
-    if any(held.get((y, b), 0) == 0 for y in (0, 1) for b in (True, False)):
+    if len(held) < 4:
         return flat
     found = count(sample.where("not back"), scratch)
     models = [model_of(found, weight, floor, share) for weight in WEIGHTS for floor in FLOORS]
