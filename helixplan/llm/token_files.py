@@ -8,8 +8,8 @@ filling) and ``ends`` (bits: a document's last token). All batches but the last
 ``i % rows`` of batch ``i // rows``, and a reader of a mapped file takes it as a view of the file, without a copy.
 Beside it lies an index of its documents, ids and numbers of tokens, in the same format.
 
-Writing is a range partitioning by document id (the texts move once), encoding, and a Python data source whose
-tasks write a file each; the manifest lists the files of successful tasks in order (``sources.files``). Ties of
+Writing is a range partitioning by document id (the texts move once) and a Python data source whose tasks encode
+and write a file each; the manifest lists the files of successful tasks in order (``sources.files``). Ties of
 id are ordered by a hash of the text, and rows alike in both are dealt by their place, so no id is a hot key.
 
 Encoding calls the tokenizers library for each distinct word, once while a bounded table of a worker remembers
@@ -44,10 +44,10 @@ from helixplan.sources import files
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 END_ID = 2
-#: Bytes of text whose words are looked up together.
-GROUP_BYTES = 4 << 20
+#: Rows and bytes of text whose words are looked up together.
+SLICE_ROWS, GROUP_BYTES = 1024, 3 << 20
 #: Distinct words whose ids a worker remembers; reaching it only costs time.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Fixed value: the split of vocabularies whose words can be encoded one by one.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes: 1 ASCII letters and digits, 2 ASCII signs, 3 the apostrophe, 0 all else.
@@ -143,29 +143,32 @@ def _encoder(model: str) -> WordEncoder:
     return WordEncoder(model)
 
 
+def _encoded_rows(batches: Iterator[pa.RecordBatch], model: str, end_id: int | None) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Ids of the rows and of their texts of ``(id, __text)``, a few megabytes at a time."""
+    encoder, end = _encoder(model), np.array([] if end_id is None else [end_id], dtype=np.uint32)
+    for part in slices(batches, "__text", SLICE_ROWS):
+        yield part.column(0), [np.concatenate([ids, end]) for ids in encoder.encode(part.column(1).to_pylist())]
+
+
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = VOCABULARY, end_id: int | None = END_ID) -> DataFrame:
     """``id_col, ids``: the ids of each row's whole text, closed by ``end_id``; a map over the rows in their order."""
     with open(model_path, encoding="utf-8") as f:
         model = f.read()
     kind = docs.schema[id_col].dataType.simpleString()
-    end = np.array([] if end_id is None else [end_id], dtype=np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(model)
-        for part in slices(batches, "__text", 4096):
-            got = [np.concatenate([ids, end]) for ids in encoder.encode(part.column(1).to_pylist())]
+        for names, got in _encoded_rows(batches, model, end_id):
             ends = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
-            flat = np.concatenate(got) if got else np.zeros(0, dtype=np.uint32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int32)))], names=[id_col, "ids"])
+            yield pa.RecordBatch.from_arrays([names, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got).view(np.int32)))], names=[id_col, "ids"])
 
     return docs.selectExpr(f"`{id_col}`", f"`{text_col}` as __text").mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id and text in ascending order of ids over partitions and in them; nulls first, ties by a hash of the text."""
+    """``__id, __text`` in ascending order of ids over partitions and in them; nulls first, ties by a hash of the text."""
     keys = [F.col(id_col).asc_nulls_first(), F.col("__tie"), F.col("__place")]
     rows = docs.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(text_col)).alias("__tie"), F.monotonically_increasing_id().alias("__place"))
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(id_col, text_col)
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
 
 
 # Files
@@ -223,30 +226,26 @@ class _Packer:
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, folder: str, length: int, rows: int, dtype: str):
-        self.folder, self.length, self.rows, self.dtype = folder, length, rows, np.dtype(dtype)
+    def __init__(self, folder: str, length: int, rows: int, dtype: str, model_path: str, end_id: int):
+        self.folder, self.length, self.rows, self.dtype, self.end_id = folder, length, rows, np.dtype(dtype), end_id
+        with open(model_path, encoding="utf-8") as f:  # on the driver
+            self.model = f.read()
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         partition = TaskContext.get().partitionId()
         name = f"part-{partition:06d}-{uuid.uuid4().hex}.arrow"
-        packer = index = names = None
+        packer = index = names = out = beside = None
         documents = 0
-        out = beside = None
-        for batch in iterator:
-            if not batch.num_rows:
-                continue
+        for keys, got in _encoded_rows(iterator, self.model, self.end_id):
             if packer is None:
                 out, beside = files.create(f"{self.folder}/{name}"), files.create(f"{self.folder}/{name}.docs")
                 packer = _Packer(out, self.length, self.rows, self.dtype)
-                names = pa.schema([("id", batch.schema.field(0).type), ("tokens", pa.int64())])
+                names = pa.schema([("id", keys.type), ("tokens", pa.int64())])
                 index = pa.ipc.new_file(beside, names)
-            lists = batch.column(1)
-            ends = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy(zero_copy_only=False).view(np.uint32)
-            for a, b in zip(ends.tolist(), ends[1:].tolist()):
-                packer.add(flat[a:b])
-            index.write_batch(pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64))], schema=names))
-            documents += batch.num_rows
+            for ids in got:
+                packer.add(ids)
+            index.write_batch(pa.RecordBatch.from_arrays([keys, pa.array([len(g) for g in got], pa.int64())], schema=names))
+            documents += len(got)
         if packer is None:
             return _Written(partition, None, 0, 0, 0)
         packer.close()
@@ -344,7 +343,7 @@ class _Reader(DataSourceReader):
 
 
 class TokenSequences(DataSource):
-    """``spark.read.format("token_sequences")``; option ``view`` is ``sequences`` (``sequence, ids, mask``) or ``documents`` (``id, start, ids``, little-endian 32-bit)."""
+    """``spark.read.format("token_sequences")`` and its writer of ``__id, __text``; option ``view`` is ``sequences`` (``sequence, ids, mask``) or ``documents`` (``id, start, ids``, little-endian 32-bit)."""
 
     @classmethod
     def name(cls) -> str:
@@ -362,7 +361,8 @@ class TokenSequences(DataSource):
         return _Reader(self.options["path"].rstrip("/"), self._view())
 
     def writer(self, schema, overwrite: bool) -> _Writer:
-        return _Writer(self.options["path"].rstrip("/"), int(self.options.get("length", 2048)), int(self.options.get("rows", 64)), self.options.get("dtype", "uint32"))
+        told = self.options
+        return _Writer(told["path"].rstrip("/"), int(told.get("length", 2048)), int(told.get("rows", 64)), told.get("dtype", "uint32"), told.get("model", VOCABULARY), int(told.get("end", END_ID)))
 
 
 def write_sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", model_path: str = VOCABULARY, end_id: int = END_ID, length: int = 2048, rows: int = 64) -> None:
@@ -374,9 +374,8 @@ def write_sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     from tokenizers import Tokenizer
 
     top = max(Tokenizer.from_file(model_path).get_vocab_size(with_added_tokens=True) - 1, end_id)
-    ordered = encoded(in_order(docs, id_col, text_col), id_col, text_col, model_path, end_id)
-    wanted = {"length": length, "rows": rows, "dtype": np.min_scalar_type(top).name}
-    ordered.write.format("token_sequences").options(**wanted).mode("append").save(files.qualified(spark, path))
+    wanted = {"length": length, "rows": rows, "dtype": np.min_scalar_type(top).name, "model": model_path, "end": end_id}
+    in_order(docs, id_col, text_col).write.format("token_sequences").options(**wanted).mode("append").save(files.qualified(spark, path))
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
