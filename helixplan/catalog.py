@@ -12,7 +12,7 @@ from helixplan.functions import seq as S
 from helixplan.operators import graph as G, kmers as K, resolve as R, sinks, stats, walk as W
 from helixplan.params import AssemblyParams
 from helixplan.plans.runtime import Scratch, file_stamp
-from helixplan.sources import readers
+from helixplan.sources import packed, readers
 from helixplan.sources.adapters import document_pairs
 
 #: Long edges and many components at 21; many repeated k-mers at 11. The cutoff suits the test tables' low coverage.
@@ -410,12 +410,20 @@ def fastq_mates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register
 def packed_pairs_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pairs of a document as one content, unpacked again; ``place`` counts them."""
-    packed = sinks.packed_pairs(_pairs(spark, sf_dir)).select(F.shiftright("pair_id", 32).cast("string").alias("path"), F.struct("pair_id", F.hex("record").alias("r")).alias("e"))
-    files = packed.groupBy("path").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["r"]), "")).alias("content"))
+    records = sinks.packed_pairs(_pairs(spark, sf_dir)).select(F.shiftright("pair_id", 32).cast("string").alias("path"), F.struct("pair_id", F.hex("record").alias("r")).alias("e"))
+    files = records.groupBy("path").agg(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda x: x["r"]), "")).alias("content"))
     rows = readers.unpack_pairs(files, Scratch(spark, "packed"))
     return rows.select("path", F.expr(f"pair_id & {(1 << readers.FILE_BITS) - 1}").alias("place"), "mate1", "mate2")
 
 
+@_register
+def packed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs written to packed files with an index and read back by several tasks a file; ``place`` counts them over all files."""
+    path = Scratch(spark, "packed-files").folder()
+    packed.write_packed(_pairs(spark, sf_dir), path, every=256)
+    return packed.read_packed(spark, path, split=4096).select(F.col("pair_id").alias("place"), "mate1", "mate2")
+
+
 @_register
 def pair_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "meta").folder()

@@ -213,6 +213,7 @@ hops(n, hop) AS (SELECT r, 0 FROM root UNION SELECT b, hop + 1 FROM hops JOIN ne
             f"SELECT header, {_mate('b1', 'q1')} AS mate1, {_mate('b2', 'q2')} AS mate2 FROM halves",
         ),
         "packed_pairs_read": _sql(f"{_seqs()}, {_pairs()}", "SELECT (pair_id // 4294967296)::BIGINT::VARCHAR AS path, row_number() OVER (PARTITION BY pair_id // 4294967296 ORDER BY pair_id) - 1 AS place, mate1, mate2 FROM pairs"),
+        "packed_files": _sql(f"{_seqs()}, {_pairs()}", "SELECT row_number() OVER (ORDER BY pair_id) - 1 AS place, mate1, mate2 FROM pairs"),
         "pair_meta": _sql(f"{_seqs()}, {_pairs()}", "SELECT count(*) AS pairs, 200 AS insert_len, min(pair_id) AS first_id, max(pair_id) AS last_id FROM pairs"),
         "fasta_read": "SELECT upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark",
         "fasta_lines_read": _sql(_edges(k), "SELECT seq AS value FROM edges"),
