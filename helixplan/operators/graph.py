@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from helixplan.functions.keys import keys
 from helixplan.operators import kmers as K
 from helixplan.plans.components import connected_components
 from helixplan.plans.iterate import pointer_double
@@ -34,21 +35,23 @@ def build_graph(solid: DataFrame, k: int, scratch: Scratch) -> Graph:
 
     Isolated k-mers and cycles without a branch vanish.
     """
-    marked = scratch.keep(K.degrees(K.oriented(solid), k))
-    used = marked.where("in_deg > 0 or out_deg > 0").select("kmer", "terminal")
-    left = used.select(F.col("kmer").alias("a"), F.col("terminal").alias("ta"), F.substring("kmer", 2, k - 1).alias("o"))
-    right = used.select(F.col("kmer").alias("b"), F.col("terminal").alias("tb"), F.substring("kmer", 1, k - 1).alias("o"))
+    coded = keys(k)
+    marked = scratch.keep(K.key_degrees(K.oriented_keys(solid, k), k))
+    used = marked.where("in_deg > 0 or out_deg > 0").select("key", "terminal")
+    left = used.select(F.col("key").alias("a"), F.col("terminal").alias("ta"), coded.tail(F.col("key")).alias("o"))
+    right = used.select(F.col("key").alias("b"), F.col("terminal").alias("tb"), coded.head(F.col("key")).alias("o"))
     steps = scratch.keep(left.join(right, "o").drop("o"))
-    nodes = marked.where("terminal").select(F.col("kmer").alias("node_id"), "kmer")
+    nodes = marked.where("terminal").select(coded.decode(F.col("key")).alias("kmer")).select(F.col("kmer").alias("node_id"), "kmer")
     # An inner k-mer points to the one before it; the first of a path has none.
     inner = steps.where("not tb").select(F.col("b").alias("id"), F.when(~F.col("ta"), F.col("a")).alias("up"))
     placed = pointer_double(inner, scratch)
-    path = placed.groupBy("root").agg(F.max(F.struct("dist", "id"))["id"].alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dist", F.right("id", F.lit(1)).alias("c")))), lambda x: x["c"]), "").alias("bases"))
+    path = placed.groupBy("root").agg(F.max(F.struct("dist", "id"))["id"].alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dist", coded.last(F.col("id")).alias("c")))), lambda x: x["c"]), "").alias("bases"))
     begin = steps.where("ta and not tb").select("a", F.col("b").alias("root"))
     finish = steps.where("tb and not ta").select(F.col("a").alias("last"), F.col("b").alias("dst"))
-    long = path.join(begin, "root").join(finish, "last").select(F.col("a").alias("src"), "dst", F.concat("bases", F.right("dst", F.lit(1))).alias("seq"))
-    short = steps.where("ta and tb").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.right("b", F.lit(1)).alias("seq"))
-    edges = long.unionByName(short).select(F.concat_ws(":", "src", F.left("seq", F.lit(1))).alias("edge_id"), "src", "dst", "seq")
+    long = path.join(begin, "root").join(finish, "last").select(F.col("a").alias("src"), "dst", F.concat("bases", coded.last(F.col("dst"))).alias("seq"))
+    short = steps.where("ta and tb").select(F.col("a").alias("src"), F.col("b").alias("dst"), coded.last(F.col("b")).alias("seq"))
+    found = long.unionByName(short).select(coded.decode(F.col("src")).alias("src"), coded.decode(F.col("dst")).alias("dst"), "seq")
+    edges = found.select(F.concat_ws(":", "src", F.left("seq", F.lit(1))).alias("edge_id"), "src", "dst", "seq")
     return Graph(nodes, edges, k).kept(scratch)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from helixplan.functions import seq as S
+from helixplan.functions.keys import keys
 
 
 def kmer_windows(seqs: DataFrame, k: int, seq_col: str = "seq", keep: tuple[str, ...] = (), with_pos: bool = False) -> DataFrame:
@@ -14,9 +15,14 @@ def kmer_windows(seqs: DataFrame, k: int, seq_col: str = "seq", keep: tuple[str,
     return seqs.select(*parts, F.posexplode(got).alias("pos", "kmer")) if with_pos else seqs.select(*parts, F.explode(got).alias("kmer"))
 
 
+def count_keys(seqs: DataFrame, k: int, seq_col: str = "seq") -> DataFrame:
+    """``(key, cnt)`` of canonical k-mers as ``keys(k)`` writes them; counts combine before the only shuffle, so a frequent k-mer is no hot key."""
+    return keys(k).canonical_windows(seqs, seq_col).groupBy("key").agg(F.count("*").alias("cnt"))
+
+
 def count_kmers(seqs: DataFrame, k: int, seq_col: str = "seq") -> DataFrame:
-    """``(kmer, cnt)`` of canonical k-mers; counts combine before the only shuffle, so a frequent k-mer is no hot key."""
-    return kmer_windows(seqs, k, seq_col).groupBy(S.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("cnt"))
+    """``(kmer, cnt)`` of canonical k-mers; what is shuffled are keys."""
+    return count_keys(seqs, k, seq_col).select(keys(k).decode(F.col("key")).alias("kmer"), "cnt")
 
 
 def solid_kmers(counts: DataFrame, min_count: int) -> DataFrame:
@@ -39,16 +45,29 @@ def oriented(solid: DataFrame) -> DataFrame:
     return solid.select(F.explode(F.array_distinct(F.array("kmer", S.revcomp(F.col("kmer"))))).alias("kmer"))
 
 
-def degrees(kmers: DataFrame, k: int) -> DataFrame:
-    """``(kmer, in_deg, out_deg, terminal)`` of distinct oriented k-mers by counts of shared (k-1)-overlaps."""
-    head, tail = F.substring("kmer", 1, k - 1), F.substring("kmer", 2, k - 1)
-    starts = kmers.groupBy(head.alias("overlap")).agg(F.count("*").alias("out_deg"))
-    ends = kmers.groupBy(tail.alias("overlap")).agg(F.count("*").alias("in_deg"))
-    met = kmers.withColumn("overlap", tail).join(starts, "overlap", "left").withColumn("overlap", head).join(ends, "overlap", "left")
+def oriented_keys(solid: DataFrame, k: int) -> DataFrame:
+    """``key`` of both strands of distinct canonical k-mers. No shuffle."""
+    coded = keys(k)
+    one = solid.select(coded.encode(F.col("kmer")).alias("key"))
+    return one.select(F.explode(F.array_distinct(F.array("key", coded.revcomp(F.col("key"))))).alias("key"))
+
+
+def key_degrees(found: DataFrame, k: int) -> DataFrame:
+    """``(key, in_deg, out_deg, terminal)`` of distinct oriented keys by counts of shared (k-1)-overlaps."""
+    coded = keys(k)
+    head, tail = coded.head(F.col("key")), coded.tail(F.col("key"))
+    starts = found.groupBy(head.alias("overlap")).agg(F.count("*").alias("out_deg"))
+    ends = found.groupBy(tail.alias("overlap")).agg(F.count("*").alias("in_deg"))
+    met = found.withColumn("overlap", tail).join(starts, "overlap", "left").withColumn("overlap", head).join(ends, "overlap", "left")
     ins, outs = F.coalesce("in_deg", F.lit(0)).cast("long"), F.coalesce("out_deg", F.lit(0)).cast("long")
-    found = met.select("kmer", ins.alias("in_deg"), outs.alias("out_deg"))
     odd = ((F.col("in_deg") != 1) | (F.col("out_deg") != 1)) & ((F.col("in_deg") != 0) | (F.col("out_deg") != 0))
-    return found.withColumn("terminal", odd)
+    return met.select("key", ins.alias("in_deg"), outs.alias("out_deg")).withColumn("terminal", odd)
+
+
+def degrees(kmers: DataFrame, k: int) -> DataFrame:
+    """``(kmer, in_deg, out_deg, terminal)`` of distinct oriented k-mers."""
+    coded = keys(k)
+    return key_degrees(kmers.select(coded.encode(F.col("kmer")).alias("key")), k).select(coded.decode(F.col("key")).alias("kmer"), "in_deg", "out_deg", "terminal")
 
 
 def successors(kmers: DataFrame, k: int) -> DataFrame:
