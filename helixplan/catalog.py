@@ -13,17 +13,18 @@ from helixplan.operators import graph as G, kmers as K, resolve as R, sinks, sta
 from helixplan.params import AssemblyParams
 from helixplan.plans.runtime import Scratch, file_stamp
 from helixplan.sources import packed, readers
+from helixplan.sources.kmer_store import KmerStore
 from helixplan.sources.adapters import document_pairs
 
 #: Long edges and many components at 21; many repeated k-mers at 11. The cutoff suits the test tables' low coverage.
 PARAMS = AssemblyParams(k=21, cutoff=5)
-SHORT_K, CONTIG_ABOVE, REACH, TAKE_FIRST = 11, 20, 60, 100 << 32
+SHORT_K, CONTIG_ABOVE, REACH, TAKE_FIRST, RESTORE_DEPTH = 11, 20, 60, 100 << 32, 4
 FLAGSHIP = "graph_nodes"
 
 T = TypeVar("T")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES = oracles.build(PARAMS.k, SHORT_K, PARAMS.cutoff, CONTIG_ABOVE, TAKE_FIRST)
+ORACLES = oracles.build(PARAMS.k, SHORT_K, PARAMS.cutoff, CONTIG_ABOVE, TAKE_FIRST, RESTORE_DEPTH)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -494,3 +495,46 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     S.register_sql(spark)
     text = "SELECT s.seq_id, w.pos, w.kmer, revcomp(w.kmer) AS back, canonical_kmer(w.kmer) AS least, valid_prefix(concat(w.kmer, 'N', w.kmer)) AS prefix FROM {seqs} s, LATERAL kmers(s.seq, {k}) w"
     return spark.sql(text, seqs=_seqs(spark, sf_dir), k=PARAMS.k)
+
+
+@_register
+def restored_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rare k-mers within four steps between solid ones."""
+    scratch = Scratch(spark, "restored")
+    return K.restore(scratch.keep(K.count_kmers(_seqs(spark, sf_dir), PARAMS.k)), PARAMS.min_count, PARAMS.k, RESTORE_DEPTH, scratch)
+
+
+@_register
+def fasta_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one FASTA text with lines of 60, read in splits and counted by windows over its lines."""
+    scratch = Scratch(spark, "fasta-kmers")
+    path = scratch.folder()
+    text = F.concat(F.lit(">"), F.coalesce(F.col("seq_id").cast("string"), F.lit("")), F.lit("\n"), F.regexp_replace("seq", "(.{60})", "$1\n"))
+    _seqs(spark, sf_dir).select(text.alias("value")).write.text(path)
+    return K.count_kmers(readers.read_fasta_chunks(spark, path, PARAMS.k, scratch, lines_each=512), PARAMS.k)
+
+
+def _two_halves(spark: SparkSession, sf_dir: str) -> tuple[KmerStore, DataFrame]:
+    """A store of the counts of every other document, and the counts of the rest as its delta."""
+    scratch = Scratch(spark, "store")
+    seqs = _seqs(spark, sf_dir)
+    first = F.coalesce(F.col("seq_id") % 2, F.lit(0)) == 0
+    return KmerStore(spark, scratch).create(K.count_kmers(seqs.where(first), SHORT_K)), K.count_kmers(seqs.where(~first), SHORT_K)
+
+
+@_register
+def store_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, delta = _two_halves(spark, sf_dir)
+    return store.merge(delta).rows()
+
+
+@_register
+def store_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, delta = _two_halves(spark, sf_dir)
+    return store.overwrite(delta).rows()
+
+
+@_register
+def store_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, delta = _two_halves(spark, sf_dir)
+    return store.insert(delta).rows()

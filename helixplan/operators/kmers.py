@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, functions as F
 
 from helixplan.functions import seq as S
 from helixplan.functions.keys import keys
+from helixplan.plans.runtime import Scratch
 
 
 def kmer_windows(seqs: DataFrame, k: int, seq_col: str = "seq", keep: tuple[str, ...] = (), with_pos: bool = False) -> DataFrame:
@@ -88,3 +91,30 @@ def conversion_counters(pairs: DataFrame, k: int) -> DataFrame:
     n = lambda c: F.greatest(F.length(c) - (k - 1), F.lit(0)).cast("long")
     short = (F.length("mate1") < k) | (F.length("mate2") < k)
     return pairs.agg(F.count("*").alias("pairs"), F.coalesce(F.sum(n("mate1") + n("mate2")), F.lit(0)).alias("kmers"), F.count_if(short).alias("short_pairs"))
+
+
+def restore(counts: DataFrame, min_count: int, k: int, depth: int, scratch: Scratch) -> DataFrame:
+    """``(kmer, cnt, steps)``: rare k-mers on a path of at most ``depth`` steps from a solid k-mer to a solid one through rare ones.
+
+    Layers of rare k-mers are found by semi-joins of (k-1)-overlaps, from the solid ones forward; a k-mer's way on is
+    its other strand's way there, so the layers serve both ends. ``steps`` is the least length of such a path.
+    """
+    coded = keys(k)
+    key = F.col("key")
+    both = scratch.keep(counts.select(F.explode(F.array_distinct(F.array(coded.encode(F.col("kmer")), coded.revcomp(coded.encode(F.col("kmer")))))).alias("key"), (F.col("cnt") >= min_count).alias("solid")))
+    rare = both.where("not solid").select("key")
+    fresh, layers = both.where("solid").select("key"), []
+    for far in range(1, depth):
+        behind = fresh.select(coded.tail(key).alias("o")).distinct()
+        met = rare.withColumn("o", coded.head(key)).join(behind, "o", "left_semi").select("key")
+        for layer in layers:
+            met = met.join(layer.select("key"), "key", "left_anti")
+        fresh = scratch.keep(met.withColumn("far", F.lit(far)))
+        if fresh.isEmpty():
+            break
+        layers.append(fresh)
+    ahead = functools.reduce(DataFrame.unionByName, layers) if layers else rare.where("false").withColumn("far", F.lit(0))
+    onward = ahead.select(coded.revcomp(key).alias("key"), F.col("far").alias("back"))
+    found = ahead.join(onward, "key").where(F.col("far") + F.col("back") <= depth)
+    lesser = found.groupBy(F.least(key, coded.revcomp(key)).alias("key")).agg(F.min(F.col("far") + F.col("back")).alias("steps"))
+    return lesser.select(coded.decode(key).alias("kmer"), "steps").join(counts, "kmer").select("kmer", "cnt", "steps")

@@ -17,6 +17,12 @@ solid AS (SELECT kmer, cnt FROM counts WHERE cnt >= {least}),
 oriented AS MATERIALIZED (SELECT kmer FROM solid UNION SELECT {RC.format("kmer")} FROM solid)"""
 
 
+def _halves(k: int) -> str:
+    return f"""{_seqs()},
+win AS (SELECT coalesce(seq_id % 2, 0) AS half, unnest(list_transform(range(1, length(seq) - {k} + 2), lambda i: substr(seq, i, {k}))) AS kmer FROM seqs WHERE length(seq) >= {k}),
+halves AS (SELECT least(kmer, {RC.format("kmer")}) AS kmer, half, count(*) AS cnt FROM win GROUP BY 1, 2)"""
+
+
 def _degrees(k: int) -> str:
     return f"""{_solid(k)},
 outs AS (SELECT substr(kmer, 1, {k - 1}) AS o, count(*) AS n FROM oriented GROUP BY 1),
@@ -104,7 +110,7 @@ def _sql(head: str, tail: str) -> str:
     return f"WITH RECURSIVE {head}\n{tail}"
 
 
-def build(k: int, short_k: int, cutoff: int, contig_above: int, take_first: int) -> dict[str, str]:
+def build(k: int, short_k: int, cutoff: int, contig_above: int, take_first: int, restore_depth: int) -> dict[str, str]:
     rc = RC.format
     code = "(strpos('AGCT', substr({0}, i + {1}, 1)) - 1) * {2}".format
     record = lambda m: f"printf('%02X', length({m})) || list_aggregate(list_transform(range(1, length({m}) + 1, 4), lambda i: printf('%02X', {' + '.join(f'CASE WHEN i + {j} <= length({m}) THEN {code(m, j, 4**j)} ELSE 0 END' for j in range(4))})), 'string_agg', '')"
@@ -213,6 +219,19 @@ hops(n, hop) AS (SELECT r, 0 FROM root UNION SELECT b, hop + 1 FROM hops JOIN ne
             f"SELECT header, {_mate('b1', 'q1')} AS mate1, {_mate('b2', 'q2')} AS mate2 FROM halves",
         ),
         "packed_pairs_read": _sql(f"{_seqs()}, {_pairs()}", "SELECT (pair_id // 4294967296)::BIGINT::VARCHAR AS path, row_number() OVER (PARTITION BY pair_id // 4294967296 ORDER BY pair_id) - 1 AS place, mate1, mate2 FROM pairs"),
+        "restored_kmers": _sql(
+            f"""{_solid(k)},
+rare AS MATERIALIZED (SELECT kmer FROM counts WHERE cnt < 3 UNION SELECT {rc('kmer')} FROM counts WHERE cnt < 3),
+ahead(kmer, far) AS (SELECT r.kmer, 1 FROM rare r JOIN oriented s ON left(r.kmer, {k - 1}) = right(s.kmer, {k - 1})
+  UNION SELECT r.kmer, far + 1 FROM ahead a JOIN rare r ON left(r.kmer, {k - 1}) = right(a.kmer, {k - 1}) WHERE far + 1 < {restore_depth}),
+least_far AS (SELECT kmer, min(far) AS far FROM ahead GROUP BY 1),
+ways AS (SELECT least(a.kmer, b.kmer) AS kmer, min(a.far + b.far) AS steps FROM least_far a JOIN least_far b ON b.kmer = {rc('a.kmer')} WHERE a.far + b.far <= {restore_depth} GROUP BY 1)""",
+            "SELECT kmer, cnt, steps FROM ways JOIN counts USING (kmer)",
+        ),
+        "fasta_kmers": _sql(_solid(k), "SELECT kmer, cnt FROM counts"),
+        "store_merge": _sql(_solid(short_k), "SELECT kmer, cnt FROM counts"),
+        "store_overwrite": _sql(_halves(short_k), "SELECT coalesce(b.kmer, a.kmer) AS kmer, coalesce(b.cnt, a.cnt) AS cnt FROM (FROM halves WHERE half = 0) a FULL JOIN (FROM halves WHERE half = 1) b ON a.kmer = b.kmer"),
+        "store_insert": _sql(_halves(short_k), "SELECT kmer, cnt FROM halves"),
         "packed_files": _sql(f"{_seqs()}, {_pairs()}", "SELECT row_number() OVER (ORDER BY pair_id) - 1 AS place, mate1, mate2 FROM pairs"),
         "pair_meta": _sql(f"{_seqs()}, {_pairs()}", "SELECT count(*) AS pairs, 200 AS insert_len, min(pair_id) AS first_id, max(pair_id) AS last_id FROM pairs"),
         "fasta_read": "SELECT upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark",

@@ -121,6 +121,27 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", F.when((F.col("seq") == "") | S.is_valid(F.col("seq")), F.col("seq")).otherwise(F.raise_error(F.concat(F.lit("not a sequence of A, C, G and T: "), "path"))).alias("seq"))
 
 
+def read_fasta_chunks(spark: SparkSession, path: str, k: int, scratch: Scratch, lines_each: int = 4096) -> DataFrame:
+    """``file_no, chunk, seq``: stretches of the records of FASTA files whose windows of ``k`` are those of the records, each once.
+
+    Files are read in splits and their numbered lines meet in chunks of ``lines_each``. A chunk begins with the
+    last k-1 bases of its record that lie before it, over as many chunks as it takes; each chunk that has lines adds
+    a base or a header, so the k-1 chunks before it are enough. Sequences are joined inside chunks only, so a record has
+    no bound.
+    """
+    lines = numbered_lines(spark, path, scratch).where("value <> ''").withColumn("chunk", F.floor(F.col("line_no") / lines_each))
+    # A header stands for a border between records.
+    told = F.when(F.col("value").startswith(">"), F.lit(">")).otherwise(F.regexp_replace("value", r"\s", ""))
+    chunks = lines.select("file_no", "chunk", F.struct("line_no", told.alias("t")).alias("l")).groupBy("file_no", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["t"]), "").alias("text"))
+    last = lambda c: F.right(F.regexp_extract(c, "[^>]*$", 0), F.lit(k - 1))
+    ends = scratch.keep(chunks.withColumn("end", F.concat(F.when(F.contains("text", F.lit(">")), F.lit(">")).otherwise(F.lit("")), last(F.col("text")))))
+    # A row a chunk, without its text.
+    before = Window.partitionBy("file_no").orderBy("chunk").rowsBetween(1 - k, -1) if k > 1 else None
+    carried = last(F.array_join(F.collect_list("end").over(before), "")) if before is not None else F.lit("")
+    carry = ends.select("file_no", "chunk", "end").select("file_no", "chunk", carried.alias("carry"))
+    return ends.join(carry, ["file_no", "chunk"]).select("file_no", "chunk", F.explode(F.split(F.concat("carry", "text"), ">")).alias("seq"))
+
+
 def read_fasta_lines(spark: SparkSession, path: str) -> DataFrame:
     """``value``: every line that is no header."""
     return spark.read.text(path).where(~F.col("value").startswith(">"))
