@@ -72,7 +72,7 @@ def _placed(docs: DataFrame, weights: Column, id_col: str, text_col: str, source
     upto = F.sum("__cell").over(Window.partitionBy("__s").orderBy("__b"))
     cut = cells.withColumn("__upto", upto).withColumnRenamed("__s", "__c").join(plan, F.col("__c").eqNullSafe(F.col("__s"))).drop("__c")
     cut = cut.withColumn("__before", F.col("__upto") - F.col("__cell")).select(
-        F.col("__s").alias("__c"), F.col("__b").alias("__k"), "source_size", "target", "__whole", "__rest", "__before", F.when(F.col("__upto") <= F.col("__rest"), 1).when(F.col("__before") >= F.col("__rest"), -1).otherwise(0).alias("__side")
+        F.col("__s").alias("__c"), F.col("__b").alias("__k"), "source_size", "target", "__whole", "__rest", "__before", F.when(F.col("__rest") <= 0, -1).when(F.col("__upto") <= F.col("__rest"), 1).when(F.col("__before") >= F.col("__rest"), -1).otherwise(0).alias("__side")
     )
     return rows, scratch.keep(cut)
 

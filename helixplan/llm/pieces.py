@@ -13,8 +13,8 @@ Decoding is exact for every text: a space mark that stands in the text itself, a
 vocabulary lacks, are spelled in byte pieces. The one space that encoding puts before a text is taken off.
 
 Edge cases: a null text gives no ids and decodes to the empty text; the empty text gives no ids; repeated
-rows and ties of id are encoded each by itself, alike if id and text are alike (with ``copies`` the rows of a
-task that are alike are numbered and the number joins the key); a null id counts as the empty text; a text of
+rows and ties of id are encoded each by itself, alike if id and text are alike (with ``copies`` rows that are
+alike are numbered and the number joins the key); a null id counts as the empty text; a text of
 any length is cut whole, with about 100 bytes of memory for each of its words; further columns are not touched,
 whatever their names.
 """
@@ -24,18 +24,20 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from helixplan.llm.common import slices
+from helixplan.plans.runtime import Scratch
 
 MARK = "▁"
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: Numbers of copies, two longs a row, that may be broadcast.
+BROADCAST_ROWS = 200_000
 #: Entries of a worker's table of cut words; reaching it only costs time.
 REMEMBERED = 250_000
 #: Characters of the rows that are cut in step; longer words are cut one by one.
@@ -376,23 +378,22 @@ def encode_documents(
 
     A map over the rows: no shuffle, memory of one slice of rows and the bounded table of cut words. The
     model (under 1 MB) goes with the task; the path is read on the driver. With ``copies`` rows alike in id and
-    text are numbered within a task, so that copies which lie together, as mixing leaves them, are cut apart.
+    text are numbered over the whole table and the number joins the key of the hash, so that each is cut by itself, the
+    same set of cuts however the table is split. Up to ``BROADCAST_ROWS`` numbers (counted) are broadcast; more
+    take a join that moves the texts once.
     """
     with open(model_path, "rb") as f:
         model = f.read()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, seen = Pieces(model, seed, dropout), Counter()
+        pieces = Pieces(model, seed, dropout)
         for part in slices(batches, "__text"):
             keys = part.column(0)
             texts = part.column(1).to_pylist()
             names = ["" if x is None else str(x) for x in keys.to_pylist()]
             if copies:
-                for k, row in enumerate([(n, hash(t)) for n, t in zip(names, texts)]):
-                    if seen[row]:
-                        names[k] += f"\x00{seen[row]}"
-                    seen[row] += 1
+                names = [f"{name}\x00{n}" if n else name for name, n in zip(names, part.column(2).to_pylist())]
             ids, ends = pieces.encode_many(texts, names)
             spelled = pieces.decode_bytes(ids) if check else b""
             ok, place = [], 0
@@ -405,7 +406,31 @@ def encode_documents(
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(ends)), lists, pa.array(ok, pa.bool_())], names=[id_col, "n_pieces", "ids", "lossless"])
 
-    return docs.selectExpr(f"`{id_col}`", f"`{text_col}` as __text").mapInArrow(run, f"`{id_col}` {kind}, n_pieces bigint, ids array<int>, lossless boolean")
+    rows = docs.selectExpr(f"`{id_col}` as __name", f"`{text_col}` as __text")
+    if copies:
+        scratch = Scratch(docs.sparkSession, "copies")
+        rows = rows.withColumn("__at", F.monotonically_increasing_id())
+        if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+            rows = scratch.keep(rows)  # only files are read in the same order again
+        numbers = copy_numbers(rows, scratch)
+        few = numbers.count() <= BROADCAST_ROWS
+        rows = rows.join(F.broadcast(numbers) if few else numbers, "__at", "left").select("__name", "__text", "__copy")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_pieces bigint, ids array<int>, lossless boolean")
+
+
+def copy_numbers(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``__at, __copy`` of all but the first of rows alike in ``__name`` and ``__text``, numbered over the whole table; ``__at`` names rows and, in its high bits, their partitions.
+
+    Rows are numbered in each partition and partitions by their sizes, so one text in a third of all rows meets
+    nowhere, and no text is shuffled.
+    """
+    slim = rows.select("__at", F.xxhash64("__name", "__text").alias("__key"), F.shiftright("__at", 33).alias("__part"))
+    sizes = slim.groupBy("__key", "__part").agg(F.count("*").alias("__n"))
+    by_key = Window.partitionBy("__key")
+    before = F.coalesce(F.sum("__n").over(by_key.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shared = sizes.select("__key", "__part", before.alias("__before"), F.sum("__n").over(by_key).alias("__all")).where("__all > 1").drop("__all")
+    within = F.row_number().over(Window.partitionBy("__key", "__part").orderBy("__at")) - 1
+    return scratch.keep(slim.withColumn("__within", within).join(shared, ["__key", "__part"]).select("__at", (F.col("__before") + F.col("__within")).alias("__copy")).where("__copy > 0"))
 
 
 def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

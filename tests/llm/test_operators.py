@@ -525,6 +525,73 @@ def test_pipeline_keeps_clean(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_sources_without_words_take_nothing(spark):
+    from helixplan.llm.mixing import cycle_weights, mix, mixed_documents
+
+    docs = spark.createDataFrame([(1, "", "a"), (2, None, "a"), (3, "some words here", "b")], "doc_id bigint, text string, source string")
+    taken = {r.doc_id: r.taken for r in mix(docs, cycle_weights()).collect()}
+    assert taken[1] == taken[2] == 0 and {r.doc_id for r in mixed_documents(docs, cycle_weights()).collect()} == {3}
+
+
+def test_toxicity_learns_long_texts_and_few_labels(spark):
+    from helixplan.llm.toxicity import score_documents, train
+
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(300)]
+    foul = lambda n: " ".join(x for _ in range(n) for x in (rng.choice(words), rng.choice(["nasty", "brute"]), rng.choice(["fool", "swine"])))
+    fair = lambda n: " ".join(rng.choice(words) for _ in range(3 * n))
+    long = [(i, foul(14000)) for i in range(12)] + [(100 + i, fair(30)) for i in range(60)]
+    assert min(len(t) for _, t in long[:12]) > 200_000
+    few = [(i, foul(40)) for i in range(5)] + [(100 + i, fair(40)) for i in range(5)]
+    for rows in (long, few):
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+        labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows], "doc_id bigint, toxic int")
+        model = train(docs, labels)
+        asked = spark.createDataFrame([(k, foul(20) if k < 5 else fair(20)) for k in range(10)], "doc_id bigint, text string")
+        scores = {r.doc_id: r.score for r in score_documents(asked, model).collect()}
+        assert min(scores[k] for k in range(5)) > max(scores[k] for k in range(5, 10))
+
+
+def test_html_boilerplate_longer_than_the_article():
+    from helixplan.llm.html_text import main_text
+
+    article = "<article><h1>Title</h1>" + "<p>This is the text of the article. It says something of worth.</p>" * 4 + "</article>"
+    want = main_text(article)
+    assert want.startswith("Title\n\nThis is") and want.count("worth") == 4
+    other = "<p>We say much else on this page. Please read it all and agree.</p>" * 28
+    for kind in ("sidebar", "cookie-notice", "discussion", "responses", "adslot", "related"):
+        assert main_text(f"<body>{article}<div class={kind}>{other}</div>") == want
+        assert main_text(f"<body><div class={kind}>{other}</div><main>{article}</main>") == want
+    assert main_text(f"<body><form action=x><div id=main>{article}</div><div class=sidebar>{other}</div></form>") == want
+    assert main_text(f"<body>{article}<form>{other}</form>") == want
+    assert main_text(f"<body><div class=cookie-notice>{other[:64]}</div>") == ""
+
+
+def test_html_block_texts_brute():
+    """Every text of a page of nested blocks without a hint of boilerplate comes out, in page order."""
+    from helixplan.llm.html_text import blocks_of
+
+    rng = random.Random(4)
+
+    def page(depth):
+        out, told = [], []
+        for _ in range(rng.randint(1, 4)):
+            if depth and rng.random() < 0.5:
+                inner, texts = page(depth - 1)
+                tag = rng.choice(["div", "section", "article", "ul", "table"])
+                out.append(f"<{tag}>{inner}</{tag}>")
+                told += texts
+            else:
+                words = [f"w{rng.randrange(99)}" for _ in range(rng.randint(1, 6))]
+                out.append("<p>" + rng.choice([" ", "\n", " &nbsp; "[0:1]]).join(f"<b>{w}</b>" if rng.random() < 0.3 else w for w in words) + "</p><script>var x = '<p>no</p>';</script>")
+                told.append(" ".join(words))
+        return "".join(out), told
+
+    for _ in range(200):
+        text, told = page(4)
+        assert [b.text for b in blocks_of(text)] == told
+
+
 def test_toxicity_scores_like_a_plain_model(spark):
     import math
     from collections import defaultdict
@@ -684,6 +751,15 @@ def test_pieces_draw_dropout_for_every_occurrence(spark, tmp_path):
     docs = spark.createDataFrame([(1, LOREM * 5)] * 3 + [(2, LOREM * 5)], "doc_id bigint, text string").coalesce(1)
     assert len({tuple(r.ids) for r in cut_pieces(spark, docs, str(tmp_path)).collect()}) == 4
     assert len({tuple(r.ids) for r in encode_documents(docs).collect()}) == 2
+    # Copies in many partitions or files are cut apart too, the same set of cuts however they lie.
+    six = spark.createDataFrame([(1, LOREM * 5)] * 6 + [(None, None), (None, None)], "doc_id bigint, text string")
+    cuts = []
+    for n in (6, 1):
+        six.repartition(n).write.parquet(f"{tmp_path}/six{n}")
+        for rows in (spark.read.parquet(f"{tmp_path}/six{n}"), six.repartition(n)):
+            cuts.append(sorted(r.ids for r in cut_pieces(spark, rows, str(tmp_path)).collect()))
+            assert len({tuple(i) for i in cuts[-1]}) == 7
+    assert all(c == cuts[0] for c in cuts)
 
 
 def test_language_learns_long_documents_and_every_language(spark):
