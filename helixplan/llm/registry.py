@@ -25,4 +25,5 @@ ORACLES = {
     "op4_url_filter": url_filter.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
+    "op12_resample": resample.OP12_SQL,
 }

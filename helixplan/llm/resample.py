@@ -187,3 +187,23 @@ def resample(
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = r"""
+WITH crc AS (SELECT list(e ORDER BY b) AS tab FROM (SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) AS e FROM range(256) AS t(b))),
+d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+met AS (SELECT n, unnest(words) AS w FROM d UNION ALL SELECT -1, unnest(words) FROM b),
+spelled AS (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM met)),
+bytes AS (SELECT w, list_transform(range(1, length(h) + 1, 2), lambda i: ((strpos('0123456789ABCDEF', substr(h, i, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, i + 1, 1)) - 1)::BIGINT) AS l FROM spelled),
+hashed AS (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, l), lambda c, x: xor(c >> 8, tab[(xor(c, x) % 256) + 1])), 4294967295::BIGINT) % 10000 AS bucket FROM bytes, crc),
+counts AS (SELECT bucket, count(*) FILTER (n >= 0) AS s, count(*) FILTER (n < 0) AS t FROM met JOIN hashed USING (w) GROUP BY 1),
+sums AS (SELECT sum(s)::DOUBLE AS all_s, sum(t)::DOUBLE AS all_t FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1.0::DOUBLE) * (all_s + 10000) / ((s + 1.0::DOUBLE) * (all_t + 10000))))::BIGINT AS gain FROM counts, sums),
+weights AS (SELECT n, sum(gain)::BIGINT AS weight FROM met JOIN hashed USING (w) JOIN gains USING (bucket) WHERE n >= 0 GROUP BY 1),
+noise AS (SELECT n, doc_id, len(words) AS n_features, substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8) AS h FROM d),
+scored AS (SELECT n, doc_id, n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((list_sum(list_transform(range(1, 9), lambda i: (strpos('0123456789abcdef', substr(h, i, 1)) - 1)::BIGINT << (4 * (8 - i)))) + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score FROM noise LEFT JOIN weights USING (n)),
+ranked AS (SELECT n, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () * 10 // 100 AS drawn FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN ranked USING (n)
+"""
