@@ -45,10 +45,10 @@ _SHARED: dict[tuple, tuple[Scratch, object]] = {}
 def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[Scratch], T]) -> T:
     """What ``make`` builds out of the documents, as tables that later queries of the session read.
 
-    They are built anew for another input or session, and if they were cleared. An input counts as the same
+    They are built anew for another input or application, and if they were cleared. An input counts as the same
     while its folder, bytes, number of files and time of change are.
     """
-    key = (id(spark), name, sf_dir, *file_stamp(spark, f"{sf_dir}/documents.parquet"))
+    key = (spark.sparkContext.applicationId, name, sf_dir, *file_stamp(spark, f"{sf_dir}/documents.parquet"))
     if key not in _SHARED or not _SHARED[key][0].exists():
         scratch = Scratch(spark, name)
         _SHARED[key] = scratch, make(scratch)
@@ -538,3 +538,20 @@ def store_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     store, delta = _two_halves(spark, sf_dir)
     return store.insert(delta).rows()
+
+
+@_on_graph
+def broken_graph(g: G.Graph, scratch: Scratch) -> DataFrame:
+    """The faults of a graph broken on purpose: nodes without out-edges are gone, edges of two bases or more end in another base."""
+    ends = g.edges.select(F.col("src").alias("node_id")).distinct()
+    base = F.when(F.length("seq") >= 2, F.concat(F.expr("left(seq, length(seq) - 1)"), S.complement(F.right("seq", F.lit(1))))).otherwise(F.col("seq"))
+    return G.broken_edges(G.Graph(g.nodes.join(ends, "node_id", "left_semi"), g.edges.withColumn("seq", base), g.k))
+
+
+@_register
+def loaded_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra by parameters of a file that is written and read back: the k-mer length and least support are those of the file."""
+    path = Scratch(spark, "params").folder()
+    spark.createDataFrame([('{"k": 13, "min_count": 2}',)], "value string").coalesce(1).write.text(path)
+    p = AssemblyParams.load(spark, path)
+    return K.spectrum(K.solid_kmers(K.count_kmers(_seqs(spark, sf_dir), p.k), p.min_count))

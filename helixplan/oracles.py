@@ -228,6 +228,12 @@ least_far AS (SELECT kmer, min(far) AS far FROM ahead GROUP BY 1),
 ways AS (SELECT least(a.kmer, b.kmer) AS kmer, min(a.far + b.far) AS steps FROM least_far a JOIN least_far b ON b.kmer = {rc('a.kmer')} WHERE a.far + b.far <= {restore_depth} GROUP BY 1)""",
             "SELECT kmer, cnt, steps FROM ways JOIN counts USING (kmer)",
         ),
+        "broken_graph": _sql(
+            f"""{_edges(k)}, bad AS (SELECT edge_id, src, dst, CASE WHEN length(seq) >= 2 THEN left(seq, length(seq) - 1) || translate(right(seq, 1), 'ACGT', 'TGCA') ELSE seq END AS seq FROM edges),
+kept AS (SELECT DISTINCT src AS n FROM edges)""",
+            f"SELECT edge_id, 'end without node' AS fault FROM bad WHERE dst NOT IN (FROM kept) UNION ALL SELECT edge_id, 'wrong end' FROM bad WHERE dst IN (FROM kept) AND right(src || seq, {k}) <> dst",
+        ),
+        "loaded_params": _sql(_solid(13, 2), "SELECT cnt, count(*) AS kmers FROM solid GROUP BY 1"),
         "fasta_kmers": _sql(_solid(k), "SELECT kmer, cnt FROM counts"),
         "store_merge": _sql(_solid(short_k), "SELECT kmer, cnt FROM counts"),
         "store_overwrite": _sql(_halves(short_k), "SELECT coalesce(b.kmer, a.kmer) AS kmer, coalesce(b.cnt, a.cnt) AS cnt FROM (FROM halves WHERE half = 0) a FULL JOIN (FROM halves WHERE half = 1) b ON a.kmer = b.kmer"),

@@ -7,9 +7,9 @@ import os
 import pytest
 
 import __spark_entry__ as entry_points
+from helixplan.catalog import ORACLES
 
 DATA = "/root/testdata/sf0.001"
-ORACLES = entry_points.oracle_sql()
 
 
 def plain(v):
