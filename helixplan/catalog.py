@@ -555,3 +555,12 @@ def loaded_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.createDataFrame([('{"k": 13, "min_count": 2}',)], "value string").coalesce(1).write.text(path)
     p = AssemblyParams.load(spark, path)
     return K.spectrum(K.solid_kmers(K.count_kmers(_seqs(spark, sf_dir), p.k), p.min_count))
+
+
+@_register
+def counted_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversion counters that the tasks which write the pairs keep, beside the count that the metadata then hold."""
+    path = Scratch(spark, "counted").folder()
+    told = sinks.write_pairs(_pairs(spark, sf_dir), path, k=PARAMS.k)
+    _, meta = readers.read_pairs(spark, path)
+    return meta.select(F.col("count").alias("stored"), *[F.lit(told[c]).cast("long").alias(c) for c in ("pairs", "kmers", "short_pairs")])

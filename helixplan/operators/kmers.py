@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from helixplan.functions import seq as S
 from helixplan.functions.keys import keys
@@ -86,11 +86,16 @@ def lookup(asked: DataFrame, counts: DataFrame) -> DataFrame:
     return keys.join(counts.select(F.col("kmer").alias("__key"), "cnt"), "__key", "left").select("kmer", "cnt")
 
 
-def conversion_counters(pairs: DataFrame, k: int) -> DataFrame:
-    """Pairs, k-mer windows of both mates, and pairs with a mate shorter than ``k``."""
+def conversion_columns(k: int) -> list[Column]:
+    """Pairs, k-mer windows of both mates, and pairs with a mate shorter than ``k``, as aggregates."""
     n = lambda c: F.greatest(F.length(c) - (k - 1), F.lit(0)).cast("long")
     short = (F.length("mate1") < k) | (F.length("mate2") < k)
-    return pairs.agg(F.count("*").alias("pairs"), F.coalesce(F.sum(n("mate1") + n("mate2")), F.lit(0)).alias("kmers"), F.count_if(short).alias("short_pairs"))
+    return [F.count("*").alias("pairs"), F.coalesce(F.sum(n("mate1") + n("mate2")), F.lit(0)).alias("kmers"), F.count_if(short).alias("short_pairs")]
+
+
+def conversion_counters(pairs: DataFrame, k: int) -> DataFrame:
+    """One row of ``conversion_columns``."""
+    return pairs.agg(*conversion_columns(k))
 
 
 def restore(counts: DataFrame, min_count: int, k: int, depth: int, scratch: Scratch) -> DataFrame:

@@ -228,6 +228,7 @@ least_far AS (SELECT kmer, min(far) AS far FROM ahead GROUP BY 1),
 ways AS (SELECT least(a.kmer, b.kmer) AS kmer, min(a.far + b.far) AS steps FROM least_far a JOIN least_far b ON b.kmer = {rc('a.kmer')} WHERE a.far + b.far <= {restore_depth} GROUP BY 1)""",
             "SELECT kmer, cnt, steps FROM ways JOIN counts USING (kmer)",
         ),
+        "counted_write": _sql(f"{_seqs()}, {_pairs()}", f"SELECT count(*) AS stored, count(*) AS pairs, coalesce(sum(greatest(length(mate1) - {k - 1}, 0) + greatest(length(mate2) - {k - 1}, 0)), 0)::BIGINT AS kmers, count(*) FILTER (length(mate1) < {k} OR length(mate2) < {k}) AS short_pairs FROM pairs"),
         "broken_graph": _sql(
             f"""{_edges(k)}, bad AS (SELECT edge_id, src, dst, CASE WHEN length(seq) >= 2 THEN left(seq, length(seq) - 1) || translate(right(seq, 1), 'ACGT', 'TGCA') ELSE seq END AS seq FROM edges),
 kept AS (SELECT DISTINCT src AS n FROM edges)""",

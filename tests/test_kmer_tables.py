@@ -132,3 +132,22 @@ def test_fasta_over_lines_and_splits(spark, tmp_path, each, k):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", was)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_pairs_are_counted_as_they_are_written(spark, tmp_path):
+    from helixplan.operators import sinks
+
+    made = spark.sparkContext.accumulator(0)
+
+    def see(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    pairs = spark.createDataFrame([(k, "ACGT" * (k % 9), "GGTT" * 8) for k in range(50)], "pair_id bigint, mate1 string, mate2 string").mapInArrow(see, "pair_id bigint, mate1 string, mate2 string")
+    told = sinks.write_pairs(pairs, str(tmp_path), k=21)
+    assert made.value == 50  # one pass
+    assert told == {"pairs": 50, "kmers": sum(max(4 * (k % 9) - 20, 0) + 12 for k in range(50)), "short_pairs": sum(4 * (k % 9) < 21 for k in range(50))}
+    back, meta = readers.read_pairs(spark, str(tmp_path))
+    assert back.count() == 50 and tuple(meta.first()) == (50, 200)
+    assert sinks.write_pairs(pairs.limit(0), str(tmp_path / "none"))["pairs"] == 0
