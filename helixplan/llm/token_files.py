@@ -67,18 +67,40 @@ class WordEncoder:
         normal = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers", [])]
         self.by_words = split == [WORD_SPLIT] and normal == ["NFC", "Replace", "Lowercase"]
         self.added = [t["content"].lower().encode() for t in told.get("added_tokens", [])]
+        #: By id, whether a token ends a word.
+        self.closes = None
+        if (suffix := told["model"].get("end_of_word_suffix")) and self.by_words:
+            self.closes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
+            self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
         self.known: dict[bytes, int] = {}
         self.begin, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.flat = np.zeros(0, dtype=np.uint32)
 
     def _learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-        size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        flat = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(size.sum()))
+        """Encodes new words: those of ASCII small letters, which are neither normalised nor split, in one text, told apart by the tokens that end a word."""
+        size, at = np.zeros(len(words), dtype=np.int64), np.arange(len(words))
+        plain = np.fromiter((self.closes is not None and w.isalpha() and w.islower() for w in words), dtype=bool, count=len(words))
+        flat = [np.zeros(0, dtype=np.uint32)]
+        if plain.any():
+            ids = np.array(self._encoded([b" ".join([w for w, p in zip(words, plain) if p])])[0], dtype=np.uint32)
+            each = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+            if len(each) != plain.sum():
+                raise ValueError("words and their ends disagree")
+            size[plain] = each
+            flat.append(ids)
+        got = self._encoded([w for w, p in zip(words, plain) if not p])
+        size[~plain] = [len(g) for g in got]
+        flat.append(np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=sum(map(len, got))))
+        order = np.concatenate([at[plain], at[~plain]])
+        begin = np.empty(len(words), dtype=np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
         self.known.update(zip(words, range(len(self.size), len(self.size) + len(words))))
-        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+        self.begin = np.concatenate([self.begin, len(self.flat) + begin])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, flat])
+        self.flat = np.concatenate([self.flat, *flat])
+
+    def _encoded(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
 
     def _words(self, parts: list[bytes]) -> list[np.ndarray]:
         """Ids of each part. Words beyond ``REMEMBERED`` are forgotten again."""
