@@ -10,16 +10,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from helixplan.functions.keys import keys
+from helixplan.functions.keys import MOST, keys
 from helixplan.operators import kmers as K
-from helixplan.plans.components import connected_components
+from helixplan.plans.components import connected_components, contracted_components
 from helixplan.plans.iterate import pointer_double
 from helixplan.plans.runtime import Scratch
 
-
-
 @dataclass
 class Graph:
     nodes: DataFrame
@@ -31,7 +29,7 @@ class Graph:
 
 
 def build_graph(solid: DataFrame, k: int, scratch: Scratch) -> Graph:
-    """Compacted graph of solid canonical k-mers: branches and tips are nodes, unary paths between them edges.
+    """Compacted graph of solid canonical k-mers (``kmer``, or ``key`` as ``count_keys`` gives it): branches and tips are nodes, unary paths between them edges.
 
     Isolated k-mers and cycles without a branch vanish.
     """
@@ -136,8 +134,22 @@ def positions(g: Graph) -> DataFrame:
     return rows.select(F.expr(f"substr(w, dist + 1, {g.k})").alias("kmer"), F.lit("E").alias("kind"), "id", "dist").unionByName(g.nodes.select("kmer", F.lit("N").alias("kind"), F.col("node_id").alias("id"), F.lit(0).alias("dist")))
 
 
+def _plain(k: int) -> Column:
+    """Whether a node is named by a k-mer of ``k`` bases, its own."""
+    return F.coalesce((F.col("node_id") == F.col("kmer")) & F.col("kmer").rlike(f"^[ACGT]{{{k}}}$"), F.lit(False))
+
+
 def components(g: Graph, scratch: Scratch) -> DataFrame:
-    """``node_id, component``: the smallest node id that is weakly connected; a node without edges is its own."""
+    """``node_id, component``: the smallest node id that is weakly connected; a node without edges is its own.
+
+    Where every node is named by its k-mer, as in a fresh graph, ends are packed keys, which order like their texts.
+    """
+    if g.k <= MOST and g.nodes.where(~_plain(g.k)).isEmpty():
+        coded = keys(g.k)
+        ends = g.edges.select(coded.encode(F.col("src")).alias("a"), coded.encode(F.col("dst")).alias("b"))
+        found = contracted_components(scratch.keep(ends), "a", "b", scratch)
+        every = g.nodes.select(coded.encode(F.col("kmer")).alias("node")).join(found, "node", "left")
+        return every.select(coded.decode(F.col("node")).alias("node_id"), coded.decode(F.coalesce("component", "node")).alias("component"))
     found = connected_components(g.edges, "src", "dst", scratch).withColumnRenamed("node", "node_id")
     return g.nodes.select("node_id").join(found, "node_id", "left").withColumn("component", F.coalesce("component", "node_id"))
 

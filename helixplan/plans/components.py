@@ -1,4 +1,4 @@
-"""Connected components by alternating star contractions (GR7)."""
+"""Connected components: alternating star contractions of any ids (GR7), randomised contraction of numbers."""
 
 from __future__ import annotations
 
@@ -53,3 +53,51 @@ def connected_components(edges: DataFrame, src: str, dst: str, scratch: Scratch,
         raise RuntimeError("components did not settle")
     alone = nodes.select("a").unionByName(nodes.select(F.col("b").alias("a"))).distinct()
     return alone.join(now, "a", "left").select(F.col("a").alias("node"), F.coalesce("b", "a").alias("component"))
+
+
+def contracted_components(edges: DataFrame, src: str, dst: str, scratch: Scratch, max_rounds: int = 200) -> DataFrame:
+    """``(node, component)`` as ``connected_components`` gives them, for ends that are longs.
+
+    In a round every node takes the least name among its neighbours and itself, where names are ``xxhash64`` of a
+    round's number and a long: a different long for each long (every step of that hash can be undone), and in another
+    order each round. Nodes of the same name become one, edges within it vanish and equal edges become one, so the
+    tables shrink by a share each round and all rounds together move a small multiple of the input. Each name keeps
+    the least node behind it; once no edge is left, that node is handed back from round to round.
+    """
+    ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
+    now, rounds = ends.where("a <> b"), []
+    lows: DataFrame | None = None
+    for i in range(max_rounds):
+        name = lambda c: F.xxhash64(F.lit(i), F.col(c))  # noqa: B023, E731
+        near = _both(now).groupBy("a").agg(F.min(name("b")).alias("m"), F.count("*").alias("n"))
+        taken = scratch.keep(near.select("a", F.least("m", name("a")).alias("r"), "n"))
+        told = taken.agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
+        if not told["n"]:
+            break
+        known = taken.withColumn("low", F.col("a")) if lows is None else taken.join(lows, "a")
+        lows = scratch.keep(known.groupBy(F.col("r").alias("a")).agg(F.min("low").alias("low"), F.count("*").alias("n")))
+        rounds.append((taken, lows))
+        lows = lows.select("a", "low")
+        hot = hot_keys(_both(now), "a", told["n"], most=told["most"])
+        names = taken.select("a", "r")
+        first = dealt_join(now, names, "a", hot, F.col("b")).select(F.col("b").alias("a"), F.col("r").alias("x"))
+        both = dealt_join(first, names, "a", hot, F.col("x")).select("x", F.col("r").alias("y")).where("x <> y")
+        grown = scratch.keep(both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        if i:
+            scratch.drop(now)
+        now = grown
+    else:
+        raise RuntimeError("components did not settle")
+    # A name that met no more edges is a component of its own; the others ask the round behind.
+    done: DataFrame | None = None
+    for taken, low in reversed(rounds):
+        known = low.select(F.col("a").alias("r"), "low", "n")
+        if done is not None:
+            known = known.join(done.select(F.col("node").alias("r"), "component"), "r", "left").select("r", F.coalesce("component", "low").alias("low"), "n")
+        told = low.agg(F.max("n").alias("most"), F.sum("n").alias("n")).first()
+        hot = hot_keys(taken, "r", told["n"], most=told["most"])
+        done = scratch.keep(dealt_join(taken.select("a", "r"), known.select("r", "low"), "r", hot, F.col("a")).select(F.col("a").alias("node"), F.col("low").alias("component")))
+    loops = ends.where("a = b").select(F.col("a").alias("node")).distinct()
+    if done is None:
+        return loops.withColumn("component", F.col("node"))
+    return done.unionByName(loops.join(done.select("node"), "node", "left_anti").withColumn("component", F.col("node")))

@@ -51,3 +51,36 @@ def test_numbered_shuffles_once(spark, scratch):
     got = numbered(rows, [F.desc("x")], scratch)
     assert {r.x: r.n for r in got.collect()} == {x: 2000 - x for x in range(2000)}
     assert "row_number" not in got._jdf.queryExecution().executedPlan().toString()  # no second shuffle by partition
+
+
+@pytest.mark.parametrize("seed", [0])
+def test_contracted_components(spark, scratch, seed):
+    rng = random.Random(seed)
+    big = 1 << 62
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)]
+    edges += [(big, big + i) for i in range(1, 400)]  # a hub
+    edges += [(10_000 + i, 10_001 + i) for i in range(100)] + [(5_000, 5_000), (big, big)]  # a path and loops
+    rows = spark.createDataFrame([*edges, (None, 1), (7_777, None)], "a bigint, b bigint")
+    got = {r.node: r.component for r in C.contracted_components(rows, "a", "b", scratch).collect()}
+    assert got == least_nodes(edges)
+    assert C.contracted_components(rows.where("a = b"), "a", "b", scratch).count() == len({a for a, b in edges if a == b})
+    assert C.contracted_components(rows.where("false"), "a", "b", scratch).count() == 0
+
+
+def test_graph_components_on_keys_and_texts(spark, scratch, monkeypatch):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(6)]
+    rows = spark.createDataFrame([(i, a[:40] + b[20:]) for i, (a, b) in enumerate((a, b) for a in base[:3] for b in base[:3])] + [(99, base[5])], "seq_id int, seq string")
+    g = G.build_graph(K.solid_kmers(K.count_keys(rows, 9), 1), 9, scratch)
+    same = G.build_graph(K.solid_kmers(K.count_kmers(rows, 9), 1), 9, scratch)
+    assert sorted(map(tuple, g.edges.collect())) == sorted(map(tuple, same.edges.collect()))
+    want = least_nodes([(r.src, r.dst) for r in g.edges.collect()])
+    named = lambda found: {r.node_id: r.component for r in found.collect()}
+    calls = []
+    whole = C.contracted_components
+    monkeypatch.setattr(G, "contracted_components", lambda *a: calls.append(a[0].dtypes) or whole(*a))
+    assert named(G.components(g, scratch)) == want
+    assert calls == [[("a", "bigint"), ("b", "bigint")]]
+    # A node of another name than its k-mer: texts, as before.
+    assert named(G.components(G.with_node(g, "extra", "A" * 9), scratch)) == want | {"extra": "extra"}
+    assert len(calls) == 1
