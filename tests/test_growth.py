@@ -84,3 +84,25 @@ def test_graph_components_on_keys_and_texts(spark, scratch, monkeypatch):
     # A node of another name than its k-mer: texts, as before.
     assert named(G.components(G.with_node(g, "extra", "A" * 9), scratch)) == want | {"extra": "extra"}
     assert len(calls) == 1
+
+
+def test_pair_ends_as_keys(spark, scratch):
+    rng = random.Random(3)
+    text = "".join(rng.choice("ACGT") for _ in range(120))
+    rows = spark.createDataFrame([(0, text)], "seq_id int, seq string")
+    g = G.build_graph(K.solid_kmers(K.count_kmers(rows, 7), 1), 7, scratch)
+    cut = [(i, text[i : i + 12], rc(text[i + 30 : i + 42])) for i in range(60)] + [(99, "NNNNNNNNN", text[:9]), (98, "A", "C")]
+    pairs = spark.createDataFrame(cut, "pair_id bigint, mate1 string, mate2 string")
+    p = AssemblyParams(k=7)
+    got = W.pair_positions(pairs, g, p)
+    assert dict(W.pair_ends(pairs, p, packed=True).dtypes)["kmer1"] == "bigint"
+    where = G.positions(g).select("kmer", F.struct("kind", "id", "dist").alias("pos"))
+    ends = W.pair_ends(pairs, p)
+    want = ends.join(where.withColumnsRenamed({"kmer": "kmer1", "pos": "pos1"}), "kmer1").join(where.withColumnsRenamed({"kmer": "kmer2", "pos": "pos2"}), "kmer2")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select("pair_id", "orient", "pos1", "pos2").collect())) and got.count() > 50
+    odd = G.Graph(G.with_node(g, "x", "NNNNNNN").nodes, g.edges, g.k)
+    assert not G.packable(odd) and G.packable(g)
+
+
+def rc(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
