@@ -55,7 +55,11 @@ class TextKeys:
 
     def canonical_windows(self, seqs: DataFrame, seq_col: str = "seq") -> DataFrame:
         """``key``: the lesser strand of each window; windows with other letters than A, C, G and T give none."""
-        return seqs.select(F.explode(S.windows(F.col(seq_col), self.k)).alias("key")).where(S.is_valid(F.col("key"))).select(S.canonical(F.col("key")).alias("key"))
+        return self.plain_windows(seqs, seq_col).select(S.canonical(F.col("key")).alias("key"))
+
+    def plain_windows(self, seqs: DataFrame, seq_col: str = "seq") -> DataFrame:
+        """``key``: each window as it stands, without those with other letters."""
+        return seqs.select(F.explode(S.windows(F.col(seq_col), self.k)).alias("key")).where(S.is_valid(F.col("key")))
 
 
 class PackedKeys(TextKeys):
@@ -85,6 +89,12 @@ class PackedKeys(TextKeys):
         return F.shiftrightunsigned(x, 64 - 2 * self.k)
 
     def canonical_windows(self, seqs: DataFrame, seq_col: str = "seq") -> DataFrame:
+        return self._windows(seqs, seq_col, lesser=True)
+
+    def plain_windows(self, seqs: DataFrame, seq_col: str = "seq") -> DataFrame:
+        return self._windows(seqs, seq_col, lesser=False)
+
+    def _windows(self, seqs: DataFrame, seq_col: str, lesser: bool) -> DataFrame:
         k = self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +111,10 @@ class PackedKeys(TextKeys):
                         other = np.concatenate([[0], np.cumsum(codes < 0)])
                         inside &= other[k:] == other[: len(other) - k]
                         codes = np.maximum(codes, 0)
-                    both = np.minimum(rolled(codes, k), rolled(3 - codes[::-1], k)[::-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(both[inside])], names=["key"])
+                    found = rolled(codes, k)
+                    if lesser:
+                        found = np.minimum(found, rolled(3 - codes[::-1], k)[::-1])
+                    yield pa.RecordBatch.from_arrays([pa.array(found[inside])], names=["key"])
 
         return seqs.select(seq_col).mapInArrow(run, "key bigint")
 

@@ -38,9 +38,12 @@ def spectrum(counts: DataFrame) -> DataFrame:
 
 
 def distinct_kmers(seqs: DataFrame, k: int, seq_col: str = "seq", approximate: bool = False) -> DataFrame:
-    """Number of distinct k-mers as they stand, without regard to strand."""
-    w = kmer_windows(seqs, k, seq_col)
-    return w.agg(F.approx_count_distinct("kmer").alias("kmers")) if approximate else w.distinct().agg(F.count("*").alias("kmers"))
+    """Number of distinct k-mers as they stand, without regard to strand. Those of A, C, G and T are told apart as keys, others as texts."""
+    if approximate:
+        return kmer_windows(seqs, k, seq_col).agg(F.approx_count_distinct("kmer").alias("kmers"))
+    plain = keys(k).plain_windows(seqs, seq_col).distinct().select(F.lit(1).alias("one"))
+    odd = kmer_windows(seqs.where(~S.is_valid(F.col(seq_col))), k, seq_col).where(~S.is_valid(F.col("kmer"))).distinct().select(F.lit(1).alias("one"))
+    return plain.unionByName(odd).agg(F.count("*").alias("kmers"))
 
 
 def oriented(solid: DataFrame) -> DataFrame:

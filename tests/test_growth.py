@@ -106,3 +106,11 @@ def test_pair_ends_as_keys(spark, scratch):
 
 def rc(s):
     return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def test_distinct_kmers_as_keys(spark):
+    rows = spark.createDataFrame([(0, "ACGTACGTNNACGTT"), (1, "TTTTTT"), (2, None), (3, ""), (4, "acgtACGT")], "seq_id int, seq string")
+    for k in (3, 5, 33):
+        texts = {s[i : i + k] for s in ("ACGTACGTNNACGTT", "TTTTTT", "acgtACGT") for i in range(len(s) - k + 1)}
+        assert K.distinct_kmers(rows, k).collect()[0].kmers == len(texts)
+    assert "bigint" in dict(K.keys(5).plain_windows(rows).dtypes)["key"]
