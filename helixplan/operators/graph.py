@@ -18,6 +18,10 @@ from helixplan.plans.components import connected_components, contracted_componen
 from helixplan.plans.iterate import pointer_double
 from helixplan.plans.runtime import Scratch
 
+#: Distinct k-mers of a reference that may be broadcast.
+BROADCAST_KMERS = 200_000
+
+
 @dataclass
 class Graph:
     nodes: DataFrame
@@ -206,4 +210,8 @@ def missing_kmers(g: Graph, lines: DataFrame, line_col: str = "value") -> DataFr
     from helixplan.functions import seq as S
 
     asked = lines.where(~F.col(line_col).startswith(">")).select(F.explode(S.windows(F.col(line_col), g.k)).alias("kmer")).where(S.is_valid(F.col("kmer"))).distinct()
-    return asked.join(positions(g).select("kmer"), "kmer", "left_anti")
+    held = positions(g).select("kmer")
+    if asked.count() <= BROADCAST_KMERS:
+        # A short reference goes to the graph, whose k-mers then stay where they are.
+        held = F.broadcast(held.join(F.broadcast(asked), "kmer", "left_semi").distinct())
+    return asked.join(held, "kmer", "left_anti")

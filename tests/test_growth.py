@@ -34,25 +34,6 @@ def least_nodes(edges):
     return {x: root(x) for x in up}
 
 
-@pytest.mark.parametrize("few", [0, 1 << 20])
-def test_pointer_double_writes_open_rows_alone(spark, scratch, monkeypatch, few):
-    monkeypatch.setattr(iterate, "BROADCAST_ROWS", few)
-    links = [(i, None if i % 500 == 0 else i - 1) for i in range(500)]
-    links += [(1000 + i, None) for i in range(3000)] + [(9000, 9001), (9001, 9000)]
-    written, keep = [], scratch.keep
-    monkeypatch.setattr(scratch, "keep", lambda df: written.append(keep(df).count()) or keep(df))
-    got = {r.id: (r.root, r.dist) for r in pointer_double(spark.createDataFrame(links, "id bigint, up bigint"), scratch).collect()}
-    assert got == {i: (0, i) for i in range(500)} | {1000 + i: (1000 + i, 0) for i in range(3000)}
-    assert sum(written) < 3 * len(links)  # 10 rounds of all rows before
-
-
-def test_numbered_shuffles_once(spark, scratch):
-    rows = spark.range(2000).select((F.col("id") * 7919 % 2000).alias("x"))
-    got = numbered(rows, [F.desc("x")], scratch)
-    assert {r.x: r.n for r in got.collect()} == {x: 2000 - x for x in range(2000)}
-    assert "row_number" not in got._jdf.queryExecution().executedPlan().toString()  # no second shuffle by partition
-
-
 @pytest.mark.parametrize("seed", [0])
 def test_contracted_components(spark, scratch, seed):
     rng = random.Random(seed)
@@ -86,6 +67,25 @@ def test_graph_components_on_keys_and_texts(spark, scratch, monkeypatch):
     assert len(calls) == 1
 
 
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_pointer_double_writes_open_rows_alone(spark, scratch, monkeypatch, few):
+    monkeypatch.setattr(iterate, "BROADCAST_ROWS", few)
+    links = [(i, None if i % 500 == 0 else i - 1) for i in range(500)]
+    links += [(1000 + i, None) for i in range(3000)] + [(9000, 9001), (9001, 9000)]
+    written, keep = [], scratch.keep
+    monkeypatch.setattr(scratch, "keep", lambda df: written.append(keep(df).count()) or keep(df))
+    got = {r.id: (r.root, r.dist) for r in pointer_double(spark.createDataFrame(links, "id bigint, up bigint"), scratch).collect()}
+    assert got == {i: (0, i) for i in range(500)} | {1000 + i: (1000 + i, 0) for i in range(3000)}
+    assert sum(written) < 3 * len(links)  # 10 rounds of all rows before
+
+
+def test_numbered_shuffles_once(spark, scratch):
+    rows = spark.range(2000).select((F.col("id") * 7919 % 2000).alias("x"))
+    got = numbered(rows, [F.desc("x")], scratch)
+    assert {r.x: r.n for r in got.collect()} == {x: 2000 - x for x in range(2000)}
+    assert "row_number" not in got._jdf.queryExecution().executedPlan().toString()  # no second shuffle by partition
+
+
 def test_pair_ends_as_keys(spark, scratch):
     rng = random.Random(3)
     text = "".join(rng.choice("ACGT") for _ in range(120))
@@ -114,3 +114,14 @@ def test_distinct_kmers_as_keys(spark):
         texts = {s[i : i + k] for s in ("ACGTACGTNNACGTT", "TTTTTT", "acgtACGT") for i in range(len(s) - k + 1)}
         assert K.distinct_kmers(rows, k).collect()[0].kmers == len(texts)
     assert "bigint" in dict(K.keys(5).plain_windows(rows).dtypes)["key"]
+
+
+def test_short_reference_goes_to_the_graph(spark, scratch):
+    rows = spark.createDataFrame([(0, "ACGTTGCATTAGGACCA")], "seq_id int, seq string")
+    g = G.build_graph(K.solid_kmers(K.count_kmers(rows, 5), 1), 5, scratch)
+    lines = spark.createDataFrame([(">x",), ("ACGTTGCAAAAAN",)], "value string")
+    got = G.missing_kmers(g, lines)
+    held = {r.kmer for r in G.positions(g).collect()}
+    asked = {"ACGTTGCAAAAAN"[i : i + 5] for i in range(9)} - {"AAAAN"}
+    assert {r.kmer for r in got.collect()} == {x for x in asked if x not in held and "N" not in x}
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
