@@ -10,6 +10,10 @@ keys of five bits, under which all documents meet. A min-hash agrees with probab
 of six places a pair of similarity 0.8 has one that differs in at most one place with probability
 1 - (1 - 0.655)^9 = 0.9999, and more similar pairs with more.
 
+Beside it stands the index of SimHash itself: a set's fingerprint has the bits set in over half of its shingles' hashes, and
+``simhash.links`` finds fingerprints that differ in two bits at most by its own deletion variants. Sets of fingerprints
+so linked are candidates as well, and both kinds are verified alike on whole sets.
+
 The work is on distinct sets, so copies cost one entry. Sets that share a variant fall into one group, found by
 star contractions over one edge per set and variant; no table of pairs is made. In a group links are followed
 from set to set, and a set that was reached is not compared again, so a group of near copies costs about one
@@ -33,9 +37,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from helixplan.llm import simhash
 from helixplan.llm.common import slices
 from helixplan.plans.components import connected_components
 from helixplan.plans.runtime import Scratch
+from helixplan.plans.skew import dealt_join, hot_keys
 
 #: Keys, ids and group names of under 40 bytes each that may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -92,12 +98,20 @@ def variants(places: np.ndarray, segments: int) -> np.ndarray:
     return key.ravel()
 
 
+def set_print(shingles: np.ndarray) -> int:
+    """SimHash fingerprint of a set: the bits set in over half of its hashes, as a signed long."""
+    ones = np.zeros(simhash.BITS, dtype=np.int64)
+    for at in range(0, len(shingles), 1 << 16):
+        ones += np.unpackbits(shingles[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(shingles), bitorder="little").tobytes(), "little", signed=True)
+
+
 def _name(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, segments: int, width: int) -> DataFrame:
-    """``(id_col, __set, __keys)``: name of the document's set and its signature's variants."""
+    """``(id_col, __set, __fp, __keys)``: name of the document's set, its fingerprint and its signature's variants."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,9 +119,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, segments:
         for part in slices(batches, "__text"):
             sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
             keys = pa.array([variants(signature(s, by), segments).view(np.int64) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_name(s) for s in sets], pa.binary()), keys], names=[id_col, "__set", "__keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([_name(s) for s in sets], pa.binary()), pa.array([set_print(s) for s in sets], pa.int64()), keys], names=[id_col, "__set", "__fp", "__keys"])
 
-    return docs.selectExpr(f"`{id_col}`", f"`{text_col}` as __text").mapInArrow(run, f"`{id_col}` {kind}, __set binary, __keys array<bigint>")
+    return docs.selectExpr(f"`{id_col}`", f"`{text_col}` as __text").mapInArrow(run, f"`{id_col}` {kind}, __set binary, __fp bigint, __keys array<bigint>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -181,6 +195,17 @@ def links(sets: DataFrame, scratch: Scratch, least: float, crowd: int) -> DataFr
     return direct.unionByName(gathered.groupBy("__group").applyInArrow(run, "a binary, b binary"))
 
 
+def _print_edges(known: DataFrame, scratch: Scratch) -> DataFrame:
+    """``a, b``: sets (short names) tied by equal fingerprints or by ones that differ in two bits at most; each fingerprint goes by its least set."""
+    sets = scratch.keep(known.dropDuplicates(["__set"]).select(F.xxhash64("__set").alias("__at"), "__fp"))
+    prints = scratch.keep(sets.groupBy("__fp").agg(F.min("__at").alias("a")))
+    hot = hot_keys(sets, "__fp", sets.count())
+    same = dealt_join(sets, prints, "__fp", hot, F.col("__at")).where(F.col("__at") != F.col("a")).select("a", F.col("__at").alias("b"))
+    tied = scratch.keep(simhash.links(prints.select(F.col("__fp").alias("fp")), scratch).select(F.col("a").alias("x"), F.col("b").alias("y")))
+    end = lambda key, name: prints.select(F.col("__fp").alias(key), F.col("a").alias(name))
+    return same.unionByName(_few(tied).join(end("x", "a"), "x").join(end("y", "b"), "y").select("a", "b"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, segments: int = 9, width: int = 6, crowd: int = 256, scratch: Scratch | None = None) -> DataFrame:
     """``id_col, component_id`` of the rows of classes of several sets or rows: the smallest id reachable over links."""
     scratch = scratch or Scratch(docs.sparkSession, "near-copies")
@@ -190,7 +215,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the set; two sets that share one by chance meet as candidates and are verified like others.
     keys = known.dropDuplicates(["__set"]).select(F.xxhash64("__set").alias("__at"), F.explode("__keys").alias("__key"))
     met = scratch.keep(keys.groupBy("__key").agg(F.min("__at").alias("a"), F.count("*").alias("n")).where("n > 1").select("__key", "a"))
-    edges = scratch.keep(keys.join(_few(met), "__key").where(F.col("__at") != F.col("a")).select("a", F.col("__at").alias("b")).distinct())
+    edges = scratch.keep(keys.join(_few(met), "__key").where(F.col("__at") != F.col("a")).select("a", F.col("__at").alias("b")).unionByName(_print_edges(known, scratch)).distinct())
     groups = scratch.keep(connected_components(edges, "a", "b", scratch).select(F.col("node").alias("__at"), F.col("component").alias("__group")))
     # The rows with a set's least id bring its text.
     asked = _few(scratch.keep(groups.join(named, "__at").select(F.col("__low").alias("__k")).distinct()))
