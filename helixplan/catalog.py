@@ -501,7 +501,7 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def restored_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rare k-mers within four steps between solid ones."""
     scratch = Scratch(spark, "restored")
-    return K.restore(scratch.keep(K.count_kmers(_seqs(spark, sf_dir), PARAMS.k)), PARAMS.min_count, PARAMS.k, RESTORE_DEPTH, scratch)
+    return K.restore(scratch.keep(K.count_keys(_seqs(spark, sf_dir), PARAMS.k)), PARAMS.min_count, PARAMS.k, RESTORE_DEPTH, scratch)
 
 
 @_register

@@ -8,6 +8,7 @@ those w further on give width 2w, so k needs log2(k) passes over an array, and b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,10 @@ class TextKeys:
     def last(self, key: Column) -> Column:
         return F.right(key, F.lit(1))
 
+    def onward(self, key: Column) -> Column:
+        """The four keys that overlap this one's last k-1 bases with their first."""
+        return F.array(*[F.concat(self.tail(key), F.lit(base)) for base in ORDER])
+
     def revcomp(self, key: Column) -> Column:
         return S.revcomp(key)
 
@@ -71,7 +76,13 @@ class PackedKeys(TextKeys):
         return F.conv(F.translate(kmer, ORDER, "0123"), 4, 10).cast("long")
 
     def decode(self, key: Column) -> Column:
-        return F.translate(F.lpad(F.conv(key.cast("string"), 10, 4), self.k, "0"), "0123", ORDER)
+        # Four bases a look-up in a constant array of texts, which generated code indexes.
+        parts = []
+        for at in range(0, self.k, 4):
+            n = min(4, self.k - at)
+            texts = F.split(F.lit(",".join(map("".join, product(ORDER, repeat=n)))), ",")
+            parts.append(F.get(texts, F.shiftrightunsigned(key, 2 * at).bitwiseAND(F.lit(4**n - 1)).cast("int")))
+        return F.concat(*reversed(parts))
 
     def head(self, key: Column) -> Column:
         return F.shiftright(key, 2)
@@ -82,6 +93,9 @@ class PackedKeys(TextKeys):
     def last(self, key: Column) -> Column:
         return F.substring(F.lit(ORDER), key.bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1))
 
+    def onward(self, key: Column) -> Column:
+        return F.array(*[F.shiftleft(self.tail(key), 2).bitwiseOR(F.lit(code)) for code in range(4)])
+
     def revcomp(self, key: Column) -> Column:
         x = F.bitwise_not(key)
         for width, mask in HALVES:

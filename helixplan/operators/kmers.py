@@ -104,25 +104,41 @@ def conversion_counters(pairs: DataFrame, k: int) -> DataFrame:
 def restore(counts: DataFrame, min_count: int, k: int, depth: int, scratch: Scratch) -> DataFrame:
     """``(kmer, cnt, steps)``: rare k-mers on a path of at most ``depth`` steps from a solid k-mer to a solid one through rare ones.
 
-    Layers of rare k-mers are found by semi-joins of (k-1)-overlaps, from the solid ones forward; a k-mer's way on is
-    its other strand's way there, so the layers serve both ends. ``steps`` is the least length of such a path.
+    ``counts`` has ``kmer``, or ``key`` as ``count_keys`` gives it. ``far`` is a rare k-mer's least distance from the solid ones;
+    its way on is its other strand's way there, so ``far`` of both strands serves both ends. ``steps`` is the least length of such a path.
+    The first layer is a semi-join of (k-1)-overlaps, the only pass over both strands of all rare k-mers. A later one comes from
+    the layer before it, four bases on: up to the middle of the depth it is looked up among the rare ones, and
+    beyond it among the other strands of the layers that its way on may still lead through, so that it leaves no k-mer out that counts.
     """
     coded = keys(k)
     key = F.col("key")
-    both = scratch.keep(counts.select(F.explode(F.array_distinct(F.array(coded.encode(F.col("kmer")), coded.revcomp(coded.encode(F.col("kmer")))))).alias("key"), (F.col("cnt") >= min_count).alias("solid")))
-    rare = both.where("not solid").select("key")
-    fresh, layers = both.where("solid").select("key"), []
+    lesser = F.least(key, coded.revcomp(key))
+    if "key" not in counts.columns:
+        counts = scratch.keep(counts.select(coded.encode(F.col("kmer")).alias("key"), "cnt"))
+    rare = counts.where(F.col("cnt") < min_count)
+    strands = lambda rows: rows.select(F.explode(F.array_distinct(F.array("key", coded.revcomp(key)))).alias("key"), "cnt")
+    behind = strands(counts.where(F.col("cnt") >= min_count)).select(coded.tail(key).alias("o")).distinct()
+    layers: list[DataFrame] = []
     for far in range(1, depth):
-        behind = fresh.select(coded.tail(key).alias("o")).distinct()
-        met = rare.withColumn("o", coded.head(key)).join(behind, "o", "left_semi").select("key")
-        for layer in layers:
-            met = met.join(layer.select("key"), "key", "left_anti")
-        fresh = scratch.keep(met.withColumn("far", F.lit(far)))
-        if fresh.isEmpty():
+        if not layers:
+            every = strands(rare)
+            met = every.join(behind, coded.head(every["key"]) == behind["o"], "left_semi")
+        else:
+            met = layers[-1].select(F.explode(coded.onward(key)).alias("key")).distinct()
+            for layer in layers:
+                met = met.join(layer.select("key"), "key", "left_anti")
+            if far <= depth - far:
+                met = met.select("key", lesser.alias("one")).join(rare.select(key.alias("one"), "cnt"), "one").select("key", "cnt")
+            else:
+                # What is left of the depth is less than a layer on: the other strand is in a layer already known.
+                met = met.join(functools.reduce(DataFrame.unionByName, layers[: depth - far]).select(coded.revcomp(key).alias("key"), "cnt"), "key")
+        layers.append(scratch.keep(met.select("key", "cnt", F.lit(far).alias("far"))))
+        if layers[-1].isEmpty():
             break
-        layers.append(fresh)
-    ahead = functools.reduce(DataFrame.unionByName, layers) if layers else rare.where("false").withColumn("far", F.lit(0))
+    if not layers:
+        return rare.where("false").select(coded.decode(key).alias("kmer"), "cnt", F.lit(0).alias("steps"))
+    ahead = functools.reduce(DataFrame.unionByName, layers)
     onward = ahead.select(coded.revcomp(key).alias("key"), F.col("far").alias("back"))
     found = ahead.join(onward, "key").where(F.col("far") + F.col("back") <= depth)
-    lesser = found.groupBy(F.least(key, coded.revcomp(key)).alias("key")).agg(F.min(F.col("far") + F.col("back")).alias("steps"))
-    return lesser.select(coded.decode(key).alias("kmer"), "steps").join(counts, "kmer").select("kmer", "cnt", "steps")
+    steps = found.groupBy(lesser.alias("key")).agg(F.first("cnt").alias("cnt"), F.min(F.col("far") + F.col("back")).alias("steps"))
+    return steps.select(coded.decode(key).alias("kmer"), "cnt", "steps")
