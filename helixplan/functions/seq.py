@@ -118,7 +118,7 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     docs = docs.select(id_col, text_col)
     if docs.rdd.getNumPartitions() < cores:
         docs = docs.repartition(cores)
-    return docs.select(F.col(id_col).alias("seq_id"), F.upper(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[^ACGTacgt]", "")).alias("seq"))
+    return docs.select(F.col(id_col).alias("seq_id"), F.upper(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[^ACGTacgt]+", "")).alias("seq"))
 
 
 def _col(x) -> Column:

@@ -133,7 +133,7 @@ def read_fasta_chunks(spark: SparkSession, path: str, k: int, scratch: Scratch,
     # A header stands for a border between records.
     told = F.when(F.col("value").startswith(">"), F.lit(">")).otherwise(F.regexp_replace("value", r"\s", ""))
     chunks = lines.select("file_no", "chunk", F.struct("line_no", told.alias("t")).alias("l")).groupBy("file_no", "chunk").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda x: x["t"]), "").alias("text"))
-    last = lambda c: F.right(F.regexp_extract(c, "[^>]*$", 0), F.lit(k - 1))
+    last = lambda c: F.right(F.substring_index(c, ">", -1), F.lit(k - 1))
     ends = scratch.keep(chunks.withColumn("end", F.concat(F.when(F.contains("text", F.lit(">")), F.lit(">")).otherwise(F.lit("")), last(F.col("text")))))
     # A row a chunk, without its text.
     before = Window.partitionBy("file_no").orderBy("chunk").rowsBetween(1 - k, -1) if k > 1 else None

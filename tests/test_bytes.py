@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from helixplan.functions.keys import keys
 from helixplan.operators import kmers as K
 from helixplan.plans.runtime import Scratch
+from helixplan.sources import readers
 
 
 @pytest.fixture
@@ -49,3 +50,11 @@ def test_decode_is_a_look_up(spark):
         back = rows.select("t", keys(k).decode(F.col("key")).alias("b"))
         assert all(r.t == r.b for r in back.collect())
         assert "lpad" not in spark.range(9).select(keys(k).decode(F.col("id")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ends_of_fasta_chunks_need_no_pattern(spark, scratch, monkeypatch, tmp_path):
+    (tmp_path / "a.fa").write_text(">a\nACGT\nAC\n>b\n>c\nGGTT\nA\n")
+    plans, _ = kept_plans(scratch, monkeypatch)
+    got = K.count_kmers(readers.read_fasta_chunks(spark, str(tmp_path), 3, scratch, lines_each=2), 3)
+    assert {r.kmer: r.cnt for r in got.collect()} == {"AAC": 1, "ACC": 1, "ACG": 2, "GTA": 2, "TAA": 1}
+    assert plans and not any("regexp_extract" in p for p in plans)
