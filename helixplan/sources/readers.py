@@ -6,19 +6,22 @@ All of them go through Spark's readers, so any file system that Spark knows will
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from helixplan.functions import seq as S
 from helixplan.operators.graph import Graph
 from helixplan.plans.iterate import numbered
 from helixplan.plans.runtime import Scratch
+from helixplan.sources import packed
 
 #: Rows of files or splits that may be broadcast, and the bits of a pair's id below the number of its file.
 BROADCAST_ROWS = 100_000
 FILE_BITS = 40
+#: Unpacked pieces of packed files are given on when one has so many pairs, or when there are so many.
+GIVEN_ROWS, GIVEN_FILES = 10_000, 500
 
 
 def numbered_lines(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:
@@ -70,39 +73,38 @@ def mates(records: DataFrame, read_len: int = 36, quality_from: int | None = Non
     return records.select("pair_id", S.valid_prefix(b1, q1).alias("mate1"), S.valid_prefix(b2, q2).alias("mate2"))
 
 
-def _unpacked(data: bytes) -> Iterator[tuple[int, str, str]]:
-    four = ["".join(S.BASES[b >> 2 * i & 3] for i in range(4)) for b in range(256)]
-    at, pair = 0, 0
-    while at < len(data):
-        both = []
-        for _ in range(2):
-            n = data[at]
-            size = (n + 3) // 4
-            both.append("".join(map(four.__getitem__, data[at + 1 : at + 1 + size]))[:n])
-            at += 1 + size
-        yield pair, both[0], both[1]
-        pair += 1
-
-
 def unpack_pairs(files: DataFrame, scratch: Scratch) -> DataFrame:
     """``path, pair_id, mate1, mate2`` of packed ``(path, content)``: per mate a length byte and two bits a base.
 
     Ids are unique over files. The format has no marks to start from inside a file, so a file is read by one
-    task, 50,000 pairs at a time, and holds 2 GB at most; write large sets as many files.
+    task, a few megabytes at a time, and holds 2 GB at most; write large sets as many files. Files get their numbers before they
+    are unpacked, and small ones are given on together. ``files`` is read twice, so it should be a table.
     """
+    names = ["path", "file_no", "record", "mate1", "mate2"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch["path"], batch["content"]):
-                rows = _unpacked(bytes(data))
-                while part := list(islice(rows, 50_000)):
-                    out = pd.DataFrame(part, columns=["record", "mate1", "mate2"])
-                    out.insert(0, "path", name)
-                    yield out
-
-    names = scratch.keep(_numbered_files(files.select("path").distinct(), scratch))
-    rows = files.select("path", "content").mapInPandas(run, "path string, record bigint, mate1 string, mate2 string")
-    return rows.join(_small(names), "path").select("path", _pair_id("record").alias("pair_id"), "mate1", "mate2")
+            held: list[list[pa.Array]] = []
+            for path, no, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                content, at, record = np.frombuffer(data.as_buffer() or b"", dtype=np.uint8), 0, 0
+                while at < len(content):
+                    reads, used = packed.unpack(content[at : at + packed.PIECE_BYTES])
+                    if not used:
+                        raise ValueError(f"{path} ends inside a pair")
+                    rows = len(reads) // 2
+                    mates = [reads.take(pa.array(np.arange(k, 2 * rows, 2))).cast(pa.string()) for k in (0, 1)]
+                    held.append([pa.repeat(pa.scalar(path, pa.string()), rows), pa.array(np.full(rows, no)), pa.array(np.arange(record, record + rows)), *mates])
+                    at, record = at + used, record + rows
+                    if rows >= GIVEN_ROWS or len(held) >= GIVEN_FILES:
+                        yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], names=names)
+                        held = []
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*held)], names=names)
+
+    numbers = scratch.keep(_numbered_files(files.select("path").distinct(), scratch))
+    told = files.join(_small(numbers), "path").select("path", "file_no", "content")
+    rows = told.mapInArrow(run, "path string, file_no bigint, record bigint, mate1 string, mate2 string")
+    return rows.select("path", _pair_id("record").alias("pair_id"), "mate1", "mate2")
 
 
 def read_packed_pairs(spark: SparkSession, path: str, scratch: Scratch) -> DataFrame:

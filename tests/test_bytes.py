@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixplan.functions.keys import keys
-from helixplan.operators import kmers as K
+from helixplan.operators import kmers as K, sinks
 from helixplan.plans.runtime import Scratch
 from helixplan.sources import readers
 
@@ -58,3 +58,28 @@ def test_ends_of_fasta_chunks_need_no_pattern(spark, scratch, monkeypatch, tmp_p
     got = K.count_kmers(readers.read_fasta_chunks(spark, str(tmp_path), 3, scratch, lines_each=2), 3)
     assert {r.kmer: r.cnt for r in got.collect()} == {"AAC": 1, "ACC": 1, "ACG": 2, "GTA": 2, "TAA": 1}
     assert plans and not any("regexp_extract" in p for p in plans)
+
+
+def test_pairs_are_packed_in_batches(spark):
+    rows = [(1, "ACGT", "A"), (2, None, "C"), (3, "ANñT", ""), (4, "", ""), (5, "T" * 255, "G")]
+    packed = sinks.packed_pairs(spark.createDataFrame(rows, "pair_id bigint, mate1 string, mate2 string").repartition(2))
+    got = {r.pair_id: r.record and bytes(r.record).hex() for r in packed.collect()}
+    assert got == {1: "04d80100", 2: None, 3: "04c000", 4: "0000", 5: "ff" + "ff" * 63 + "3f" + "0101"}
+    assert "MapInArrow" in packed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unpacked_pairs_of_many_files(spark, scratch):
+    rng = random.Random(4)
+    some = [(f * 1000 + i, "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 7, 36]))), "ACG" * (i % 3)) for f in range(40) for i in range(f)]
+    records = sinks.packed_pairs(spark.createDataFrame(some, "pair_id bigint, mate1 string, mate2 string")).collect()
+    held = {}
+    for r in sorted(records):
+        held[f"{r.pair_id // 1000:03d}"] = held.get(f"{r.pair_id // 1000:03d}", b"") + bytes(r.record)
+    files = spark.createDataFrame([*held.items(), ("none", b"")], "path string, content binary")
+    got = readers.unpack_pairs(files, scratch).collect()
+    names = sorted([*held, "none"])
+    want = {(f"{i // 1000:03d}", (names.index(f"{i // 1000:03d}") << readers.FILE_BITS) + i % 1000, a, b) for i, a, b in some}
+    assert set(map(tuple, got)) == want and len(got) == len(some)
+    short = spark.createDataFrame([("cut", held["039"][:-1])], "path string, content binary")
+    with pytest.raises(Exception, match="ends inside a pair"):
+        readers.unpack_pairs(short, scratch).collect()
