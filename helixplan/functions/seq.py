@@ -98,12 +98,17 @@ def edge_label(seq: Column, limit: int = 50) -> Column:
 
 
 def register_sql(spark: SparkSession) -> None:
-    """The same functions for SQL: ``revcomp``, ``canonical_kmer``, ``valid_prefix`` and the table function ``kmers``."""
+    """The same functions for SQL: ``revcomp``, ``canonical_kmer``, ``valid_prefix`` and the table function ``kmers``.
+
+    A window of a text is found by reading it from its beginning, one of bytes at once, so ``kmers`` cuts bytes where each letter
+    is one; places in a text with wider letters are handed on as negative numbers, -1 for the first, and cut as text.
+    """
     for text in (
         "revcomp(s STRING) RETURNS STRING RETURN translate(reverse(s), 'ACGT', 'TGCA')",
         "canonical_kmer(s STRING) RETURNS STRING RETURN least(s, translate(reverse(s), 'ACGT', 'TGCA'))",
         "valid_prefix(s STRING) RETURNS STRING RETURN regexp_extract(s, '^[ACGT]*', 0)",
-        "kmers(s STRING, k INT) RETURNS TABLE(pos INT, kmer STRING) RETURN SELECT i, substr(s, i + 1, k) FROM explode(CASE WHEN length(s) >= k THEN sequence(0, length(s) - k) ELSE array() END) AS t(i)",
+        "kmers(s STRING, k INT) RETURNS TABLE(pos INT, kmer STRING) RETURN SELECT if(i < 0, -1 - i, i), if(i < 0, substr(s, -i, k), cast(substr(cast(s AS BINARY), i + 1, k) AS STRING)) "
+        "FROM explode(CASE WHEN length(s) < k THEN array() WHEN octet_length(s) = length(s) THEN sequence(0, length(s) - k) ELSE sequence(-1, k - length(s) - 1) END) AS t(i)",
     ):
         spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION " + text)
 

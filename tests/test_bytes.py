@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from helixplan.functions import seq as S
 from helixplan.functions.keys import keys
 from helixplan.operators import kmers as K, sinks
 from helixplan.plans.runtime import Scratch
@@ -83,3 +84,13 @@ def test_unpacked_pairs_of_many_files(spark, scratch):
     short = spark.createDataFrame([("cut", held["039"][:-1])], "path string, content binary")
     with pytest.raises(Exception, match="ends inside a pair"):
         readers.unpack_pairs(short, scratch).collect()
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_sql_kmers_cut_bytes(spark, k):
+    S.register_sql(spark)
+    texts = spark.createDataFrame([(1, "ACGTA"), (2, "AC"), (3, None), (4, ""), (5, "AéGTñ€C")], "id int, s string")
+    found = spark.sql("SELECT id, w.pos, w.kmer FROM {d} d, LATERAL kmers(d.s, {k}) w", d=texts, k=k)
+    want = {(r.id, i, r.s[i : i + k]) for r in texts.collect() if r.s for i in range(len(r.s) - k + 1)}
+    assert set(map(tuple, found.collect())) == want
+    assert "as binary" in found._jdf.queryExecution().optimizedPlan().toString().lower()
