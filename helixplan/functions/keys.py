@@ -51,6 +51,19 @@ class TextKeys:
     def last(self, key: Column) -> Column:
         return F.right(key, F.lit(1))
 
+    def shorter(self) -> TextKeys:
+        """Keys of k-1 bases as ``head`` and ``tail`` give them."""
+        return type(self)(self.k - 1)
+
+    def ends(self, key: Column) -> tuple[Column, Column]:
+        """Codes (0 to 3) of the first and the last base."""
+        return F.instr(F.lit(ORDER), F.left(key, F.lit(1))) - 1, F.instr(F.lit(ORDER), F.right(key, F.lit(1))) - 1
+
+    def grown(self, overlap: Column, code: Column) -> tuple[Column, Column]:
+        """Keys of a (k-1)-overlap with the base of a code before it, and behind it."""
+        base = F.substring(F.lit(ORDER), code + 1, F.lit(1))
+        return F.concat(base, overlap), F.concat(overlap, base)
+
     def onward(self, key: Column) -> Column:
         """The four keys that overlap this one's last k-1 bases with their first."""
         return F.array(*[F.concat(self.tail(key), F.lit(base)) for base in ORDER])
@@ -93,10 +106,19 @@ class PackedKeys(TextKeys):
     def last(self, key: Column) -> Column:
         return F.substring(F.lit(ORDER), key.bitwiseAND(F.lit(3)).cast("int") + 1, F.lit(1))
 
+    def ends(self, key: Column) -> tuple[Column, Column]:
+        return F.shiftrightunsigned(key, 2 * (self.k - 1)).bitwiseAND(F.lit(3)).cast("int"), key.bitwiseAND(F.lit(3)).cast("int")
+
+    def grown(self, overlap: Column, code: Column) -> tuple[Column, Column]:
+        code = code.cast("long")
+        return overlap.bitwiseOR(F.shiftleft(code, 2 * (self.k - 1))), F.shiftleft(overlap, 2).bitwiseOR(code)
+
     def onward(self, key: Column) -> Column:
         return F.array(*[F.shiftleft(self.tail(key), 2).bitwiseOR(F.lit(code)) for code in range(4)])
 
     def revcomp(self, key: Column) -> Column:
+        if not self.k:
+            return key
         x = F.bitwise_not(key)
         for width, mask in HALVES:
             x = F.shiftrightunsigned(x, width).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(x.bitwiseAND(F.lit(mask)), width))

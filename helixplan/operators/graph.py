@@ -38,12 +38,10 @@ def build_graph(solid: DataFrame, k: int, scratch: Scratch) -> Graph:
     Isolated k-mers and cycles without a branch vanish.
     """
     coded = keys(k)
-    marked = scratch.keep(K.key_degrees(K.oriented_keys(solid, k), k))
-    used = marked.where("in_deg > 0 or out_deg > 0").select("key", "terminal")
-    left = used.select(F.col("key").alias("a"), F.col("terminal").alias("ta"), coded.tail(F.col("key")).alias("o"))
-    right = used.select(F.col("key").alias("b"), F.col("terminal").alias("tb"), coded.head(F.col("key")).alias("o"))
-    steps = scratch.keep(left.join(right, "o").drop("o"))
-    nodes = marked.where("terminal").select(coded.decode(F.col("key")).alias("kmer")).select(F.col("kmer").alias("node_id"), "kmer")
+    one = solid if "key" in solid.columns else solid.select(coded.encode(F.col("kmer")).alias("key"))
+    marked = scratch.keep(K.canonical_degrees(one, k).where("in_deg > 0 or out_deg > 0").select("key", "terminal"))
+    steps = scratch.keep(K.key_steps(marked, k))
+    nodes = K.oriented_keys(marked.where("terminal"), k).select(coded.decode(F.col("key")).alias("kmer")).select(F.col("kmer").alias("node_id"), "kmer")
     # An inner k-mer points to the one before it; the first of a path has none.
     inner = steps.where("not tb").select(F.col("b").alias("id"), F.when(~F.col("ta"), F.col("a")).alias("up"))
     placed = pointer_double(inner, scratch)

@@ -70,6 +70,59 @@ def key_degrees(found: DataFrame, k: int) -> DataFrame:
     return met.select("key", ins.alias("in_deg"), outs.alias("out_deg")).withColumn("terminal", odd)
 
 
+def junctions(rows: DataFrame, k: int, mark: Column) -> DataFrame:
+    """``(overlap, mask)`` of the (k-1)-overlaps of canonical keys, in their lesser strand.
+
+    Bit c of the mask stands for the k-mer with base c before the overlap, bit 4 + c for the one with base c behind it; on the other
+    strand bit p is bit 7 - p. The bits eight places on are those of k-mers that ``mark`` holds for. A canonical k-mer gives two
+    rows, which combine before the shuffle; both strands of every k-mer can be made of the masks.
+    """
+    coded = keys(k)
+    key, (first, last) = F.col("key"), coded.ends(F.col("key"))
+    bit = lambda p: F.call_function("shiftleft", F.lit(1), p)
+    sides = F.array(F.struct(coded.head(key).alias("o"), (last + 4).alias("p")), F.struct(coded.tail(key).alias("o"), first.alias("p")))
+    met = rows.select(mark.alias("marked"), F.explode(sides).alias("s")).select("marked", "s.o", "s.p").withColumn("r", coded.shorter().revcomp(F.col("o")))
+    o, r, p = F.col("o"), F.col("r"), F.col("p")
+    mask = F.when(o <= r, bit(p)).otherwise(F.lit(0)).bitwiseOR(F.when(r <= o, bit(7 - p)).otherwise(F.lit(0)))
+    both = met.select(F.least(o, r).alias("overlap"), "marked", mask.alias("mask"))
+    held = F.col("mask")
+    return both.groupBy("overlap").agg(F.bit_or(F.when(F.col("marked"), held.bitwiseOR(F.shiftleft(held, 8))).otherwise(held)).alias("mask"))
+
+
+def canonical_degrees(solid: DataFrame, k: int) -> DataFrame:
+    """``(key, in_deg, out_deg, terminal)`` of distinct canonical keys; the other strand's degrees are these the other way round.
+
+    Every junction tells its k-mers how many there are on its other side, so a k-mer hears from two and nothing is joined.
+    """
+    coded = keys(k)
+    mask, p = F.col("mask"), F.col("p")
+    bits = junctions(solid, k, F.lit(False)).select("overlap", "mask", F.explode(F.array(*map(F.lit, range(8)))).alias("p")).where(F.call_function("getbit", mask, p) == 1)
+    before, behind = coded.grown(F.col("overlap"), p % 4)
+    n = F.when(p < 4, F.bit_count(F.shiftright(mask, 4).bitwiseAND(F.lit(15)))).otherwise(F.bit_count(mask.bitwiseAND(F.lit(15))))
+    met = bits.select(F.when(p < 4, before).otherwise(behind).alias("x"), (p >= 4).alias("ins"), n.alias("n")).withColumn("y", coded.revcomp(F.col("x")))
+    x, y, ins = F.col("x"), F.col("y"), F.col("ins")
+    told = lambda here: F.when((here & (x <= y)) | (~here & (y <= x)), F.col("n"))
+    found = met.groupBy(F.least(x, y).alias("key")).agg(F.max(told(ins)).cast("long").alias("in_deg"), F.max(told(~ins)).cast("long").alias("out_deg"))
+    odd = ((F.col("in_deg") != 1) | (F.col("out_deg") != 1)) & ((F.col("in_deg") != 0) | (F.col("out_deg") != 0))
+    return found.withColumn("terminal", odd)
+
+
+def key_steps(marked: DataFrame, k: int) -> DataFrame:
+    """``(a, ta, b, tb)``: pairs of oriented keys that overlap in k-1 bases, each with whether it is terminal, from canonical keys with ``terminal``."""
+    coded = keys(k)
+    mask, c = F.col("mask"), F.col("c")
+    has = lambda at: F.call_function("getbit", mask, at) == 1
+    first, last = F.shiftright(c, 2), c.bitwiseAND(F.lit(3))
+    pairs = junctions(marked, k, F.col("terminal")).select("overlap", "mask", F.explode(F.array(*map(F.lit, range(16)))).alias("c")).where(has(first) & has(last + 4))
+    a, b = coded.grown(F.col("overlap"), first)[0], coded.grown(F.col("overlap"), last)[1]
+    one = pairs.select("overlap", a.alias("a"), has(first + 8).alias("ta"), b.alias("b"), has(last + 12).alias("tb"))
+    here = F.struct("a", "ta", "b", "tb")
+    there = F.struct(coded.revcomp(F.col("b")).alias("a"), F.col("tb").alias("ta"), coded.revcomp(F.col("a")).alias("b"), F.col("ta").alias("tb"))
+    # A junction that is its own other strand holds both directions already.
+    every = F.when(F.col("overlap") == coded.shorter().revcomp(F.col("overlap")), F.array(here)).otherwise(F.array(here, there))
+    return one.select(F.explode(every).alias("s")).select("s.*")
+
+
 def degrees(kmers: DataFrame, k: int) -> DataFrame:
     """``(kmer, in_deg, out_deg, terminal)`` of distinct oriented k-mers."""
     coded = keys(k)

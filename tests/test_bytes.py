@@ -94,3 +94,22 @@ def test_sql_kmers_cut_bytes(spark, k):
     want = {(r.id, i, r.s[i : i + k]) for r in texts.collect() if r.s for i in range(len(r.s) - k + 1)}
     assert set(map(tuple, found.collect())) == want
     assert "as binary" in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 4, 7, 31, 32])
+def test_junctions_give_degrees_and_steps(spark, scratch, monkeypatch, k):
+    rng = random.Random(k)
+    base = "".join(rng.choice("ACGT") for _ in range(90))
+    rows = spark.createDataFrame([(0, base[:60]), (1, base[20:40] + base[50:]), (2, "ACGTACGT" * 5), (3, "GGATCC" + base[:40])], "seq_id int, seq string")
+    solid = K.count_keys(rows, k)
+    oriented = K.oriented_keys(solid, k)
+    want = {r.key: (r.in_deg, r.out_deg, r.terminal) for r in K.key_degrees(oriented, k).collect()}
+    one = K.canonical_degrees(solid, k)
+    got = {r.key: (r.in_deg, r.out_deg, r.terminal) for r in one.collect()}
+    assert got == {r.key: want[r.key] for r in solid.collect()}
+    found = [tuple(r) for r in K.key_steps(one.select("key", "terminal"), k).collect()]
+    coded = keys(k)
+    left = oriented.select(F.col("key").alias("a"), coded.tail(F.col("key")).alias("o"))
+    steps = left.join(oriented.select(F.col("key").alias("b"), coded.head(F.col("key")).alias("o")), "o").collect()
+    assert sorted(found) == sorted((r.a, want[r.a][2], r.b, want[r.b][2]) for r in steps)
+    assert "Join" not in K.key_steps(one, k)._jdf.queryExecution().optimizedPlan().toString()
